@@ -86,6 +86,22 @@ def in_id_order(df: DataFrame, id_col: str, tie_col: str, look_ahead: bool = Fal
     return dealt.sortWithinPartitions("_extra", F.col(id_col).asc_nulls_last(), F.col(tie_col).asc_nulls_first()), n
 
 
+def kept(name: str, make):
+    """What ``make()`` gives, kept under ``name`` by this Python worker for later tasks."""
+    import sys
+    import types
+
+    store = sys.modules.setdefault("_corpus_worker_store", types.ModuleType("_corpus_worker_store")).__dict__
+    if name not in store:
+        store[name] = make()
+    return store[name]
+
+
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Lets Python workers take few rows at a time: texts may be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: each bit of the result depends on each of ``x``."""
     x = x ^ (x >> np.uint64(32))
@@ -97,18 +113,32 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def column(batch: pa.RecordBatch, name: str) -> list:
-    return batch.column(batch.schema.get_field_index(name)).to_pylist()
+    return array(batch, name).to_pylist()
+
+
+def array(batch: pa.RecordBatch, name: str) -> pa.Array:
+    return batch.column(batch.schema.get_field_index(name))
 
 
-def slices(batches: Iterator[pa.RecordBatch], text_col: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that each holds about ``most_bytes`` of text or one row."""
+def blocks(batches: Iterator[pa.RecordBatch], text_col: str, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about ``size`` bytes of text each, or one row."""
+    held: list[pa.RecordBatch] = []
+    total = 0
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        per_row = batch.column(batch.schema.get_field_index(text_col)).nbytes / batch.num_rows
-        if batch.num_rows <= 1 or per_row * batch.num_rows <= most_bytes:
-            yield batch
-            continue
-        step = max(1, int(most_bytes / per_row))
-        for at in range(0, batch.num_rows, step):
-            yield batch.slice(at, step)
+        own = array(batch, text_col).nbytes
+        if total and total + own > size:
+            yield from _cut(held, text_col, size)
+            held, total = [], 0
+        held.append(batch)
+        total += own
+    if held:
+        yield from _cut(held, text_col, size)
+
+
+def _cut(held: list[pa.RecordBatch], text_col: str, size: int) -> Iterator[pa.RecordBatch]:
+    batch = pa.concat_batches(held)
+    if not batch.num_rows:
+        return
+    step = max(1, int(size / max(1, array(batch, text_col).nbytes / batch.num_rows)))
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column, materialize, slices
+from .common import array, blocks, kept, materialize, small_batches
 from .tokens import TextEncoder
 
 
@@ -24,9 +24,9 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_i
     kind = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("part", T.IntegerType()), T.StructField("before", T.LongType()), T.StructField("n", T.LongType()), T.StructField("ids", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, before = TextEncoder(tokenizer), TaskContext.get().partitionId(), 0
-        for batch in slices(batches, "text"):
-            ids, n = encoder.encode(column(batch, "text"), end_id)
+        encoder, part, before = kept(tokenizer, lambda: TextEncoder(tokenizer)), TaskContext.get().partitionId(), 0
+        for batch in blocks(batches, "text"):
+            ids, n = encoder.encode(array(batch, "text"), end_id)
             ends = np.cumsum(n)
             raw = ids.astype("<u4").tobytes()
             offsets = np.concatenate([[0], ends]) * 4
@@ -63,6 +63,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 4096, end_id: int = 2, i
     other than the two named are not read.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     done = materialize(tokenized(docs, tokenizer, end_id, id_col, text_col), "packing")
     totals = dict(done.groupBy("part").agg(F.sum("n").alias("n")).collect())
     base, at = [], 0

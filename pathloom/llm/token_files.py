@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column, in_id_order, materialize, scratch, slices
+from .common import array, blocks, column, in_id_order, kept, materialize, scratch, small_batches
 from .tokens import TextEncoder
 
 MAGIC = b"TKRANK1\0"
@@ -62,12 +62,10 @@ def id_counts(docs: DataFrame, tokenizer: str, end_id: int, text_col: str = "tex
     """How often each id occurs in all texts; a partition sends an id once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, count = TextEncoder(tokenizer), np.zeros(0, np.int64)
-        for batch in slices(batches, "text"):
-            own = np.bincount(encoder.encode(column(batch, "text"), end_id)[0])
-            if len(own) > len(count):
-                own, count = count, own.astype(np.int64)
-            count[: len(own)] += own
+        encoder = kept(tokenizer, lambda: TextEncoder(tokenizer))
+        count = np.zeros(encoder.n_ids, np.int64)
+        for batch in blocks(batches, "text"):
+            count += encoder.count(array(batch, "text"), end_id)
         seen = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int64)), pa.array(count[seen])], names=["token", "n"])
 
@@ -85,7 +83,7 @@ def _file(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path)
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", file_tokens: int = 4_000_000) -> tuple[DataFrame, np.ndarray]:
+def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", file_tokens: int = 2_000_000) -> tuple[DataFrame, np.ndarray]:
     """Writes all documents' ids, in ascending order of ``id_col``, into ``folder``.
 
     ``folder`` is a URI that all executors reach; by default it is new in the
@@ -102,6 +100,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, folder:
     files; other columns are not read.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     folder = folder or scratch(spark, "tokens")
     order = frequency_order(id_counts(docs, tokenizer, end_id, text_col))
     shared = spark.sparkContext.broadcast(order)  # no longer than the vocabulary
@@ -110,7 +109,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, folder:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = np.zeros(int(shared.value.max()) + 1 if len(shared.value) else 1, np.uint32)
         rank[shared.value] = np.arange(len(shared.value))
-        encoder, files, part = TextEncoder(tokenizer), 0, 0
+        encoder, files, part = kept(tokenizer, lambda: TextEncoder(tokenizer)), 0, 0
         ids: list = []
         sizes: list[np.ndarray] = []
         ranks: list[np.ndarray] = []
@@ -133,9 +132,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, folder:
             ids, sizes, ranks, held, files = [], [], [], 0, files + 1
             return row
 
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in blocks(batches, "text"):
             part = batch.column(batch.schema.get_field_index("_part"))[0].as_py()
-            got, n = encoder.encode(column(batch, "text"), end_id)
+            got, n = encoder.encode(array(batch, "text"), end_id)
             ids += column(batch, "id")
             sizes.append(n)
             ranks.append(rank[got])

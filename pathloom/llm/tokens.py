@@ -6,29 +6,18 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: A space before anything but white space; both vocabularies' patterns end a
+#: A space before anything but white space; the tokenizers' patterns end a
 #: piece there whatever stands around it, so text may be cut before it.
-_CUT = re.compile(" (?=[^\\s᠎])")
-_PLAIN = re.compile(" (?:[\\s᠎]|$)")
-
-
-class _Slots(dict):
-    """Numbers words as they come; ``new`` lists those without ids so far."""
-
-    def __init__(self, owner: TextEncoder, lead: str):
-        super().__init__()
-        self.owner, self.lead = owner, lead
-
-    def __missing__(self, word: str) -> int:
-        o = self.owner
-        self[word] = slot = o.n_slots
-        o.n_slots += 1
-        o.chars += len(word)
-        o.new.append(self.lead + word)
-        return slot
+_CUT = re.compile(" (?=[^\\s\\u180e])")
+#: Spaces at which a text is not cut, for the matcher of Arrow.
+_ODD = r" ([\s\v\x{1c}-\x{1f}\x{85}\x{180e}\p{Z}]|$)"
+#: Letters that lower-casing and composing leave alone or map one to one.
+_LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
 
 
 class TextEncoder:
@@ -38,80 +27,169 @@ class TextEncoder:
     that this serves (byte-level BPE, and word BPE that drops white space) end
     a pre-token at every such place, so the ids of the parts, one after the
     other, are the ids of the text. Parts repeat, so each is encoded once and
-    kept; the store is emptied beyond ``max_words`` parts or ``max_chars``
-    code points. Special tokens' strings in a text are ordinary text.
+    kept. New parts are encoded many in a line where the ids show each part's
+    end: with byte-level BPE a part's first token alone starts with the space;
+    with word BPE each pre-token's last token is marked, and a word of plain
+    letters is one pre-token, two with a comma or full stop. Other parts are
+    encoded one by one. Beyond ``max_words`` parts or ``max_bytes`` of them
+    those met once are forgotten. Special tokens' strings are ordinary text.
     """
 
-    def __init__(self, path: str, max_words: int = 300_000, max_chars: int = 16_000_000):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, max_words: int = 2_000_000, max_bytes: int = 40_000_000):
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.tokenizer.encode_special_tokens = True
-        self.max_words, self.max_chars = max_words, max_chars
-        self._reset()
-
-    def _reset(self) -> None:
-        self.first, self.rest = _Slots(self, ""), _Slots(self, " ")
-        self.n_slots = self.chars = 0
-        self.new: list[str] = []
+        vocab = self.tokenizer.get_vocab()
+        self.n_ids = max(vocab.values()) + 1
+        self.starts, self.ends = np.zeros(self.n_ids, bool), np.zeros(self.n_ids, bool)
+        for piece, i in vocab.items():
+            self.starts[i], self.ends[i] = piece.startswith("Ġ"), piece.endswith("</w>")
+        self.quick = None
+        if self.ends.any():  # lower-cased letters need no pattern and no normalizer
+            self.quick = Tokenizer.from_file(path)
+            self.quick.normalizer = None
+            self.quick.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=False, use_regex=False)])
+        self.max_words, self.max_bytes = max_words, max_bytes
+        self.words = pa.array([], pa.string())
+        self.start, self.length, self.met = (np.zeros(0, np.int64) for _ in range(3))
         self.table, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _learn(self) -> None:
-        if not self.new:
-            return
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(self.new, add_special_tokens=False)]
-        length = np.fromiter(map(len, ids), np.int64, len(ids))
-        total = int(length.sum())
-        while self.used + total > len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[self.used : self.used + total] = np.fromiter((x for y in ids for x in y), np.uint32, total)
-        self.start = np.concatenate([self.start, self.used + np.cumsum(length) - length])
-        self.length = np.concatenate([self.length, length])
-        self.used += total
-        self.new = []
 
-    def encode(self, texts: list[str | None], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in a row, and the number of them by text; None counts as empty.
-
-        ``end_id`` is put after each text's ids if given.
-        """
-        if self.n_slots > self.max_words or self.chars > self.max_chars:
-            self._reset()
-        slots, sizes = [], np.zeros(len(texts), np.int64)
-        end = None
-        if end_id is not None:
-            end = self.n_slots
-            self._learn_ids([end_id])
-        for i, text in enumerate(texts):
-            if text:
-                words = _CUT.split(text) if _PLAIN.search(text) else text.split(" ")
-                head = [] if not words[0] and len(words) > 1 else [self.first[words[0]]]
-                own = np.fromiter(map(self.rest.__getitem__, words[1:]), np.int64, len(words) - 1)
-                slots.append(np.array(head, np.int64))
-                slots.append(own)
-                sizes[i] = len(head) + len(own)
-            if end is not None:
-                slots.append(np.array([end], np.int64))
-                sizes[i] += 1
-        self._learn()
-        flat = np.concatenate(slots) if slots else np.zeros(0, np.int64)
-        length = self.length[flat]
+    def _forget(self) -> None:
+        """Keeps the parts met more than once, half of the most at most."""
+        keep = self.met > 1
+        if keep.sum() > self.max_words // 2:
+            keep &= self.met > np.partition(self.met, -self.max_words // 2)[-self.max_words // 2]
+        keep &= pc.binary_length(self.words).to_numpy() <= 64
+        self.words = self.words.filter(pa.array(keep))
+        ids = self._gather(self.table, self.start[keep], self.length[keep])
+        self.table[: len(ids)] = ids
+        self.used, self.length, self.met = len(ids), self.length[keep], np.zeros(int(keep.sum()), np.int64)
+        self.start = np.cumsum(self.length) - self.length
+
+    @staticmethod
+    def _gather(table: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
         ends = np.cumsum(length)
         total = int(ends[-1]) if len(ends) else 0
-        ids = self.table[np.repeat(self.start[flat] - (ends - length), length) + np.arange(total)]
-        marks = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])]
-        return ids, np.diff(marks)
-
-    def _learn_ids(self, ids: list[int]) -> None:
-        """Takes the next slot for ids that no text gives."""
-        self._learn()
-        while self.used + len(ids) > len(self.table):
+        return table[np.repeat(start - (ends - length), length) + np.arange(total)]
+
+    def _put(self, ids: np.ndarray) -> int:
+        """Room for ids at the table's end; returns the place."""
+        at = self.used
+        while at + len(ids) > len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[self.used : self.used + len(ids)] = ids
-        self.start = np.append(self.start, self.used)
-        self.length = np.append(self.length, len(ids))
+        self.table[at : at + len(ids)] = ids
         self.used += len(ids)
-        self.n_slots += 1
+        return at
+
+    def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts in a row, each encoded by itself, and their numbers."""
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        length = np.fromiter(map(len, got), np.int64, len(got))
+        return np.fromiter((x for y in got for x in y), np.uint32, int(length.sum())), length
+
+    def _lines(self, words: list[str], by) -> np.ndarray:
+        lines = ["".join(words[i : i + 1000]) for i in range(0, len(words), 1000)]
+        got = [np.array(e.ids, np.uint32) for e in by.encode_batch_fast(lines, add_special_tokens=False)]
+        return np.concatenate(got) if got else np.zeros(0, np.uint32)
+
+    def _learn(self, words: pa.Array) -> None:
+        """Encodes new parts, each as after a space, and keeps them."""
+        if self.quick:
+            plain = pc.match_substring_regex(words, f"^{_LETTERS}$")
+            ended = pc.match_substring_regex(words, f"^{_LETTERS}[,.]$")
+        else:
+            plain = pc.and_(pc.invert(pc.match_substring(words, " ")), pc.greater(pc.binary_length(words), 0))
+            ended = pa.array(np.zeros(len(words), bool))
+        groups = []
+        if self.quick:
+            own = words.filter(plain).to_pylist() + [f"{w[:-1]} {w[-1]}" for w in words.filter(ended).to_pylist()]
+            ids = self._lines([" " + w.lower() for w in own], self.quick)
+            last = np.flatnonzero(self.ends[ids]) + 1
+            n = pc.sum(plain).as_py() or 0
+            marks = np.concatenate([np.ones(n, np.int64), np.full(len(own) - n, 2)])
+            stops = last[np.cumsum(marks) - 1] if len(last) == marks.sum() else None
+        else:
+            own = words.filter(plain).to_pylist()
+            ids = self._lines([" " + w for w in own], self.tokenizer)
+            first = np.flatnonzero(self.starts[ids])
+            stops = np.append(first[1:], len(ids)) if len(first) == len(own) and len(own) else None
+        done = pc.or_(plain, ended)
+        if stops is None:
+            done = pa.array(np.zeros(len(words), bool))
+        elif len(own):
+            groups.append((pa.concat_arrays([words.filter(plain), words.filter(ended)]), ids, np.diff(stops, prepend=0)))
+        rest = words.filter(pc.invert(done))
+        if len(rest):
+            groups.append((rest, *self._each([" " + w for w in rest.to_pylist()])))
+        for names, ids, length in groups:
+            at = self._put(ids)
+            self.start = np.concatenate([self.start, at + np.cumsum(length) - length])
+            self.length = np.concatenate([self.length, length])
+            self.met = np.concatenate([self.met, np.zeros(len(length), np.int64)])
+            self.words = pa.concat_arrays([self.words, names])
+
+    def _find(self, words: pa.Array) -> np.ndarray:
+        at = pc.index_in(words, value_set=self.words)
+        if at.null_count:
+            self._learn(words.filter(pc.is_null(at)))
+            at = pc.index_in(words, value_set=self.words)
+        return at.to_numpy().astype(np.int64)
+
+    def _cut(self, texts: pa.Array) -> pa.ListArray:
+        odd = pc.match_substring_regex(texts, _ODD)
+        if not pc.any(odd, min_count=0).as_py():
+            return pc.split_pattern(texts, " ")
+        plain = pc.split_pattern(texts.filter(pc.invert(odd)), " ")
+        other = pa.array([_CUT.split(x) for x in texts.filter(odd).to_pylist()], plain.type)
+        mask = odd.to_numpy(zero_copy_only=False)
+        order = np.where(mask, len(plain) + np.cumsum(mask) - 1, np.cumsum(~mask) - 1)
+        return pa.concat_arrays([plain, other]).take(pa.array(order))
+
+    def _parts(self, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each part's place in the table and length, and the number of parts by text."""
+        if len(self.words) > self.max_words or self.words.nbytes > self.max_bytes:
+            self._forget()
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        lists = self._cut(texts)
+        bounds = lists.offsets.to_numpy().astype(np.int64)
+        bounds -= bounds[0]
+        coded = lists.flatten().dictionary_encode()
+        slot = self._find(coded.dictionary)[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
+        # A text's first part stands after no space; it is encoded anew.
+        heads = coded.take(pa.array(bounds[:-1])).dictionary_decode().dictionary_encode() if len(coded) else None
+        start, length = self.start[slot], self.length[slot]
+        used = self.used
+        if heads is not None:
+            ids, n = self._each(heads.dictionary.to_pylist())
+            at = self._put(ids) + np.cumsum(n) - n
+            start[bounds[:-1]], length[bounds[:-1]] = at[heads.indices.to_numpy()], n[heads.indices.to_numpy()]
+        sizes = np.diff(bounds)
+        if end_id is not None:
+            at = self._put(np.array([end_id], np.uint32))
+            start, length = np.insert(start, bounds[1:], at), np.insert(length, bounds[1:], 1)
+            sizes = sizes + 1
+        self.used = used  # what came after is read before more is put there
+        self.met += np.bincount(slot, minlength=len(self.met))
+        return start, length, sizes
+
+    def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, and the number of them by text; null counts as empty.
+
+        ``end_id`` is put after each text's ids if given.
+        """
+        start, length, sizes = self._parts(texts, end_id)
+        marks = np.concatenate([[0], np.cumsum(length)])[np.concatenate([[0], np.cumsum(sizes)])]
+        return self._gather(self.table, start, length), np.diff(marks)
+
+    def count(self, texts: pa.Array, end_id: int | None = None) -> np.ndarray:
+        """How often each id occurs in the texts, by id."""
+        start, length, _ = self._parts(texts, end_id)
+        start, length = start[length > 0], length[length > 0]
+        times = np.bincount(start, minlength=1)
+        met = np.flatnonzero(times)
+        own = np.zeros(len(times), np.int64)
+        own[start] = length
+        return np.bincount(self._gather(self.table, met, own[met]), np.repeat(times[met], own[met]), self.n_ids).astype(np.int64)
