@@ -75,7 +75,7 @@ fill(turn, slot, taken) AS (
   SELECT 0, start, [start] FROM ways WHERE i = 0
   UNION ALL
   SELECT turn + 1, s, list_append(taken, s) FROM (
-    SELECT turn, taken, list_filter(list_transform(range({size}), j -> (start + j * step) % {size}), x -> NOT list_contains(taken, x))[1] AS s
+    SELECT turn, taken, list_filter(list_transform(range({size}), lambda j: (start + j * step) % {size}), lambda x: NOT list_contains(taken, x))[1] AS s
     FROM fill JOIN ways ON i = (turn + 1) % {len(shards)} WHERE turn + 1 < {size})
 ),
 places AS (SELECT f.slot, w.shard FROM fill f JOIN ways w ON w.i = f.turn % {len(shards)})
