@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, packing, sharding, token_counts, token_files, url_filter
+from . import fingerprints, mixing, near_dedup, packing, sharding, token_counts, token_files, url_filter
 from .common import small_batches
 
 END_ID = 2
@@ -59,12 +59,16 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), RULES)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_fingerprints, op3_token_files, op4_sharding, op5_token_counts, op7_mixing, op9_url_filter, op10_packing]
+    own = [op1_fingerprints, op3_token_files, op4_sharding, op5_token_counts, op7_mixing, op8_near_dedup, op9_url_filter, op10_packing]
     return {f.__name__: f for f in own}
 
 
