@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, near_dedup, packing, sharding, token_counts, token_files, url_filter
+from . import fingerprints, mixing, near_dedup, packing, quality, sharding, token_counts, token_files, url_filter
 from .common import small_batches
 
 END_ID = 2
@@ -23,6 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen = quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return chosen.select("doc_id", "n_grams", "score", "kept")
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest, order = token_files.write_token_files(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), END_ID)
     back = token_files.read_token_files(spark, manifest, order)
@@ -68,7 +73,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_fingerprints, op3_token_files, op4_sharding, op5_token_counts, op7_mixing, op8_near_dedup, op9_url_filter, op10_packing]
+    own = [op1_fingerprints, op2_quality, op3_token_files, op4_sharding, op5_token_counts, op7_mixing, op8_near_dedup, op9_url_filter, op10_packing]
     return {f.__name__: f for f in own}
 
 
