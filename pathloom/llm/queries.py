@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, near_dedup, packing, quality, sharding, token_counts, token_files, url_filter
+from . import ann, fingerprints, mixing, near_dedup, packing, quality, sharding, token_counts, token_files, url_filter
 from .common import small_batches
 
 END_ID = 2
@@ -59,6 +59,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("piece_bpe_32k.model")).select("doc_id", "n_tokens")
 
 
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -73,7 +77,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_fingerprints, op2_quality, op3_token_files, op4_sharding, op5_token_counts, op7_mixing, op8_near_dedup, op9_url_filter, op10_packing]
+    own = [op1_fingerprints, op2_quality, op3_token_files, op4_sharding, op5_token_counts, op6_nearest, op7_mixing, op8_near_dedup, op9_url_filter, op10_packing]
     return {f.__name__: f for f in own}
 
 
