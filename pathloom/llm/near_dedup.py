@@ -94,30 +94,71 @@ def promising(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.mapInArrow(run, T.StructType([pairs.schema["u"], pairs.schema["v"]]))
 
 
-def verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs whose full shingle sets are similar enough."""
-    ids = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct()
-    kind = T.StructType([T.StructField("id", docs.schema["id"].dataType), T.StructField("words", T.BinaryType())])
+class _Union:
+    """Components of one task's rows, joined as links are found."""
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, "text", 2 << 20):
-            sets = shingle_sets(array(batch, "text"), width)
-            yield pa.RecordBatch.from_arrays([array(batch, "id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=kind.names)
+    def __init__(self, labels: list):
+        number = {x: i for i, x in enumerate(dict.fromkeys(labels))}
+        self.of = np.array([number[x] for x in labels], np.int64)
+
+    def join(self, i: int, j: int) -> bool:
+        """Whether the link of two rows joined two components."""
+        if self.of[i] == self.of[j]:
+            return False
+        self.of[self.of == self.of[j]] = self.of[i]
+        return True
+
+
+def linked(sets: list[np.ndarray], labels: list, asks: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+    """Links that join the rows' components, found by full sets.
+
+    Rows in ``asks`` are compared with all rows of other components; of the
+    links found, those that join none are left out.
+    """
+    size = np.array([len(x) for x in sets])
+    _, word = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(size)
+    owner = np.repeat(np.arange(len(sets)), size)
+    mark = np.zeros(int(word.max()) + 1 if len(word) else 1, np.int64)
+    union = _Union(labels)
+    for i in np.flatnonzero(asks).tolist():
+        other = (union.of != union.of[i]) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i]))
+        if not other.any():
+            continue
+        own = word[ends[i] - size[i] : ends[i]]
+        mark[own] = 1
+        if other.sum() <= len(sets) // 8:
+            near = np.flatnonzero(other)
+            shared = np.array([int(mark[word[ends[j] - size[j] : ends[j]]].sum()) for j in near.tolist()])
+        else:
+            near = np.arange(len(sets))
+            shared = np.bincount(owner, mark[word], len(sets)).astype(np.int64)
+        mark[own] = 0
+        for j in near[other[near] & (100 * shared >= percent * (size[i] + size[near] - shared))].tolist():
+            if union.join(i, j):
+                yield i, j
+
+
+def in_blocks(rows: DataFrame, keys: list[str], width: int, percent: int) -> DataFrame:
+    """Links within groups of rows with equal ``keys``, by full sets of their texts.
+
+    ``rows`` has ``id``, ``text``, ``component`` and ``asks`` (see
+    :func:`linked`); a group has a bounded number of rows.
+    """
+    spark = rows.sparkSession
+    dealt = rows.repartition(parts_of(spark), *keys).sortWithinPartitions(*keys, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for a, b in zip(array(batch, "w_u"), array(batch, "w_v"), strict=True):
-                a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                both = np.concatenate([a, b])
-                both.sort(kind="stable")
-                shared = int(np.count_nonzero(both[1:] == both[:-1]))
-                good.append(100 * shared >= percent * (len(both) - shared))
-            yield pa.RecordBatch.from_arrays([array(batch, "u"), array(batch, "v")], names=["u", "v"]).filter(pa.array(good, pa.bool_()))
+        for group in _groups(batches, keys):
+            if group.num_rows > 1:
+                sets = shingle_sets(array(group, "text"), width)
+                pairs = list(linked(sets, column(group, "component"), array(group, "asks").to_numpy(zero_copy_only=False).astype(bool), percent))
+                if pairs:
+                    left, right = (array(group, "id").take(pa.array(x)) for x in zip(*pairs, strict=True))
+                    yield pa.RecordBatch.from_arrays([left, right], names=["u", "v"])
 
-    sets = materialize(docs.join(ids, "id", "left_semi").mapInArrow(gather, kind), "shingle-sets")
-    full = pairs.join(sets.select(F.col("id").alias("u"), F.col("words").alias("w_u")), "u").join(sets.select(F.col("id").alias("v"), F.col("words").alias("w_v")), "v")
-    return materialize(full.select("u", "v", "w_u", "w_v").mapInArrow(run, T.StructType([pairs.schema["u"], pairs.schema["v"]])).distinct(), "verified")
+    kind = T.StructType([T.StructField("u", rows.schema["id"].dataType), T.StructField("v", rows.schema["id"].dataType)])
+    return dealt.mapInArrow(run, kind)
 
 
 def _with_sketches(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -146,11 +187,12 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.R
 
 
 def across(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs in one bucket but not in one component that sizes and estimates allow.
+    """Pairs that join components within a bucket, as far as sizes and estimates allow.
 
     ``members`` has ``bucket``, ``held`` (the bucket's members), ``rep``,
     ``component``, ``n`` and ``sketch``. A bucket is cut into blocks of about
-    ``BLOCK`` members, and each two blocks are compared in one go.
+    ``BLOCK`` members, and each two blocks are compared in one go; of the
+    pairs that could be links a task returns those that join components.
     """
     spark = members.sparkSession
     block = members.withColumn("blocks", F.ceil(F.col("held") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
@@ -161,25 +203,65 @@ def across(members: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, keys):
-            sketch, n = _matrix(group, "sketch"), array(group, "n").to_numpy()
-            rep, comp, own = array(group, "rep"), array(group, "component").to_numpy(), array(group, "block").to_numpy()
-            low, high = array(group, "low")[0].as_py(), array(group, "high")[0].as_py()
-            us: list[np.ndarray] = []
-            vs: list[np.ndarray] = []
-            right = np.flatnonzero(own == high)
-            for i in np.flatnonzero(own == low).tolist():
-                j = right[right > i] if low == high else right
-                j = j[(comp[j] != comp[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))]
+            sketch, n, rep = _matrix(group, "sketch"), array(group, "n").to_numpy(), array(group, "rep")
+            union = _Union(column(group, "component"))
+            pairs = []
+            for i in range(len(n)):
+                j = np.flatnonzero((union.of != union.of[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
                 if len(j):
                     j = j[estimate(sketch[i], sketch[j], np.full(len(j), n[i]), n[j]) >= percent / 100 - MARGIN]
-                    us.append(np.full(len(j), i))
-                    vs.append(j)
-            if us and sum(map(len, vs)):
-                yield pa.RecordBatch.from_arrays([rep.take(pa.array(np.concatenate(us))), rep.take(pa.array(np.concatenate(vs)))], names=["u", "v"])
+                    pairs += [(i, x) for x in j.tolist() if union.join(i, x)]
+            if pairs:
+                yield pa.RecordBatch.from_arrays([rep.take(pa.array(x)) for x in zip(*pairs, strict=True)], names=["u", "v"])
 
     kind = T.StructType([T.StructField("u", members.schema["rep"].dataType), T.StructField("v", members.schema["rep"].dataType)])
-    pairs = dealt.mapInArrow(run, kind)
-    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct()
+    return dealt.mapInArrow(run, kind)
+
+
+def clusters_of(classes: DataFrame, percent: int) -> DataFrame:
+    """``node`` and ``component``: classes that estimates may join, directly or through others.
+
+    Each member of a bucket is compared with the bucket's smallest; where
+    several components are left in a bucket, all of its members are.
+    """
+    part = F.col("sketch").substr(F.col("band") * (2 * ROWS) + 1, F.lit(2 * ROWS))
+    bands = classes.select("rep", "sketch", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")).withColumn("part", part)
+    bands = bands.where(F.col("part") != F.lit(bytes(2 * ROWS))).select("rep", F.xxhash64("band", "part").alias("bucket"))
+    buckets = bands.groupBy("bucket").agg(F.min("rep").alias("lead"), F.count("*").alias("held")).where("held > 1")
+    members = materialize(bands.join(buckets, "bucket"), "members")
+    pairs = members.where("rep > lead").select(F.col("lead").alias("u"), F.col("rep").alias("v")).distinct()
+    found = materialize(components(promising(_with_sketches(pairs, classes), percent)), "near-smallest")
+    # The smallest member has met all others; of the rest some may be in different components.
+    rest = members.where("rep > lead and held > 2").join(found.withColumnRenamed("node", "rep"), "rep", "left")
+    rest = materialize(rest.select("bucket", "rep", F.coalesce("component", "rep").alias("component")), "unsettled")
+    unsettled = rest.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("held")).where("a <> b").select("bucket", "held")
+    more = across(rest.join(unsettled, "bucket").join(classes.drop("key"), "rep"), percent)
+    return components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
+
+
+def links_in(clusters: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links that join all linked classes of each cluster, from full sets.
+
+    Clusters are cut into blocks of about ``BLOCK``; each block is compared
+    with itself and the cluster's smallest. Members of a larger cluster which
+    that leaves apart from the smallest are then compared with all blocks.
+    """
+    held = clusters.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = clusters.join(held, "component").select(F.col("node").alias("id"), F.col("component").alias("cluster"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    placed = materialize(placed, "clusters")
+    texts = docs.join(placed, "id")
+    everywhere = F.when(F.col("id") == F.col("cluster"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
+    first = texts.select("id", "text", "cluster", F.explode(everywhere).alias("block"), F.col("id").alias("component"), F.lit(True).alias("asks"))
+    links = materialize(in_blocks(first, ["cluster", "block"], width, percent), "links-in-blocks")
+    found = components(links)
+    large = placed.where("blocks > 1").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    large = materialize(large, "large-clusters")
+    apart = large.where("component <> cluster").groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("ask_blocks"))
+    large = large.join(apart, "cluster")
+    answer = large.select("id", "cluster", "component", F.explode(F.sequence(F.lit(0), F.col("ask_blocks") - 1)).alias("ask"), "block", F.lit(False).alias("asks"))
+    ask = large.where("component <> cluster").select("id", "cluster", "component", F.pmod(F.xxhash64("id"), F.col("ask_blocks")).cast("int").alias("ask"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asks"))
+    rows = docs.join(answer.unionByName(ask), "id")
+    return links.union(in_blocks(rows, ["cluster", "ask", "block"], width, percent))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -189,14 +271,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col:
     lower-cased; two are linked if 100 times the shared shingles are at least
     ``percent`` times all of both. Documents with equal sets form a class,
     which goes on as its smallest id. Classes whose compressed registers agree
-    in a band share a bucket. First each member is compared with its bucket's
-    smallest id: by size, by the estimate corrected for collisions, and at last
-    by full sets read from the texts. Components of these links settle most
-    buckets; in those that still hold several components all members are
-    compared, in blocks, and promising pairs of different components are
-    checked by full sets. So no link between different sets that share a band
-    is lost, while a group of any number of near copies costs about one check
-    for each of them.
+    in a band share a bucket. Sizes and estimates corrected for collisions say
+    which of them could be linked; components of those are clusters. Within a
+    cluster links are confirmed on full sets read from the texts, in blocks of
+    bounded size, until no two members in different components are left
+    unchecked. Pairs are never listed: a task returns only links that join two
+    components. No link between different sets that share a band is lost.
 
     Returns ``id_col``, ``n_shingles``, ``component_id`` (the smallest id
     reachable) and ``kept`` (it is the row's own). Null and empty texts are
@@ -210,23 +290,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col:
     base = materialize(sketches(docs, width), "sketches")
     classes = base.where("key is not null and id is not null").groupBy("key").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = materialize(classes, "classes")
-    band = F.col("sketch").substr(F.col("band") * (2 * ROWS) + 1, F.lit(2 * ROWS))
-    bands = classes.select("rep", "sketch", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")).withColumn("part", band)
-    bands = bands.where(F.col("part") != F.lit(bytes(2 * ROWS))).select("rep", F.xxhash64("band", "part").alias("bucket"))
-    buckets = bands.groupBy("bucket").agg(F.min("rep").alias("lead"), F.count("*").alias("held")).where("held > 1")
-    members = materialize(bands.join(buckets, "bucket"), "members")
-    pairs = members.where("rep > lead").select(F.col("lead").alias("u"), F.col("rep").alias("v")).distinct()
-    pairs = materialize(promising(_with_sketches(pairs, classes), percent), "promising")
-    links = verified(docs, pairs, width, percent)
-    found = materialize(components(links), "components")
-    # The smallest member has met all others; of the rest some may be in different components.
-    rest = members.where("rep > lead and held > 2").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    rest = materialize(rest.select("bucket", "rep", "component"), "unsettled")
-    open_buckets = rest.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("held")).where("a <> b").select("bucket", "held")
-    several = rest.join(open_buckets, "bucket").join(classes.drop("key"), "rep")
-    more = materialize(across(several, percent), "across")
-    again = verified(docs, more, width, percent)
-    found = components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(again))
+    clusters = clusters_of(classes, percent)
+    found = components(links_in(clusters, docs, width, percent))
     named = classes.select("key", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))
     named = materialize(named, "named")
     out = base.select("id", "n", F.when(F.col("id").isNotNull(), F.col("key")).alias("key")).join(named, "key", "left")
