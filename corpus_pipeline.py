@@ -1,11 +1,69 @@
-"""A corpus pipeline of four stages (being built)."""
+"""A training-data pipeline: quality, near-duplicates, mixture, packing.
 
-STAGES: list = []
+Each stage takes what its predecessor kept, decides over all of it, and
+returns the rows that stay with the columns of ``documents``; the last one
+returns the pieces of the packed sequences.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pathloom.llm import mixing, near_dedup, packing, quality
+from pathloom.llm.common import materialize
+from pathloom.llm.queries import END_ID, table, tokenizer_path
+
+#: Similarity in percent from which documents are near-duplicates.
+NEAR = 80
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows whose id is not among ``gone``; rows with a null id stay."""
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops what importance resampling towards good labelled documents rejects."""
+    chosen = quality.resample(docs, table(spark, sf_dir, "labels"))
+    return _without(docs, chosen.where(~F.col("kept")).select("doc_id"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest id of each group of near-duplicates."""
+    groups = near_dedup.near_duplicates(docs, percent=NEAR)
+    return _without(docs, groups.where(~F.col("kept")).select("doc_id"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Gives each document as often as the sources' target weights take it."""
+    numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-documents")
+    taken = mixing.mix(numbered).where("copies > 0").select(F.col("row").alias("_row"), "copies")
+    times = numbered.join(taken, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return times.select(docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of 4096 tokens, as pieces with their ids."""
+    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"), 4096, END_ID)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", select_quality),
+    ("near-duplicates", drop_near_duplicates),
+    ("mixture", mix_sources),
+    ("packing", pack_sequences),
+]
+
+#: Hashing, models and knapsacks are not SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each stage's rows written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
