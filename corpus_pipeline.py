@@ -39,9 +39,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Gives each document as often as the sources' target weights take it."""
-    numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-documents")
-    taken = mixing.mix(numbered).where("copies > 0").select(F.col("row").alias("_row"), "copies")
-    times = numbered.join(taken, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    row, copies = (next(f"_{x}{i}" for i in range(len(docs.columns) + 1) if f"_{x}{i}" not in docs.columns) for x in ("row", "copies"))
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "mix-documents")
+    taken = mixing.mix(numbered, row_col=row).where("copies > 0").select(F.col("row").alias(row), F.col("copies").alias(copies))
+    times = numbered.join(taken, row).select(*numbered.columns, F.explode(F.sequence(F.lit(1), F.col(copies))).alias(copies))
     return times.select(docs.columns)
 
 

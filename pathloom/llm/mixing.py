@@ -102,7 +102,7 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, sums: int = SUMS)
     return out
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most_sources: int = 1_000_000) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None, most_sources: int = 1_000_000) -> DataFrame:
     """How often each document is taken so that sources meet their targets.
 
     A document's size is its number of words between ASCII white space. A
@@ -116,16 +116,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3,
 
     Returns ``docs``'s id and source columns with ``size``, ``source_size``,
     ``target``, ``copies`` (0 to ``most``), ``taken`` (size times copies) and
-    ``row``, a number of the row that ties it to ``docs`` as materialized by
-    the caller. Null text: size 0, never taken. Null sources are one source.
+    ``row``: the row's value of ``row_col``, which numbers the rows, if given. Null text: size 0, never taken. Null sources are one source.
     Repeated rows count each. No rows give no rows. Sources are listed on the
     driver, up to ``most_sources`` (then an error).
     """
     spark = docs.sparkSession
-    has_row = "_row" in docs.columns
     words = F.coalesce(F.regexp_count(F.col(f"`{text_col}`").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
     draw = F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), F.lit(seed))
-    base = docs.select(*([F.col("_row").alias("row")] if has_row else [F.monotonically_increasing_id().alias("row")]), F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), words.alias("size"), draw.alias("draw"))
+    base = docs.select((F.col(f"`{row_col}`") if row_col else F.monotonically_increasing_id()).alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), words.alias("size"), draw.alias("draw"))
     base = materialize(base, "mix-sizes")
     by_length = materialize(base.groupBy("source", "size").agg(F.count("*").alias("n")), "mix-lengths")
     sizes = by_length.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("size")).limit(most_sources + 1).collect()

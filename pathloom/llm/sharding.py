@@ -56,8 +56,11 @@ def shard(df: DataFrame, key: str, shards: list[str], size: int, to: str = "shar
     The table has ``size`` rows whatever the data, so it is broadcast and each
     row finds its shard by one lookup; no row is moved. Rows with equal keys
     share a shard; null keys are placed as the empty string is. All columns
-    stay (those named ``slot`` or ``to`` are replaced); no rows give no rows.
+    stay (those named ``slot`` or ``to`` are replaced, so the key may not be
+    named so); no rows give no rows.
     """
+    if key in {"slot", to}:
+        raise ValueError(f"the key may not be named {key}")
     rows = [(i, shards[x]) for i, x in enumerate(lookup_table(shards, size))]
     places = df.sparkSession.createDataFrame(rows, f"slot long, `{to}` string")
     kept = df.select(*(F.col(f"`{c}`") for c in df.columns if c not in {"slot", to}))
