@@ -61,7 +61,10 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, sums: int = SUMS)
             add = min(n, (left - sums // 2) // size)
             take[i] += add
             left -= add * size
-    # What is left is small: give back some short documents to have a choice.
+    # What is left is small: give back some short documents to have a choice, or all if all fit.
+    if budget <= sums:
+        take[:] = 0
+        left = budget
     give = sums // 4
     for i in range(len(lengths) - 1, -1, -1):
         size = int(lengths[i])
@@ -71,7 +74,7 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, sums: int = SUMS)
             left += back * size
             give -= back * size
     free = counts - take
-    limit = left + int(lengths[lengths > 0].min())
+    limit = left + min(left, int(lengths.max()))  # none beyond is nearer than 0
     mask = (1 << (limit + 1)) - 1
     reach, steps = 1, []
     for i in range(len(lengths)):
@@ -108,9 +111,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3,
     A document's size is its number of words between ASCII white space. A
     source's target (see ``targets``) is met by whole documents: all of them
     as often as the target holds the source, and for the rest of the budget
-    some once more, chosen by length: documents are counted by exact size,
-    :func:`fit` says how many of each size, and within a size those with the
-    smallest seeded hashes of id and text are taken. Documents that share a
+    some once more (or more often, if only that comes nearer), chosen by
+    length: documents are counted by exact size, :func:`fit` says how many of
+    each size, and within a size those with the smallest seeded hashes of id
+    and text are taken. Documents that share a
     size and a source are ranked by ranges of the hash, as many as the square
     root of their number, so neither a range nor the ranges grow large.
 
@@ -140,11 +144,16 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3,
     plans = spark.createDataFrame(plan, "source string, source_size long, target double, whole int, rest long")
 
     def fitted(rows: pd.DataFrame) -> pd.DataFrame:
-        more = fit(rows["size"].to_numpy(), rows["n"].to_numpy(), int(rows["rest"].iloc[0]))
+        size, n, rest = rows["size"].to_numpy(), rows["n"].to_numpy(), int(rows["rest"].iloc[0])
+        more = fit(size, n, rest)
+        if (size * more).sum() != rest:  # some documents more than once may come nearer
+            again = fit(size, n * (most - int(rows["whole"].iloc[0])), rest)
+            if abs((size * again).sum() - rest) < abs((size * more).sum() - rest):
+                more = again
         return pd.DataFrame({"source": rows["source"], "size": rows["size"], "n": rows["n"], "more": more})
 
     # A source's rows here are its distinct sizes, no more than its longest document has words.
-    joined = by_length.join(plans.select("source", "rest"), by_length["source"].eqNullSafe(plans["source"])).select(by_length["source"], "size", "n", "rest")
+    joined = by_length.join(plans.select("source", "whole", "rest"), by_length["source"].eqNullSafe(plans["source"])).select(by_length["source"], "size", "n", "whole", "rest")
     more = materialize(joined.groupBy("source").applyInPandas(fitted, "source string, size long, n long, more long"), "mix-counts")
     more = more.withColumns({"source_key": F.coalesce("source", F.lit("")), "no_source": F.col("source").isNull()}).drop("source")
     rows = base.withColumns({"source_key": F.coalesce("source", F.lit("")), "no_source": F.col("source").isNull()}).join(more, ["source_key", "no_source", "size"])
@@ -157,9 +166,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3,
     before = F.sum("held").over(Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
     held = held.withColumn("before", F.coalesce(before, F.lit(0))).drop("held")
     rows = rows.join(held, [*keys, "range"])
-    sure = (F.col("more") > 0) & (F.col("more") >= F.col("n"))
+    rest = F.col("more") - F.expr("more div n") * F.col("n")
     rank = F.row_number().over(Window.partitionBy(*keys, "range").orderBy("draw", "id", "row"))
-    rows = rows.withColumn("extra", F.when(sure, 1).when(F.col("before") + rank <= F.col("more"), 1).otherwise(0))
+    rows = rows.withColumn("extra", F.expr("more div n") + F.when(F.col("before") + rank <= rest, 1).otherwise(0))
     plans = plans.withColumns({"source_key": F.coalesce("source", F.lit("")), "no_source": F.col("source").isNull()}).drop("source")
     out = rows.join(plans, ["source_key", "no_source"])
     copies = F.when(F.col("size") > 0, F.col("whole") + F.col("extra")).otherwise(0).cast("int")
