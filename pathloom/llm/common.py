@@ -35,7 +35,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     before, and later passes see exactly these rows in any order of tasks.
     """
     path = scratch(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -62,17 +62,18 @@ def id_ranges(df: DataFrame, id_col: str, parts: int) -> tuple[list, object]:
     return bounds, low
 
 
-def in_id_order(df: DataFrame, id_col: str, tie_col: str, look_ahead: bool = False) -> tuple[DataFrame, int]:
+def in_id_order(df: DataFrame, id_col: str, tie_col: str, look_ahead: bool = False, bounds: tuple[list, object] | None = None) -> tuple[DataFrame, int]:
     """``df`` in ranges of ``id_col``, each sorted by id (null last), then ``tie_col``.
 
     Returns the rows with a column ``_part`` (the range's number, which is the
     partition's) and ``_extra``: 0 for the row itself. With ``look_ahead`` each
     range also holds, after its own rows, the first row of the range that
     follows (``_extra`` 1; after the last range the very first row, 2). One
-    shuffle moves each row once.
+    shuffle moves each row once. ``bounds`` are those of :func:`id_ranges`,
+    where they are known from elsewhere.
     """
     spark = df.sparkSession
-    bounds, low = id_ranges(df, id_col, parts_of(spark))
+    bounds, low = bounds or id_ranges(df, id_col, parts_of(spark))
     n = len(bounds) + 1
     part = F.when(F.col(id_col).isNull(), F.lit(n - 1)).otherwise(_tree(F.col(id_col), bounds, 0))
     spot = lambda p, extra: F.struct(p.cast("int").alias("_part"), F.lit(extra).alias("_extra"))

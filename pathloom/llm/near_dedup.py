@@ -26,7 +26,7 @@ BANDS = REGISTERS // ROWS
 #: An estimate this far below the threshold (4.5 standard deviations at 0.8) spares the full check.
 MARGIN = 0.16
 #: Members of a bucket that one comparison holds, about.
-BLOCK = 256
+BLOCK = 128
 
 
 def registers(hashes: np.ndarray) -> np.ndarray:

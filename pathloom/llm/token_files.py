@@ -1,11 +1,12 @@
 """Files of token ids: frequency ranks in byte-aligned variable-length coding.
 
-A file holds, after a head (``HEAD``), its documents' ids (8 bytes
-each), flags (1 byte each, 1 where the id is null), numbers of tokens (8 bytes
-each), then the control bytes and the data bytes of all tokens in a row. A
+A file holds, after a head (``HEAD``), its documents' ids (8 bytes each),
+flags (1 byte each, 1 where the id is null), numbers of tokens (8 bytes each),
+then the control bytes of all documents and the data bytes of all documents. A
 control byte has two bits for each of four tokens, lowest first: the number of
 the token's data bytes less one. Data bytes are the token's rank by frequency,
-lowest byte first, so the 256 most frequent ids take one byte and two bits.
+lowest byte first, so the 256 most frequent ids take one byte and two bits. A
+document starts on a control byte; up to three zero ranks fill its last one.
 """
 
 from __future__ import annotations
@@ -17,68 +18,117 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import array, blocks, column, in_id_order, kept, materialize, scratch, small_batches
+from .common import array, blocks, column, id_ranges, in_id_order, kept, materialize, parts_of, scratch, small_batches
 from .tokens import TextEncoder
 
 MAGIC = b"TKRANK1\0"
-HEAD = "<8sQQQ"  # magic, documents, tokens, data bytes
+HEAD = "<8sQQQ"  # magic, documents, control bytes, data bytes
 #: By control byte: the lengths of its four tokens.
 LENGTHS = np.array([[(c >> (2 * i) & 3) + 1 for i in range(4)] for c in range(256)], np.int64)
 
 
-def put(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """Control bytes and data bytes of unsigned 32-bit ranks."""
-    ranks = np.ascontiguousarray(ranks, "<u4")
+def put(ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Control bytes, data bytes and each rank's number of data bytes; a multiple of four ranks."""
     size = 1 + (ranks >= 1 << 8).astype(np.uint8) + (ranks >= 1 << 16) + (ranks >= 1 << 24)
-    code = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
-    code[: len(ranks)] = size - 1
-    code = code.reshape(-1, 4)
+    code = (size - 1).reshape(-1, 4)
     control = code[:, 0] | code[:, 1] << 2 | code[:, 2] << 4 | code[:, 3] << 6
-    keep = np.arange(4) < size[:, None]
-    return control.astype(np.uint8).tobytes(), ranks.view(np.uint8).reshape(-1, 4)[keep].tobytes()
-
-
-def get(control: np.ndarray, data: np.ndarray, n: int, step: int = 1 << 18) -> Iterator[np.ndarray]:
-    """The ``n`` ranks, in blocks of ``step`` (a multiple of 4)."""
+    ends = np.cumsum(size, dtype=np.int64)
+    data = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+    start = ends - size
+    data[start] = ranks
+    for k in range(1, int(size.max(initial=1))):
+        longer = np.flatnonzero(size > k)
+        data[start[longer] + k] = ranks[longer] >> np.uint32(8 * k)
+    return control.astype(np.uint8), data, size
+
+
+def get(control: np.ndarray, data: np.ndarray, step: int = 1 << 14) -> Iterator[np.ndarray]:
+    """The ranks, four for each control byte, in blocks of ``step`` control bytes."""
     at = 0
-    for first in range(0, n, step):
-        size = LENGTHS[control[first // 4 : (first + step) // 4]].reshape(-1)[: min(step, n - first)]
+    for first in range(0, len(control), step):
+        size = LENGTHS[control[first : first + step]].reshape(-1)
         ends = np.cumsum(size)
-        own = data[at : at + int(ends[-1])].astype(np.uint32)
+        own = data[at : at + int(ends[-1])]
         start = ends - size
-        rank = own[start]
+        rank = own[start].astype(np.uint32)
         for k in range(1, int(size.max())):
-            longer = size > k
-            rank[longer] |= own[start[longer] + k] << np.uint32(8 * k)
+            longer = np.flatnonzero(size > k)
+            rank[longer] |= own[start[longer] + k].astype(np.uint32) << np.uint32(8 * k)
         yield rank
         at += int(ends[-1])
 
 
-def id_counts(docs: DataFrame, tokenizer: str, end_id: int, text_col: str = "text") -> DataFrame:
-    """How often each id occurs in all texts; a partition sends an id once."""
+def _binary(parts: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """A binary array of bytes cut at bounds."""
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(parts).view(np.uint8).tobytes())])
+
+
+def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+    """``id``, ``n`` and ``ids`` of each document; a task's last row has ``counts`` of all its ids.
+
+    ``ids`` are 16-bit numbers if the vocabulary allows, else 32-bit;
+    ``counts`` are 64-bit, by id.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = kept(tokenizer, lambda: TextEncoder(tokenizer))
-        count = np.zeros(encoder.n_ids, np.int64)
+        kind = np.dtype(_kind(encoder.n_ids))
+        total = np.zeros(encoder.n_ids, np.int64)
+        names = ["id", "n", "ids", "counts"]
         for batch in blocks(batches, "text"):
-            count += encoder.count(array(batch, "text"), end_id)
-        seen = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int64)), pa.array(count[seen])], names=["token", "n"])
+            ids, n = encoder.encode(array(batch, "text"), end_id)
+            total += np.bincount(ids, minlength=len(total))
+            bounds = np.concatenate([[0], np.cumsum(n)]) * kind.itemsize
+            yield pa.RecordBatch.from_arrays([array(batch, "id"), pa.array(n.astype(np.int64)), _binary(ids.astype(kind), bounds), pa.nulls(len(n), pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())], names=names)
+
+    return docs.mapInArrow(run, "id long, n long, ids binary, counts binary")
 
-    counted = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "token long, n long")
-    return counted.groupBy("token").agg(F.sum("n").alias("n"))
 
+def _kind(n_ids: int) -> str:
+    return "<u2" if n_ids <= 1 << 16 else "<u4"
 
-def frequency_order(counts: DataFrame) -> np.ndarray:
+
+def frequency_order(coded: DataFrame) -> np.ndarray:
     """Ids from the most frequent on, ties by id; as many as the vocabulary at most."""
-    rows = sorted(counts.collect(), key=lambda r: (-r.n, r.token))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for counts in array(batch, "counts"):
+                n = np.frombuffer(counts.as_buffer(), np.int64)
+                seen = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(n[seen])], names=["token", "n"])
+
+    counted = coded.where("counts is not null").select("counts").mapInArrow(run, "token long, n long")
+    rows = sorted(counted.groupBy("token").agg(F.sum("n").alias("n")).collect(), key=lambda r: (-r.n, r.token))
     return np.array([r.token for r in rows], np.uint32)
 
 
+def ranked(coded: DataFrame, order: Broadcast, n_ids: int) -> DataFrame:
+    """Documents with their ``control`` and ``data`` bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank = np.zeros(n_ids, np.uint32)
+        rank[order.value] = np.arange(len(order.value))
+        for batch in blocks(batches, "ids", 1 << 20):
+            n = array(batch, "n").to_numpy()
+            ids = np.frombuffer(b"".join(column(batch, "ids")), _kind(n_ids))
+            full = -(-n // 4) * 4
+            ranks = np.zeros(int(full.sum()), np.uint32)
+            ranks[np.arange(len(ids)) + np.repeat(np.cumsum(full - n) - (full - n), n)] = rank[ids]
+            control, data, size = put(ranks)
+            ends = np.concatenate([[0], np.cumsum(full)])
+            bytes_to = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+            yield pa.RecordBatch.from_arrays([array(batch, "id"), array(batch, "n"), _binary(control, ends // 4), _binary(data, bytes_to[ends])], names=["id", "n", "control", "data"])
+
+    return coded.where("counts is null").select("id", "n", "ids").mapInArrow(run, "id long, n long, control binary, data binary")
+
+
 def _file(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path)
 
@@ -87,61 +137,55 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, folder:
     """Writes all documents' ids, in ascending order of ``id_col``, into ``folder``.
 
     ``folder`` is a URI that all executors reach; by default it is new in the
-    shared checkpoint folder. Ids are counted over all texts, then the texts
-    are dealt into ranges of ``id_col`` by one shuffle, sorted and encoded, a
-    range's files being closed at ``file_tokens`` tokens (a document stays
-    whole). A file is written under a name of its own and moved into place,
-    so a task that runs again leaves the same file.
+    shared checkpoint folder. The texts are encoded once, into a table of ids,
+    and the ids counted on the way. Coded by rank, documents are dealt into
+    ranges of ``id_col`` by one shuffle, sorted and written, a range's files
+    being closed at ``file_tokens`` tokens (a document stays whole). A file is
+    written under a name of its own and moved into place, so a task that runs
+    again leaves the same file.
 
     Returns the manifest (``part``, ``file``, ``path``, ``docs``, ``tokens``;
     files in order of part and file) and the ids in the order of their ranks,
     which reading needs. A null text is an empty one; null ids of documents
-    come last; documents with equal ids are ordered by text; no rows give no
-    files; other columns are not read.
+    come last; documents with equal ids are ordered by their bytes; no rows
+    give no files; other columns are not read.
     """
     spark = docs.sparkSession
     small_batches(spark)
     folder = folder or scratch(spark, "tokens")
-    order = frequency_order(id_counts(docs, tokenizer, end_id, text_col))
+    coded = encoded(docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")), tokenizer, end_id)
+    coded = materialize(coded, "token-ids")
+    order = frequency_order(coded)
     shared = spark.sparkContext.broadcast(order)  # no longer than the vocabulary
-    sorted_docs, _ = in_id_order(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), "id", "text")
+    sorted_docs, _ = in_id_order(ranked(coded, shared, TextEncoder(tokenizer).n_ids), "id", "data", bounds=id_ranges(coded.where("counts is null"), "id", parts_of(spark)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = np.zeros(int(shared.value.max()) + 1 if len(shared.value) else 1, np.uint32)
-        rank[shared.value] = np.arange(len(shared.value))
-        encoder, files, part = kept(tokenizer, lambda: TextEncoder(tokenizer)), 0, 0
-        ids: list = []
-        sizes: list[np.ndarray] = []
-        ranks: list[np.ndarray] = []
-        held = 0
+        part, files, held = 0, 0, 0
+        rows: list[tuple] = []
 
         def close() -> pa.RecordBatch:
-            nonlocal ids, sizes, ranks, held, files
+            nonlocal rows, held, files
+            ids, n, control, data = zip(*rows, strict=True)
             path = f"{folder}/part-{part:06d}-{files:06d}.tkr"
-            control, data = put(np.concatenate(ranks))
-            own = np.array([x if x is not None else 0 for x in ids], "<i8")
-            flags = np.array([x is None for x in ids], np.uint8)
-            n = np.concatenate(sizes).astype("<i8")
             store, place = _file(path)
             store.create_dir(place.rpartition("/")[0], recursive=True)
-            with store.open_output_stream(own_place := f"{place}.{uuid.uuid4().hex}") as out:
-                for x in (struct.pack(HEAD, MAGIC, len(ids), held, len(data)), own.tobytes(), flags.tobytes(), n.tobytes(), control, data):
-                    out.write(x)
-            store.move(own_place, place)
-            row = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([files], pa.int32()), pa.array([path]), pa.array([len(ids)], pa.int64()), pa.array([held], pa.int64())], names=["part", "file", "path", "docs", "tokens"])
-            ids, sizes, ranks, held, files = [], [], [], 0, files + 1
+            with store.open_output_stream(own := f"{place}.{uuid.uuid4().hex}") as out:
+                out.write(struct.pack(HEAD, MAGIC, len(rows), sum(map(len, control)), sum(map(len, data))))
+                out.write(np.array([x if x is not None else 0 for x in ids], "<i8").tobytes() + bytes(x is None for x in ids) + np.array(n, "<i8").tobytes())
+                out.write(b"".join(control))
+                out.write(b"".join(data))
+            store.move(own, place)
+            row = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([files], pa.int32()), pa.array([path]), pa.array([len(rows)], pa.int64()), pa.array([held], pa.int64())], names=["part", "file", "path", "docs", "tokens"])
+            rows, held, files = [], 0, files + 1
             return row
 
-        for batch in blocks(batches, "text"):
-            part = batch.column(batch.schema.get_field_index("_part"))[0].as_py()
-            got, n = encoder.encode(array(batch, "text"), end_id)
-            ids += column(batch, "id")
-            sizes.append(n)
-            ranks.append(rank[got])
-            held += len(got)
-            if held >= file_tokens:
-                yield close()
-        if ids:
+        for batch in batches:
+            for part, *row in zip(*(column(batch, c) for c in ("_part", "id", "n", "control", "data")), strict=True):
+                rows.append(tuple(row))
+                held += row[1]
+                if held >= file_tokens:
+                    yield close()
+        if rows:
             yield close()
 
     manifest = sorted_docs.mapInArrow(run, "part int, file int, path string, docs long, tokens long")
@@ -171,20 +215,24 @@ def read_token_files(spark: SparkSession, manifest: DataFrame, order: np.ndarray
                 store, place = _file(path)
                 with store.open_input_stream(place) as f:
                     raw = f.read()
-                magic, docs, tokens, size = struct.unpack_from(HEAD, raw)
+                magic, docs, controls, size = struct.unpack_from(HEAD, raw)
                 if magic != MAGIC:
                     raise ValueError(f"{path} is not a file of token ids")
                 at = struct.calcsize(HEAD)
                 ids = np.frombuffer(raw, "<i8", docs, at)
                 null = np.frombuffer(raw, np.uint8, docs, at := at + 8 * docs).astype(bool)
                 n = np.frombuffer(raw, "<i8", docs, at := at + docs)
-                control = np.frombuffer(raw, np.uint8, -(-tokens // 4), at := at + 8 * docs)
-                data = np.frombuffer(raw, np.uint8, size, at + len(control))
-                out = np.empty(tokens, "<u4")
+                control = np.frombuffer(raw, np.uint8, controls, at := at + 8 * docs)
+                data = np.frombuffer(raw, np.uint8, size, at + controls)
+                out = np.empty(4 * controls, "<u4")
                 done = 0
-                for block in get(control, data, tokens):
+                for block in get(control, data):
                     out[done : done + len(block)] = shared.value[block]
                     done += len(block)
+                full = -(-n // 4) * 4
+                if (full != n).any():  # take out what fills the control bytes
+                    out = out[np.arange(int(n.sum())) + np.repeat(np.cumsum(full - n) - (full - n), n)]
+                tokens = len(out)
                 ends = np.cumsum(n)
                 # Arrow's binary offsets are 32-bit: some rows at a time.
                 step = max(1, int(docs * (4 << 20) / max(1, tokens)))

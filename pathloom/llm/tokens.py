@@ -70,10 +70,17 @@ class TextEncoder:
         self.start = np.cumsum(self.length) - self.length
 
     @staticmethod
-    def _gather(table: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-        ends = np.cumsum(length)
-        total = int(ends[-1]) if len(ends) else 0
-        return table[np.repeat(start - (ends - length), length) + np.arange(total)]
+    def _gather(table: np.ndarray, start: np.ndarray, length: np.ndarray, step: int = 1 << 17) -> np.ndarray:
+        """The table's stretches in a row; some parts at a time, as their places take more room than they do."""
+        out = np.empty(int(length.sum()), table.dtype)
+        done = 0
+        for i in range(0, len(start), step):
+            own = length[i : i + step]
+            ends = np.cumsum(own)
+            total = int(ends[-1])
+            out[done : done + total] = table[np.repeat(start[i : i + step] - (ends - own), own) + np.arange(total)]
+            done += total
+        return out
 
     def _put(self, ids: np.ndarray) -> int:
         """Room for ids at the table's end; returns the place."""
@@ -95,48 +102,53 @@ class TextEncoder:
         got = [np.array(e.ids, np.uint32) for e in by.encode_batch_fast(lines, add_special_tokens=False)]
         return np.concatenate(got) if got else np.zeros(0, np.uint32)
 
-    def _learn(self, words: pa.Array) -> None:
-        """Encodes new parts, each as after a space, and keeps them."""
+    def _learn(self, words: pa.Array) -> np.ndarray:
+        """Encodes new parts, each as after a space, keeps them, and returns their numbers."""
+        none = pa.array(np.zeros(len(words), bool))
         if self.quick:
-            plain = pc.match_substring_regex(words, f"^{_LETTERS}$")
-            ended = pc.match_substring_regex(words, f"^{_LETTERS}[,.]$")
-        else:
-            plain = pc.and_(pc.invert(pc.match_substring(words, " ")), pc.greater(pc.binary_length(words), 0))
-            ended = pa.array(np.zeros(len(words), bool))
-        groups = []
-        if self.quick:
-            own = words.filter(plain).to_pylist() + [f"{w[:-1]} {w[-1]}" for w in words.filter(ended).to_pylist()]
+            plain, ended = pc.match_substring_regex(words, f"^{_LETTERS}$"), pc.match_substring_regex(words, f"^{_LETTERS}[,.]$")
+            own = words.filter(plain).to_pylist()
+            n = len(own)
+            own += [f"{w[:-1]} {w[-1]}" for w in words.filter(ended).to_pylist()]
             ids = self._lines([" " + w.lower() for w in own], self.quick)
             last = np.flatnonzero(self.ends[ids]) + 1
-            n = pc.sum(plain).as_py() or 0
             marks = np.concatenate([np.ones(n, np.int64), np.full(len(own) - n, 2)])
             stops = last[np.cumsum(marks) - 1] if len(last) == marks.sum() else None
         else:
+            plain, ended = pc.and_(pc.invert(pc.match_substring(words, " ")), pc.greater(pc.binary_length(words), 0)), none
             own = words.filter(plain).to_pylist()
             ids = self._lines([" " + w for w in own], self.tokenizer)
             first = np.flatnonzero(self.starts[ids])
             stops = np.append(first[1:], len(ids)) if len(first) == len(own) and len(own) else None
-        done = pc.or_(plain, ended)
         if stops is None:
-            done = pa.array(np.zeros(len(words), bool))
-        elif len(own):
-            groups.append((pa.concat_arrays([words.filter(plain), words.filter(ended)]), ids, np.diff(stops, prepend=0)))
-        rest = words.filter(pc.invert(done))
-        if len(rest):
-            groups.append((rest, *self._each([" " + w for w in rest.to_pylist()])))
-        for names, ids, length in groups:
+            plain = ended = none
+        number = np.zeros(len(words), np.int64)
+        rest = pc.invert(pc.or_(plain, ended))
+        for masks in ((plain, ended), (rest,)):
+            rows = np.concatenate([np.flatnonzero(m.to_numpy(zero_copy_only=False)) for m in masks])
+            if not len(rows):
+                continue
+            names = words.take(pa.array(rows))
+            if masks[0] is rest:
+                ids, length = self._each([" " + w for w in names.to_pylist()])
+            else:
+                length = np.diff(stops, prepend=0)
             at = self._put(ids)
+            number[rows] = np.arange(len(self.words), len(self.words) + len(rows))
             self.start = np.concatenate([self.start, at + np.cumsum(length) - length])
             self.length = np.concatenate([self.length, length])
             self.met = np.concatenate([self.met, np.zeros(len(length), np.int64)])
             self.words = pa.concat_arrays([self.words, names])
+        return number
 
     def _find(self, words: pa.Array) -> np.ndarray:
         at = pc.index_in(words, value_set=self.words)
-        if at.null_count:
-            self._learn(words.filter(pc.is_null(at)))
-            at = pc.index_in(words, value_set=self.words)
-        return at.to_numpy().astype(np.int64)
+        if not at.null_count:
+            return at.to_numpy().astype(np.int64)
+        new = at.is_null().to_numpy(zero_copy_only=False)
+        out = pc.fill_null(at, 0).to_numpy().astype(np.int64)
+        out[new] = self._learn(words.filter(pa.array(new)))
+        return out
 
     def _cut(self, texts: pa.Array) -> pa.ListArray:
         odd = pc.match_substring_regex(texts, _ODD)
