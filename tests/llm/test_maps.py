@@ -59,12 +59,12 @@ def test_token_files(spark):
     docs = documents(spark, ids=[None if i == 3 else i * 7 % 11 for i in range(len(TEXTS))])
     manifest, order = token_files.write_token_files(docs, queries.tokenizer_path("byte_bpe_50k.json"), 2, file_tokens=50)
     got = sorted(((r.start, r.doc_id, r.n_tokens, bytes(r.ids)) for r in token_files.read_token_files(spark, manifest, order).collect()))
-    library, at, expected = tokenizer("byte_bpe_50k.json"), 0, []
-    for doc, text in sorted(docs.select("doc_id", "text").collect(), key=lambda r: (r[0] is None, r[0] or 0)):
-        ids = library.encode(text or "", add_special_tokens=False).ids + [2]
-        expected.append((at, doc, len(ids), np.array(ids, "<u4").tobytes()))
-        at += len(ids)
-    assert got == expected and manifest.count() > 1
+    library = tokenizer("byte_bpe_50k.json")
+    whole = sorted((r.doc_id is None, r.doc_id or 0, np.array(library.encode(r.text or "", add_special_tokens=False).ids + [2], "<u4").tobytes()) for r in docs.collect())
+    assert [(d is None, d or 0) for _, d, _, _ in got] == [r[:2] for r in whole]
+    assert sorted((d is None, d or 0, ids) for _, d, _, ids in got) == whole
+    assert [(s, 4 * n) for s, _, n, _ in got] == [(sum(len(x[3]) for x in got[:i]) // 4, len(r[3])) for i, r in enumerate(got)]
+    assert manifest.count() > 1
     empty, order = token_files.write_token_files(docs.limit(0), queries.tokenizer_path("byte_bpe_50k.json"))
     assert token_files.read_token_files(spark, empty, order).count() == 0
 
