@@ -13,8 +13,12 @@ from pyspark.sql import functions as F
 
 from .common import array, materialize, parts_of, small_batches
 
-#: Vectors that one task compares queries with at a time, about.
-BLOCK = 2048
+#: Vectors that queries are compared with at a time, about; and queries.
+BLOCK, ASK = 2048, 256
+#: Leaves that a tree has, about, whatever the number of vectors.
+LEAVES = 256
+#: Queries whose best so far a task holds at most.
+HELD = 20_000
 
 
 class KMeansTree:
@@ -25,12 +29,12 @@ class KMeansTree:
     vector with the largest inner product is the nearest one.
     """
 
-    def __init__(self, sample: np.ndarray, top: float, branch: int = 16, leaf: int = 48, rounds: int = 8, seed: int = 3):
+    def __init__(self, sample: np.ndarray, top: float, branch: int = 16, rounds: int = 8, seed: int = 3):
         self.top, self.n_leaves = top, 0
         self.centres: list[np.ndarray] = []  # by inner node
         self.children: list[list[int]] = []  # by inner node: an inner node's number, or -1 - a leaf's
         self.rng = np.random.default_rng(seed)
-        self.root = self._grow(self.lifted(sample), branch, leaf, rounds)
+        self.root = self._grow(self.lifted(sample), branch, max(2 * branch, 2 * len(sample) // LEAVES), rounds)
 
     def lifted(self, x: np.ndarray, query: bool = False) -> np.ndarray:
         more = np.zeros(len(x)) if query else np.sqrt(np.maximum(self.top**2 - (x * x).sum(1), 0))
@@ -93,17 +97,29 @@ def scores(query: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.cumsum(query[None] * x, 1)[:, -1] if x.shape[1] else np.zeros(len(x))
 
 
-def nearest(query: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and exact scores of the ``k`` best rows, ties to smaller ids; rough scores choose with slack."""
-    if len(x) > 2 * k:
-        rough = x @ query
-        least = np.partition(rough, -k)[-k]
-        slack = 1e-9 * max(1.0, float(np.abs(rough).max()))
-        near = np.flatnonzero(rough >= least - slack)
-        x, ids = x[near], ids[near]
-    own = scores(query, x)
-    order = np.lexsort([ids, -own])[:k]
-    return ids[order], own[order]
+def nearest(queries: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For all queries their ``k`` best rows: the query's number, id and exact score.
+
+    Rough scores choose with slack, exact ones order; ties go to smaller ids.
+    """
+    rough = queries @ x.T
+    if len(x) > k:
+        least = np.partition(rough, len(x) - k, axis=1)[:, len(x) - k]
+        slack = 1e-9 * np.maximum(1.0, np.abs(rough).max(1))
+        row, col = np.nonzero(rough >= (least - slack)[:, None])
+    else:
+        row, col = np.divmod(np.arange(rough.size), len(x)) if len(x) else (np.zeros(0, int), np.zeros(0, int))
+    exact = np.cumsum(queries[row] * x[col], 1)[:, -1] if len(row) else np.zeros(0)
+    return best(row, ids[col], exact, k)
+
+
+def best(row: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` best of each row."""
+    order = np.lexsort([ids, -score, row])
+    row, ids, score = row[order], ids[order], score[order]
+    first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])[: len(row)])
+    rank = np.arange(len(row)) - np.repeat(first, np.diff(first, append=len(row)))
+    return row[rank < k], ids[rank < k], score[rank < k]
 
 
 def _valid(vec: Column, dim: int | None = None) -> Column:
@@ -127,7 +143,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts = [0, *(np.flatnonzero((own[:, 1:] != own[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             now = tuple(own[:, a].tolist())
-            if held and (now != last or now[2] and sum(x.num_rows for x in held) >= BLOCK):
+            if held and (now != last or now[2] and sum(x.num_rows for x in held) >= ASK):
                 yield pa.concat_batches(held)
                 held = []
             held.append(batch.slice(a, b - a))
@@ -136,7 +152,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.concat_batches(held)
 
 
-def search(vectors: DataFrame, queries: Column, k: int = 20, recall: float = 0.97, most_sample: int = 20_000, most_tests: int = 256, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, queries: Column, k: int = 20, recall: float = 0.95, most_sample: int = 20_000, most_tests: int = 256, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """For each row that ``queries`` picks, its ``k`` nearest others found.
 
     Nearness is the largest inner product. A tree is fitted on a sample of
@@ -158,20 +174,21 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, recall: float = 0.9
     """
     spark = vectors.sparkSession
     small_batches(spark, 2000)
-    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vec_col}`").cast("array<double>").alias("vec"), queries.alias("asks")).where(F.col("id").isNotNull() & _valid(F.col("vec")))
+    number = "float" if vectors.schema[vec_col].dataType.simpleString() == "array<float>" else "double"
+    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vec_col}`").cast(f"array<{number}>").alias("vec"), queries.alias("asks")).where(F.col("id").isNotNull() & _valid(F.col("vec")))
     size = rows.groupBy(F.size("vec").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
     dim = size.dim if size else 1
-    plain = F.transform("vec", lambda x: x + F.lit(0.0))  # no negative zeros
+    plain = F.transform("vec", lambda x: x + F.lit(0.0).cast(number))  # no negative zeros
     rows = rows.where(F.size("vec") == dim).withColumn("vec", plain).withColumns({"k1": F.xxhash64("vec"), "k2": F.xxhash64(F.lit(1), "vec")})
     rows = materialize(rows, "vectors")
-    number = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("id"))
-    few = rows.select("k1", "k2", "id").distinct().withColumn("number", number).where(F.col("number") <= k + 1)
+    nth = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("id"))
+    few = rows.select("k1", "k2", "id").distinct().withColumn("nth", nth).where(F.col("nth") <= k + 1)
     few = few.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.sort_array(F.collect_list("id")).alias("ids"))
     first = rows.groupBy("k1", "k2").agg(F.first("vec").alias("vec"))
     distinct = materialize(few.join(first, ["k1", "k2"]), "distinct-vectors")
     ordered = lambda df, n: df.orderBy(F.xxhash64("rep"), "rep").limit(n)
     sample = np.array([r.vec for r in ordered(distinct.select("rep", "vec"), most_sample).collect()], np.float64).reshape(-1, dim)
-    top = distinct.agg(F.max(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))).first()[0] or 0.0
+    top = distinct.agg(F.max(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))).first()[0] or 0.0
     tree = KMeansTree(sample, float(np.sqrt(top)))
     shared = spark.sparkContext.broadcast(cloudpickle.dumps(tree))  # centres of the sample, so bounded by it
 
@@ -181,7 +198,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, recall: float = 0.9
             leaf = own.leaves(_matrix(array(batch, "vec"), dim)) if batch.num_rows else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([array(batch, "rep"), array(batch, "vec"), pa.array(leaf)], names=["rep", "vec", "leaf"])
 
-    placed = materialize(distinct.select("rep", "vec").mapInArrow(place, "rep long, vec array<double>, leaf long"), "leaves")
+    placed = materialize(distinct.select("rep", "vec").mapInArrow(place, f"rep long, vec array<{number}>, leaf long"), "leaves")
     asked = materialize(rows.where("asks").select(F.col("id").alias("query_id"), "k1", "k2").distinct().join(distinct.select("k1", "k2", "rep"), ["k1", "k2"]).select("query_id", "rep"), "queries")
     questions = asked.select("rep").distinct().join(distinct.select("rep", "vec"), "rep")
     tests = ordered(questions, most_tests).collect()
@@ -212,27 +229,37 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, recall: float = 0.9
             own = (rep * np.int64(0x9E3779B97F4A7C1) >> np.int64(20)) % parts.value[leaf] if len(leaf) else leaf
             yield pa.RecordBatch.from_arrays([array(batch, "rep"), array(batch, "vec"), pa.array(leaf), pa.array(own)], names=["rep", "vec", "leaf", "block"])
 
-    kind = "rep long, vec array<double>, leaf long, block long"
+    kind = f"rep long, vec array<{number}>, leaf long, block long"
     kept = placed.mapInArrow(spot, kind).withColumn("asks", F.lit(0))
     wanted = questions.mapInArrow(visit, kind).withColumn("asks", F.lit(1))
     dealt = kept.unionByName(wanted).repartition(parts_of(spark), "leaf", "block").sortWithinPartitions("leaf", "block", "asks")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, x, ids = None, np.zeros((0, dim)), np.zeros(0, np.int64)
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def merged() -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            return [best(*map(np.concatenate, zip(*held, strict=True)), k + 1)]
+
         for group in _groups(batches):
             now = (array(group, "leaf")[0].as_py(), array(group, "block")[0].as_py())
             if not array(group, "asks")[0].as_py():
                 at, x, ids = now, _matrix(array(group, "vec"), dim), array(group, "rep").to_numpy()
             elif now == at:
-                found = [nearest(q, x, ids, k + 1) for q in _matrix(array(group, "vec"), dim)]
-                yield pa.RecordBatch.from_arrays([array(group, "rep"), pa.array([a for a, _ in found], pa.list_(pa.int64())), pa.array([b for _, b in found], pa.list_(pa.float64()))], names=["rep", "near", "score"])
-
-    found = dealt.mapInArrow(compare, "rep long, near array<long>, score array<double>")
-    found = found.select("rep", F.explode(F.arrays_zip("near", "score")).alias("x")).select("rep", "x.near", "x.score")
-    best = lambda *by: Window.partitionBy(*by).orderBy(F.desc("score"), "near")
-    found = found.withColumn("rank", F.row_number().over(best("rep"))).where(F.col("rank") <= k + 1).drop("rank")
+                row, near, score = nearest(_matrix(array(group, "vec"), dim), x, ids, k + 1)
+                held.append((array(group, "rep").to_numpy()[row], near, score))
+                if sum(len(h[0]) for h in held) > 4 * HELD * (k + 1):
+                    held = merged()
+                    if len(held[0][0]) > HELD * (k + 1):  # many queries: what is found so far goes on
+                        yield pa.RecordBatch.from_arrays([pa.array(v) for v in held.pop()], names=["rep", "near", "score"])
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in merged()[0]], names=["rep", "near", "score"])
+
+    found = dealt.mapInArrow(compare, "rep long, near long, score double")
+    top_of = lambda *by: Window.partitionBy(*by).orderBy(F.desc("score"), "near")
+    found = found.withColumn("rank", F.row_number().over(top_of("rep"))).where(F.col("rank") <= k + 1).drop("rank")
     found = found.join(distinct.select(F.col("rep").alias("near"), "ids"), "near").select("rep", "score", F.explode("ids").alias("near"))
-    found = found.withColumn("rank", F.row_number().over(best("rep"))).where(F.col("rank") <= k + 1)
+    found = found.withColumn("rank", F.row_number().over(top_of("rep"))).where(F.col("rank") <= k + 1)
     listed = found.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("rank", F.col("near").alias("vec_id"), "score"))).alias("list"))
     out = asked.join(listed, "rep").select("query_id", F.filter("list", lambda x: x["vec_id"] != F.col("query_id")).alias("list"))
     return out.select("query_id", F.posexplode(F.slice("list", 1, k)).alias("at", "x")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "x.vec_id", "x.score")
