@@ -81,6 +81,7 @@ class Session:
         self.policy = POLICIES[kind](self.config.cache_mb, self.config.item_share)
         self.seen: Counter[SpanKey] = Counter()
         self.items: dict[object, Item] = {}
+        self.loose: list[DataFrame] = []
         self.hits = self.misses = self.writes = 0
 
     # -- binding and planning
@@ -161,18 +162,16 @@ class Session:
         self.items[key] = item
         kept = self.policy.refer(item)
         self.writes += kept
-        if not kept:
+        if not kept:  # used for this query, then freed with the session
             item.valid, item.value = False, None
+            self.loose.append(df)
         return df, item, kept
 
     def _run_result(self, b: Bound) -> DataFrame:
         self.misses += 1
         _, cost = self.plan(b.sizes)
         whole = P.Factor(b.sizes[0].rows, b.sizes[-1].cols, 0.0)
-        df, _, kept = self._keep(b.query, self._finish(b.factors, b.sizes), whole, cost)
-        if not kept:
-            df.unpersist()
-        return df
+        return self._keep(b.query, self._finish(b.factors, b.sizes), whole, cost)[0]
 
     def _run_intermediate(self, b: Bound) -> DataFrame:
         plan, _ = self.plan(b.sizes)
@@ -230,7 +229,7 @@ class Session:
             factors, sizes, at = part.factors, part.sizes, 0
         size = P.Factor(b.sizes[i].rows, b.sizes[j].cols, 0.0)
         cost = self.plan(part.sizes)[1]
-        df, item, kept = self._keep(b.key(*new), self._finish(factors, sizes, at), size, cost, self.seen[b.key(*new)])
+        df = self._keep(b.key(*new), self._finish(factors, sizes, at), size, cost, self.seen[b.key(*new)])[0]
         factors, sizes, _, at = self._splice(b, new, value=(df, size))
         return self._finish(factors, sizes, at)
 
@@ -289,7 +288,10 @@ class Session:
         for item in self.items.values():
             if item.valid and item.drop:
                 item.drop()
+        for df in self.loose:
+            df.unpersist()
         self.items.clear()
+        self.loose.clear()
         self.policy.held.clear()
 
 

@@ -177,3 +177,18 @@ def test_metrics(tiny):
     assert [r.hits for r in rows] == [0, 0, 1] and [r.rows for r in rows] == [5, 4, 5] and len(results) == 3
     with pytest.raises(ValueError):
         EngineConfig(engine="none")
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from pathloom.__main__ import main
+
+    for kind, n in (("A", 3), ("P", 4)):
+        (tmp_path / f"{kind}.csv").write_text("id\n" + "".join(f"{i}\n" for i in range(n)))
+    (tmp_path / "AP.crs").write_text("".join(f"{s}\t{d}\n" for s, d in AP))
+    (tmp_path / "log").write_text('APA\nAPA\tA.id="0"\nAPA\n')
+    main(["-qf", str(tmp_path / "log"), "-indir", str(tmp_path), "-idir", str(tmp_path), "-algo", "result", "-out", str(tmp_path / "out")], spark)
+    said = capsys.readouterr()
+    assert [x.split("\t")[0] for x in said.out.splitlines()] == ["APA"] * 3 and "hits 1, misses 2" in said.err
+    assert rows_of(read_result(spark, str(tmp_path / "out/000000_APA_result"))) == CASES[0][2]
+    with pytest.raises(SystemExit):
+        main(["-qf", "x", "-cachep", "FIFO"], spark)
