@@ -15,6 +15,18 @@ from pyspark.sql import functions as F
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
+#: What this driver has written below the shared folder.
+written: list[str] = []
+
+
+def discard(spark: SparkSession) -> None:
+    """Deletes all scratch tables and files, once nothing that reads them is needed any more."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    while written:
+        path = hadoop.Path(written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A new path in the folder the cluster shares (``spark.checkpoint.dir``).
 
@@ -25,7 +37,8 @@ def scratch(spark: SparkSession, label: str) -> str:
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="checkpoint-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    written.append(f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}")
+    return written[-1]
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

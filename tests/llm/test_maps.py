@@ -181,3 +181,15 @@ def test_edited_neighbours(spark, ids):
     assert sorted(got, key=key) == sorted(expected, key=key)
     assert {r.doc_id: r.fingerprint for r in fingerprints.fingerprint(docs).collect()} == {r[0]: r[3] for r in expected} or ids == "null"
     assert fingerprints.edited_neighbours(docs.limit(0)).count() == 0
+
+
+def test_scratch_tables_can_go(spark):
+    import os
+
+    from pathloom.llm import common
+
+    table = common.materialize(spark.range(3), "some")
+    path = common.written[-1].removeprefix("file://")
+    assert table.count() == 3 and os.path.isdir(path)
+    common.discard(spark)
+    assert not os.path.exists(path) and not common.written
