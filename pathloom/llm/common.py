@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -156,3 +157,13 @@ def _cut(held: list[pa.RecordBatch], text_col: str, size: int) -> Iterator[pa.Re
     step = max(1, int(size / max(1, array(batch, text_col).nbytes / batch.num_rows)))
     for at in range(0, batch.num_rows, step):
         yield batch.slice(at, step)
+        _release()
+
+
+def _release() -> None:
+    """Gives freed memory back: workers share a machine's with the JVM beside them."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library

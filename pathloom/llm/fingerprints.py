@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import array, blocks, column, in_id_order, mix64
+from .common import blocks, column, in_id_order, mix64
 
 _P = 0x9E3779B97F4A7C15
 _M = 0xFFFFFFFFFFFFFFFF

@@ -25,7 +25,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, before = kept(tokenizer, lambda: TextEncoder(tokenizer)), TaskContext.get().partitionId(), 0
-        for batch in blocks(batches, "text"):
+        for batch in blocks(batches, "text", 4 << 20):
             ids, n = encoder.encode(array(batch, "text"), end_id)
             ends = np.cumsum(n)
             raw = ids.astype("<u4").tobytes()

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import array, blocks, column
+from .common import blocks, column
 
 MARK = "▁"
 #: What an unknown character scores below the worst piece.

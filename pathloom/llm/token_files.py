@@ -80,7 +80,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         kind = np.dtype(_kind(encoder.n_ids))
         total = np.zeros(encoder.n_ids, np.int64)
         names = ["id", "n", "ids", "counts"]
-        for batch in blocks(batches, "text"):
+        for batch in blocks(batches, "text", 4 << 20):
             ids, n = encoder.encode(array(batch, "text"), end_id)
             total += np.bincount(ids, minlength=len(total))
             bounds = np.concatenate([[0], np.cumsum(n)]) * kind.itemsize

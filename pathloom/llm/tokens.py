@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +17,9 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 _CUT = re.compile(" (?=[^\\s\\u180e])")
 #: Spaces at which a text is not cut, for the matcher of Arrow.
 _ODD = r" ([\s\v\x{1c}-\x{1f}\x{85}\x{180e}\p{Z}]|$)"
-#: Letters that lower-casing and composing leave alone or map one to one.
-_LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
+#: Runs that word BPE takes as pre-tokens: letters that lower-casing and composing leave alone or
+#: map one to one, a digit, signs without the apostrophe. Line ends between them are dropped.
+_RUN = r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+"
 
 
 class TextEncoder:
@@ -29,13 +31,13 @@ class TextEncoder:
     other, are the ids of the text. Parts repeat, so each is encoded once and
     kept. New parts are encoded many in a line where the ids show each part's
     end: with byte-level BPE a part's first token alone starts with the space;
-    with word BPE each pre-token's last token is marked, and a word of plain
-    letters is one pre-token, two with a comma or full stop. Other parts are
-    encoded one by one. Beyond ``max_words`` parts or ``max_bytes`` of them
+    with word BPE each pre-token's last token is marked, and parts of common
+    letters, digits, signs and line ends have pre-tokens that can be told
+    beforehand. Other parts are encoded one by one. Beyond ``max_words`` parts or ``max_bytes`` of them
     those met once are forgotten. Special tokens' strings are ordinary text.
     """
 
-    def __init__(self, path: str, max_words: int = 2_000_000, max_bytes: int = 40_000_000):
+    def __init__(self, path: str, max_words: int = 1_000_000, max_bytes: int = 24_000_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -54,7 +56,7 @@ class TextEncoder:
             self.quick.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=False, use_regex=False)])
         self.max_words, self.max_bytes = max_words, max_bytes
         self.words = pa.array([], pa.string())
-        self.start, self.length, self.met = (np.zeros(0, np.int64) for _ in range(3))
+        self.start, self.length, self.met = (np.zeros(0, np.int32) for _ in range(3))
         self.table, self.used = np.zeros(1 << 16, np.uint32), 0
 
     def _forget(self) -> None:
@@ -66,17 +68,17 @@ class TextEncoder:
         self.words = self.words.filter(pa.array(keep))
         ids = self._gather(self.table, self.start[keep], self.length[keep])
         self.table[: len(ids)] = ids
-        self.used, self.length, self.met = len(ids), self.length[keep], np.zeros(int(keep.sum()), np.int64)
-        self.start = np.cumsum(self.length) - self.length
+        self.used, self.length, self.met = len(ids), self.length[keep], np.zeros(int(keep.sum()), np.int32)
+        self.start = (np.cumsum(self.length) - self.length).astype(np.int32)
 
     @staticmethod
     def _gather(table: np.ndarray, start: np.ndarray, length: np.ndarray, step: int = 1 << 17) -> np.ndarray:
         """The table's stretches in a row; some parts at a time, as their places take more room than they do."""
-        out = np.empty(int(length.sum()), table.dtype)
+        out = np.empty(int(length.sum(dtype=np.int64)), table.dtype)
         done = 0
         for i in range(0, len(start), step):
             own = length[i : i + step]
-            ends = np.cumsum(own)
+            ends = np.cumsum(own, dtype=np.int64)
             total = int(ends[-1])
             out[done : done + total] = table[np.repeat(start[i : i + step] - (ends - own), own) + np.arange(total)]
             done += total
@@ -91,62 +93,67 @@ class TextEncoder:
         self.used += len(ids)
         return at
 
+    def _some(self, texts: list[str], by, step: int) -> Iterator[list[np.ndarray]]:
+        """Ids of the texts, few at a time: the library's results are large."""
+        for i in range(0, len(texts), step):
+            yield [np.array(e.ids, np.uint32) for e in by.encode_batch_fast(texts[i : i + step], add_special_tokens=False)]
+
     def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts in a row, each encoded by itself, and their numbers."""
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        length = np.fromiter(map(len, got), np.int64, len(got))
-        return np.fromiter((x for y in got for x in y), np.uint32, int(length.sum())), length
+        got = [(np.concatenate(x), [len(y) for y in x]) for x in self._some(texts, self.tokenizer, 2000)]
+        return np.concatenate([x for x, _ in got]) if got else np.zeros(0, np.uint32), np.array([n for _, x in got for n in x], np.int64)
 
     def _lines(self, words: list[str], by) -> np.ndarray:
-        lines = ["".join(words[i : i + 1000]) for i in range(0, len(words), 1000)]
-        got = [np.array(e.ids, np.uint32) for e in by.encode_batch_fast(lines, add_special_tokens=False)]
+        lines = ["".join(words[i : i + 500]) for i in range(0, len(words), 500)]
+        if by is self.quick:
+            lines = [x.lower() for x in lines]
+        got = [y for x in self._some(lines, by, 8) for y in x]
         return np.concatenate(got) if got else np.zeros(0, np.uint32)
 
     def _learn(self, words: pa.Array) -> np.ndarray:
         """Encodes new parts, each as after a space, keeps them, and returns their numbers."""
-        none = pa.array(np.zeros(len(words), bool))
+        stops = None
         if self.quick:
-            plain, ended = pc.match_substring_regex(words, f"^{_LETTERS}$"), pc.match_substring_regex(words, f"^{_LETTERS}[,.]$")
-            own = words.filter(plain).to_pylist()
-            n = len(own)
-            own += [f"{w[:-1]} {w[-1]}" for w in words.filter(ended).to_pylist()]
-            ids = self._lines([" " + w.lower() for w in own], self.quick)
-            last = np.flatnonzero(self.ends[ids]) + 1
-            marks = np.concatenate([np.ones(n, np.int64), np.full(len(own) - n, 2)])
-            stops = last[np.cumsum(marks) - 1] if len(last) == marks.sum() else None
+            plain = pc.match_substring_regex(words, f"^(?:{_RUN}|\n)+$")
+            runs = pc.replace_substring(pc.replace_substring_regex(words.filter(plain), f"({_RUN})", r" \1"), "\n", "")
+            ids = self._lines(runs.to_pylist(), self.quick)
+            last = np.concatenate([[0], np.flatnonzero(self.ends[ids]) + 1])
+            count = np.cumsum(pc.count_substring(runs, " ").to_numpy())
+            if len(count) and count[-1] == len(last) - 1:
+                stops = last[count]
         else:
-            plain, ended = pc.and_(pc.invert(pc.match_substring(words, " ")), pc.greater(pc.binary_length(words), 0)), none
-            own = words.filter(plain).to_pylist()
-            ids = self._lines([" " + w for w in own], self.tokenizer)
+            plain = pc.and_(pc.invert(pc.match_substring(words, " ")), pc.greater(pc.binary_length(words), 0))
+            runs = words.filter(plain)
+            ids = self._lines([" " + w for w in runs.to_pylist()], self.tokenizer)
             first = np.flatnonzero(self.starts[ids])
-            stops = np.append(first[1:], len(ids)) if len(first) == len(own) and len(own) else None
+            if len(runs) and len(first) == len(runs):
+                stops = np.append(first[1:], len(ids))
         if stops is None:
-            plain = ended = none
-        number = np.zeros(len(words), np.int64)
-        rest = pc.invert(pc.or_(plain, ended))
-        for masks in ((plain, ended), (rest,)):
-            rows = np.concatenate([np.flatnonzero(m.to_numpy(zero_copy_only=False)) for m in masks])
+            plain = pa.array(np.zeros(len(words), bool))
+        number = np.zeros(len(words), np.int32)
+        for mask, one_by_one in ((plain, False), (pc.invert(plain), True)):
+            rows = np.flatnonzero(mask.to_numpy(zero_copy_only=False))
             if not len(rows):
                 continue
             names = words.take(pa.array(rows))
-            if masks[0] is rest:
+            if one_by_one:
                 ids, length = self._each([" " + w for w in names.to_pylist()])
             else:
                 length = np.diff(stops, prepend=0)
             at = self._put(ids)
             number[rows] = np.arange(len(self.words), len(self.words) + len(rows))
-            self.start = np.concatenate([self.start, at + np.cumsum(length) - length])
-            self.length = np.concatenate([self.length, length])
-            self.met = np.concatenate([self.met, np.zeros(len(length), np.int64)])
+            self.start = np.concatenate([self.start, (at + np.cumsum(length) - length).astype(np.int32)])
+            self.length = np.concatenate([self.length, length.astype(np.int32)])
+            self.met = np.concatenate([self.met, np.zeros(len(length), np.int32)])
             self.words = pa.concat_arrays([self.words, names])
         return number
 
     def _find(self, words: pa.Array) -> np.ndarray:
         at = pc.index_in(words, value_set=self.words)
         if not at.null_count:
-            return at.to_numpy().astype(np.int64)
+            return at.to_numpy()
         new = at.is_null().to_numpy(zero_copy_only=False)
-        out = pc.fill_null(at, 0).to_numpy().astype(np.int64)
+        out = pc.fill_null(at, 0).to_numpy().copy()
         out[new] = self._learn(words.filter(pa.array(new)))
         return out
 
@@ -169,7 +176,7 @@ class TextEncoder:
         bounds = lists.offsets.to_numpy().astype(np.int64)
         bounds -= bounds[0]
         coded = lists.flatten().dictionary_encode()
-        slot = self._find(coded.dictionary)[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
+        slot = self._find(coded.dictionary)[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int32)
         # A text's first part stands after no space; it is encoded anew.
         heads = coded.take(pa.array(bounds[:-1])).dictionary_decode().dictionary_encode() if len(coded) else None
         start, length = self.start[slot], self.length[slot]
@@ -184,7 +191,7 @@ class TextEncoder:
             start, length = np.insert(start, bounds[1:], at), np.insert(length, bounds[1:], 1)
             sizes = sizes + 1
         self.used = used  # what came after is read before more is put there
-        self.met += np.bincount(slot, minlength=len(self.met))
+        self.met += np.bincount(slot, minlength=len(self.met)).astype(np.int32)
         return start, length, sizes
 
     def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -193,7 +200,7 @@ class TextEncoder:
         ``end_id`` is put after each text's ids if given.
         """
         start, length, sizes = self._parts(texts, end_id)
-        marks = np.concatenate([[0], np.cumsum(length)])[np.concatenate([[0], np.cumsum(sizes)])]
+        marks = np.concatenate([[0], np.cumsum(length, dtype=np.int64)])[np.concatenate([[0], np.cumsum(sizes)])]
         return self._gather(self.table, start, length), np.diff(marks)
 
     def count(self, texts: pa.Array, end_id: int | None = None) -> np.ndarray:
