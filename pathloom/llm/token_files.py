@@ -29,7 +29,10 @@ from .tokens import TextEncoder
 MAGIC = b"TKRANK1\0"
 HEAD = "<8sQQQ"  # magic, documents, control bytes, data bytes
 #: By control byte: the lengths of its four tokens.
-LENGTHS = np.array([[(c >> (2 * i) & 3) + 1 for i in range(4)] for c in range(256)], np.int64)
+LENGTHS = np.array([[(c >> (2 * i) & 3) + 1 for i in range(4)] for c in range(256)], np.uint8)
+#: By control byte: where its tokens' bytes start, and how many there are.
+STARTS = np.cumsum(LENGTHS, 1, np.int64) - LENGTHS
+TOTALS = LENGTHS.sum(1, dtype=np.int64)
 
 
 def put(ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -51,10 +54,11 @@ def get(control: np.ndarray, data: np.ndarray, step: int = 1 << 14) -> Iterator[
     """The ranks, four for each control byte, in blocks of ``step`` control bytes."""
     at = 0
     for first in range(0, len(control), step):
-        size = LENGTHS[control[first : first + step]].reshape(-1)
-        ends = np.cumsum(size)
+        codes = control[first : first + step]
+        size, total = LENGTHS[codes].reshape(-1), TOTALS[codes]
+        ends = np.cumsum(total)
         own = data[at : at + int(ends[-1])]
-        start = ends - size
+        start = ((ends - total)[:, None] + STARTS[codes]).reshape(-1)
         rank = own[start].astype(np.uint32)
         for k in range(1, int(size.max())):
             longer = np.flatnonzero(size > k)
@@ -80,7 +84,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         kind = np.dtype(_kind(encoder.n_ids))
         total = np.zeros(encoder.n_ids, np.int64)
         names = ["id", "n", "ids", "counts"]
-        for batch in blocks(batches, "text", 4 << 20):
+        for batch in blocks(batches, "text"):
             ids, n = encoder.encode(array(batch, "text"), end_id)
             total += np.bincount(ids, minlength=len(total))
             bounds = np.concatenate([[0], np.cumsum(n)]) * kind.itemsize
