@@ -89,9 +89,10 @@ class Session:
     def bind(self, query: MetapathQuery) -> Bound:
         picked = resolve(self.graph, query, self.config.first_match_only)
         factors, sizes = bind(self.graph, query, picked), []
-        plans = self.config.engine != "seq"
-        for at, (src, dst) in enumerate(query.relations):
-            stats = self.graph.stats(src, dst) if plans else None
+        # Two relations have one order; only what is kept needs their sizes then.
+        plans = self.config.engine != "seq" and (self.config.engine != "dynp" or len(factors) > 2)
+        known = self.graph.sizes(query.relations) if plans else [None] * len(factors)
+        for at, ((src, dst), stats) in enumerate(zip(query.relations, known, strict=True)):
             nnz = float(stats.nnz) if stats else 0.0
             ends = [place in query.positions for place in (at, at + 1)]
             for on, size in zip(ends, (stats.rows, stats.cols) if stats else (), strict=False):

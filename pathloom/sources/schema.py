@@ -50,6 +50,7 @@ class Graph:
         self._relations: dict[tuple[str, str], DataFrame] = {}
         self._dims: dict[str, int] = {}
         self._nnz: dict[tuple[str, str], int] = {}
+        self._lines: dict[tuple[str, str], int] = {}
         self._degrees: dict[tuple[str, str], tuple[np.ndarray, np.ndarray]] = {}
 
     def add_nodes(self, kind: str, df: DataFrame) -> Graph:
@@ -93,12 +94,44 @@ class Graph:
             self._dims[kind] = 0 if top is None else top + 1
         return self._dims[kind]
 
+    def _key(self, src: str, dst: str) -> tuple[str, str]:
+        """The pair as it was given."""
+        return (src, dst) if (src, dst) in self._given or (dst, src) not in self._given else (dst, src)
+
     def stats(self, src: str, dst: str) -> Stats:
-        key = (src, dst) if (src, dst) in self._given or (dst, src) not in self._given else (dst, src)
+        """Exact numbers: of distinct pairs, and of both types' ids."""
+        key = self._key(src, dst)
         if key not in self._nnz:
             self._nnz[key] = self.relation(*key).count()
         return Stats(self._nnz[key], self.dimension(src), self.dimension(dst))
 
+    def sizes(self, pairs: list[tuple[str, str]]) -> list[Stats]:
+        """Numbers good enough for planning, all found by one job.
+
+        Pairs are counted as they are given, repeated ones too, which reads no
+        column and shuffles nothing; where a relation is kept anyway, its
+        distinct pairs are counted, which also fills the store.
+        """
+        keys = list(dict.fromkeys(self._key(*p) for p in pairs))
+        counts = [k for k in keys if k not in self._nnz and k not in self._lines]
+        for k in counts:
+            self.relation(*k)  # an unknown one is an error
+        own = lambda k: self.relation(*k) if self.keep or k not in self._given else self._given[k]
+        jobs = [own(k).agg(F.count("*").alias("x")).select(F.lit(i).alias("i"), "x") for i, k in enumerate(counts)]
+        kinds = [k for k in dict.fromkeys(x for p in pairs for x in p) if k not in self._dims]
+        jobs += [self.node_table(k).agg(F.max(F.col("id").cast("long")).alias("x")).select(F.lit(i).alias("i"), "x") for i, k in enumerate(kinds, len(counts))]
+        if jobs:
+            every = jobs[0]
+            for job in jobs[1:]:
+                every = every.union(job)
+            found = dict(every.collect())
+            for i, k in enumerate(counts):
+                (self._nnz if self.keep else self._lines)[k] = found[i]
+            for i, k in enumerate(kinds, len(counts)):
+                self._dims[k] = 0 if found[i] is None else found[i] + 1
+        pick = lambda k: self._nnz.get(k, self._lines.get(k))
+        return [Stats(pick(self._key(*p)), self._dims[p[0]], self._dims[p[1]]) for p in pairs]
+
     def degrees(self, src: str, dst: str, most: int = 1 << 22) -> tuple[np.ndarray, np.ndarray] | None:
         """Numbers of pairs by source and by target id, for planning.
 
