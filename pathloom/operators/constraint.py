@@ -50,7 +50,15 @@ def resolve(graph: Graph, query: MetapathQuery, first_match_only: bool = True, w
     """
     if not query.positions:
         return None
-    ids = matches(graph, query.constraint, where=where)
+    if where is None:  # the graph does not change, so what a constraint picks does not
+        key = (query.constraint, first_match_only)
+        if key not in graph.picked:
+            graph.picked[key] = _resolve(matches(graph, query.constraint), first_match_only)
+        return graph.picked[key]
+    return _resolve(matches(graph, query.constraint, where=where), first_match_only)
+
+
+def _resolve(ids: DataFrame, first_match_only: bool) -> Picked:
     if first_match_only:
         low = ids.agg(F.min("id")).first()[0]
         return Picked([] if low is None else [low], None, int(low is not None))

@@ -48,6 +48,7 @@ class Graph:
         self.nodes: dict[str, DataFrame] = {}
         self._given: dict[tuple[str, str], DataFrame] = {}
         self._relations: dict[tuple[str, str], DataFrame] = {}
+        self.picked: dict = {}  # what constraints were found to pick
         self._dims: dict[str, int] = {}
         self._nnz: dict[tuple[str, str], int] = {}
         self._lines: dict[tuple[str, str], int] = {}
