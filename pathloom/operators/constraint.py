@@ -77,7 +77,7 @@ def bind(graph: Graph, query: MetapathQuery, picked: Picked | None) -> list[Data
     """
     out = []
     for at, (src, dst) in enumerate(query.relations):
-        rel = graph.relation(src, dst)
+        rel = (graph.rows if len(query.relations) > 1 else graph.relation)(src, dst)
         for end, place in (("src", at), ("dst", at + 1)):
             if picked is not None and place in query.positions:
                 rel = picked.keep(rel, end)

@@ -25,14 +25,21 @@ class Stats:
         return self.nnz / (self.rows * self.cols) if self.rows and self.cols else 0.0
 
 
-def counted(df: DataFrame) -> DataFrame:
-    """A relation in normal form: ``src``, ``dst`` and ``n``, repeated pairs summed.
+REPEATS = ("many", "few", "none")
+
+
+def weighted(df: DataFrame) -> DataFrame:
+    """A relation's rows as ``src``, ``dst`` and ``n``.
 
     A missing or null weight is 1; a weight of 0 stays, as a pair without paths.
     """
-    weight = F.coalesce(F.col("n").cast("long"), F.lit(1)) if "n" in df.columns else F.lit(1).cast("long")
-    rows = df.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), weight.cast("long").alias("n"))
-    return rows.groupBy("src", "dst").agg(F.sum("n").alias("n"))
+    weight = F.coalesce(F.col("n").cast("long"), F.lit(1)) if "n" in df.columns else F.lit(1)
+    return df.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), weight.cast("long").alias("n"))
+
+
+def counted(df: DataFrame) -> DataFrame:
+    """A relation in normal form: repeated pairs are summed."""
+    return weighted(df).groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
 class Graph:
@@ -47,6 +54,7 @@ class Graph:
         self.spark, self.strict, self.keep = spark, strict, keep
         self.nodes: dict[str, DataFrame] = {}
         self._given: dict[tuple[str, str], DataFrame] = {}
+        self._repeats: dict[tuple[str, str], str] = {}
         self._relations: dict[tuple[str, str], DataFrame] = {}
         self.picked: dict = {}  # what constraints were found to pick
         self._dims: dict[str, int] = {}
@@ -61,15 +69,23 @@ class Graph:
         self.nodes[kind] = df
         return self
 
-    def add_relation(self, src: str, dst: str, df: DataFrame) -> Graph:
-        """Pairs ``src``, ``dst`` and maybe weights ``n``, repeated or not."""
-        self._given[src, dst] = df
+    def add_relation(self, src: str, dst: str, df: DataFrame, repeats: str = "many") -> Graph:
+        """Pairs ``src``, ``dst`` and maybe weights ``n``.
+
+        ``repeats`` says how often pairs come again. ``many``: they are summed
+        before anything else. ``few``: in a product they are not, since rows
+        that repeat multiply out to the same sums, and a shuffle is saved.
+        ``none`` is a promise that none does, as with a key of a table.
+        """
+        if repeats not in REPEATS:
+            raise ValueError(f"repeats is one of {', '.join(REPEATS)}")
+        self._given[src, dst], self._repeats[src, dst] = df, repeats
         return self
 
     def relation(self, src: str, dst: str) -> DataFrame:
         if (src, dst) not in self._relations:
             if (src, dst) in self._given:
-                df = counted(self._given[src, dst])
+                df = (weighted if self._repeats[src, dst] == "none" else counted)(self._given[src, dst])
             elif (dst, src) in self._given:
                 df = self.relation(dst, src).select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
             elif self.strict:
@@ -81,6 +97,15 @@ class Graph:
             self._relations[src, dst] = df
         return self._relations[src, dst]
 
+    def rows(self, src: str, dst: str) -> DataFrame:
+        """The relation as a factor of a product: pairs may repeat if few do."""
+        given, turned = (src, dst) in self._given, (dst, src)
+        if self.keep or self._repeats.get((src, dst) if given else turned, "many") != "few":
+            return self.relation(src, dst)
+        if given:
+            return weighted(self._given[src, dst])
+        return self.rows(*turned).select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
+
     def node_table(self, kind: str) -> DataFrame:
         if kind in self.nodes:
             return self.nodes[kind]

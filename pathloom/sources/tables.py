@@ -30,16 +30,16 @@ def table_graph(spark: SparkSession, sf_dir: str, keep: bool = False) -> Graph:
     graph.add_nodes("U", events.select(F.col("user_id").cast("long").alias("id")).distinct())
     for kind, df in (("G", segments), ("E", kinds), ("K", sources), ("L", langs)):
         graph.add_nodes(kind, df)
-    graph.add_relation("R", "N", _pairs(nation, "n_regionkey", "n_nationkey"))
-    graph.add_relation("N", "C", _pairs(customer, "c_nationkey", "c_custkey"))
-    graph.add_relation("N", "S", _pairs(supplier, "s_nationkey", "s_suppkey"))
-    graph.add_relation("C", "O", _pairs(orders, "o_custkey", "o_orderkey"))
-    graph.add_relation("O", "P", _pairs(line, "l_orderkey", "l_partkey"))
-    graph.add_relation("O", "S", _pairs(line, "l_orderkey", "l_suppkey"))
-    graph.add_relation("P", "S", _pairs(line, "l_partkey", "l_suppkey"))
+    graph.add_relation("R", "N", _pairs(nation, "n_regionkey", "n_nationkey"), "none")
+    graph.add_relation("N", "C", _pairs(customer, "c_nationkey", "c_custkey"), "none")
+    graph.add_relation("N", "S", _pairs(supplier, "s_nationkey", "s_suppkey"), "none")
+    graph.add_relation("C", "O", _pairs(orders, "o_custkey", "o_orderkey"), "none")
+    graph.add_relation("O", "P", _pairs(line, "l_orderkey", "l_partkey"), "few")
+    graph.add_relation("O", "S", _pairs(line, "l_orderkey", "l_suppkey"), "few")
+    graph.add_relation("P", "S", _pairs(line, "l_partkey", "l_suppkey"), "few")
     coded = lambda df, codes, col, name: df.join(codes.withColumnRenamed("id", "code"), df[col] == codes[name])
-    graph.add_relation("G", "C", _pairs(coded(customer, segments, "c_mktsegment", "segment"), "code", "c_custkey"))
+    graph.add_relation("G", "C", _pairs(coded(customer, segments, "c_mktsegment", "segment"), "code", "c_custkey"), "none")
     graph.add_relation("U", "E", _pairs(coded(events, kinds, "event_type", "event_type"), "user_id", "code"))
-    graph.add_relation("K", "D", _pairs(coded(docs, sources, "source", "source").select("code", "doc_id"), "code", "doc_id"))
-    graph.add_relation("D", "L", _pairs(coded(docs, langs, "lang", "lang").select("code", "doc_id"), "doc_id", "code"))
+    graph.add_relation("K", "D", _pairs(coded(docs, sources, "source", "source").select("code", "doc_id"), "code", "doc_id"), "none")
+    graph.add_relation("D", "L", _pairs(coded(docs, langs, "lang", "lang").select("code", "doc_id"), "doc_id", "code"), "none")
     return graph

@@ -192,3 +192,27 @@ def test_command_line(spark, tmp_path, capsys):
     assert rows_of(read_result(spark, str(tmp_path / "out/000000_APA_result"))) == CASES[0][2]
     with pytest.raises(SystemExit):
         main(["-qf", "x", "-cachep", "FIFO"], spark)
+
+
+@pytest.mark.parametrize("repeats", ["many", "few"])
+def test_repeated_pairs_multiply_out(spark, repeats):
+    graph = Graph(spark)
+    for kind, n in (("A", 3), ("P", 4)):
+        graph.add_nodes(kind, spark.range(n))
+    graph.add_relation("A", "P", spark.createDataFrame(AP, "src long, dst long"), repeats)
+    for line in ("APA", "AP", 'APA\tA.id="0"', "PAP"):
+        expected = brute({"AP": AP}, parse_query(line))
+        assert rows_of(Session(graph).run(line)) == expected
+    assert graph.stats("A", "P").nnz == 5
+    with pytest.raises(ValueError):
+        graph.add_relation("A", "P", spark.range(1), "some")
+
+
+def test_constraint_reaches_the_scan(spark, tmp_path):
+    spark.createDataFrame(AP, "src int, dst int").write.parquet(str(tmp_path / "ap"))
+    graph = Graph(spark)
+    for kind, n in (("A", 3), ("P", 4)):
+        graph.add_nodes(kind, spark.range(n))
+    graph.add_relation("A", "P", spark.read.parquet(str(tmp_path / "ap")), "few")
+    plan = Session(graph).run('APA\tA.id="1"')._jdf.queryExecution().toString()
+    assert "EqualTo(src,1)" in plan and plan.split("== Physical Plan ==")[1].count("Exchange hashpartitioning(src") <= 1
