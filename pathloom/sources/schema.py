@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -52,8 +53,8 @@ class Graph:
 
     def __init__(self, spark: SparkSession, strict: bool = True, keep: bool = False):
         self.spark, self.strict, self.keep = spark, strict, keep
-        self.nodes: dict[str, DataFrame] = {}
-        self._given: dict[tuple[str, str], DataFrame] = {}
+        self.nodes: dict[str, DataFrame | Callable[[], DataFrame]] = {}
+        self._given: dict[tuple[str, str], DataFrame | Callable[[], DataFrame]] = {}
         self._repeats: dict[tuple[str, str], str] = {}
         self._relations: dict[tuple[str, str], DataFrame] = {}
         self.picked: dict = {}  # what constraints were found to pick
@@ -62,15 +63,16 @@ class Graph:
         self._lines: dict[tuple[str, str], int] = {}
         self._degrees: dict[tuple[str, str], tuple[np.ndarray, np.ndarray]] = {}
 
-    def add_nodes(self, kind: str, df: DataFrame) -> Graph:
-        """A node table; its column ``id`` is a number, the others are compared as strings."""
-        if "id" not in df.columns:
-            raise ValueError(f"nodes of type {kind} have no column id")
+    def add_nodes(self, kind: str, df: DataFrame | Callable[[], DataFrame]) -> Graph:
+        """A node table; its column ``id`` is a number, the others are compared as strings.
+
+        A function that gives the table is called when the table is needed.
+        """
         self.nodes[kind] = df
         return self
 
-    def add_relation(self, src: str, dst: str, df: DataFrame, repeats: str = "many") -> Graph:
-        """Pairs ``src``, ``dst`` and maybe weights ``n``.
+    def add_relation(self, src: str, dst: str, df: DataFrame | Callable[[], DataFrame], repeats: str = "many") -> Graph:
+        """Pairs ``src``, ``dst`` and maybe weights ``n``, or a function that gives them.
 
         ``repeats`` says how often pairs come again. ``many``: they are summed
         before anything else. ``few``: in a product they are not, since rows
@@ -82,10 +84,17 @@ class Graph:
         self._given[src, dst], self._repeats[src, dst] = df, repeats
         return self
 
+    def given(self, src: str, dst: str) -> DataFrame:
+        """The relation's rows as they were given."""
+        df = self._given[src, dst]
+        if not isinstance(df, DataFrame):
+            df = self._given[src, dst] = df()
+        return df
+
     def relation(self, src: str, dst: str) -> DataFrame:
         if (src, dst) not in self._relations:
             if (src, dst) in self._given:
-                df = (weighted if self._repeats[src, dst] == "none" else counted)(self._given[src, dst])
+                df = (weighted if self._repeats[src, dst] == "none" else counted)(self.given(src, dst))
             elif (dst, src) in self._given:
                 df = self.relation(dst, src).select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
             elif self.strict:
@@ -103,12 +112,17 @@ class Graph:
         if self.keep or self._repeats.get((src, dst) if given else turned, "many") != "few":
             return self.relation(src, dst)
         if given:
-            return weighted(self._given[src, dst])
+            return weighted(self.given(src, dst))
         return self.rows(*turned).select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
 
     def node_table(self, kind: str) -> DataFrame:
         if kind in self.nodes:
-            return self.nodes[kind]
+            df = self.nodes[kind]
+            if not isinstance(df, DataFrame):
+                df = self.nodes[kind] = df()
+            if "id" not in df.columns:
+                raise ValueError(f"nodes of type {kind} have no column id")
+            return df
         if self.strict:
             raise KeyError(f"no nodes of type {kind}")
         return self.spark.createDataFrame([], "id long")
@@ -142,7 +156,7 @@ class Graph:
         counts = [k for k in keys if k not in self._nnz and k not in self._lines]
         for k in counts:
             self.relation(*k)  # an unknown one is an error
-        own = lambda k: self.relation(*k) if self.keep or k not in self._given else self._given[k]
+        own = lambda k: self.relation(*k) if self.keep or k not in self._given else self.given(*k)
         jobs = [own(k).agg(F.count("*").alias("x")).select(F.lit(i).alias("i"), "x") for i, k in enumerate(counts)]
         kinds = [k for k in dict.fromkeys(x for p in pairs for x in p) if k not in self._dims]
         jobs += [self.node_table(k).agg(F.max(F.col("id").cast("long")).alias("x")).select(F.lit(i).alias("i"), "x") for i, k in enumerate(kinds, len(counts))]

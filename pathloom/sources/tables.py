@@ -19,27 +19,33 @@ def _values(df: DataFrame, col: str, name: str) -> DataFrame:
 
 def table_graph(spark: SparkSession, sf_dir: str, keep: bool = False) -> Graph:
     """Regions, nations, customers, suppliers, parts, orders, users, event types,
-    documents, their sources and languages, and market segments."""
-    t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    node = lambda name, key: t(name).withColumn("id", F.col(key).cast("long"))
-    region, nation, customer, supplier, part, orders, line, events, docs = map(t, ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents"))
-    segments, kinds, sources, langs = _values(customer, "c_mktsegment", "segment"), _values(events, "event_type", "event_type"), _values(docs, "source", "source"), _values(docs, "lang", "lang")
+    documents, their sources and languages, and market segments.
+
+    A table is opened when a query needs it.
+    """
     graph = Graph(spark, keep=keep)
+    opened: dict[str, DataFrame] = {}
+
+    def t(name: str) -> DataFrame:
+        if name not in opened:
+            opened[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return opened[name]
+
     for kind, name, key in (("R", "region", "r_regionkey"), ("N", "nation", "n_nationkey"), ("C", "customer", "c_custkey"), ("S", "supplier", "s_suppkey"), ("P", "part", "p_partkey"), ("O", "orders", "o_orderkey"), ("D", "documents", "doc_id")):
-        graph.add_nodes(kind, node(name, key))
-    graph.add_nodes("U", events.select(F.col("user_id").cast("long").alias("id")).distinct())
-    for kind, df in (("G", segments), ("E", kinds), ("K", sources), ("L", langs)):
-        graph.add_nodes(kind, df)
-    graph.add_relation("R", "N", _pairs(nation, "n_regionkey", "n_nationkey"), "none")
-    graph.add_relation("N", "C", _pairs(customer, "c_nationkey", "c_custkey"), "none")
-    graph.add_relation("N", "S", _pairs(supplier, "s_nationkey", "s_suppkey"), "none")
-    graph.add_relation("C", "O", _pairs(orders, "o_custkey", "o_orderkey"), "none")
-    graph.add_relation("O", "P", _pairs(line, "l_orderkey", "l_partkey"), "few")
-    graph.add_relation("O", "S", _pairs(line, "l_orderkey", "l_suppkey"), "few")
-    graph.add_relation("P", "S", _pairs(line, "l_partkey", "l_suppkey"), "few")
-    coded = lambda df, codes, col, name: df.join(codes.withColumnRenamed("id", "code"), df[col] == codes[name])
-    graph.add_relation("G", "C", _pairs(coded(customer, segments, "c_mktsegment", "segment"), "code", "c_custkey"), "none")
-    graph.add_relation("U", "E", _pairs(coded(events, kinds, "event_type", "event_type"), "user_id", "code"))
-    graph.add_relation("K", "D", _pairs(coded(docs, sources, "source", "source").select("code", "doc_id"), "code", "doc_id"), "none")
-    graph.add_relation("D", "L", _pairs(coded(docs, langs, "lang", "lang").select("code", "doc_id"), "doc_id", "code"), "none")
+        graph.add_nodes(kind, lambda name=name, key=key: t(name).withColumn("id", F.col(key).cast("long")))
+    graph.add_nodes("U", lambda: t("events").select(F.col("user_id").cast("long").alias("id")).distinct())
+    codes = {"G": ("customer", "c_mktsegment", "segment"), "E": ("events", "event_type", "event_type"), "K": ("documents", "source", "source"), "L": ("documents", "lang", "lang")}
+    for kind, (name, col, own) in codes.items():
+        graph.add_nodes(kind, lambda name=name, col=col, own=own: _values(t(name), col, own))
+    for pair, name, src, dst, repeats in (("RN", "nation", "n_regionkey", "n_nationkey", "none"), ("NC", "customer", "c_nationkey", "c_custkey", "none"), ("NS", "supplier", "s_nationkey", "s_suppkey", "none"), ("CO", "orders", "o_custkey", "o_orderkey", "none"), ("OP", "lineitem", "l_orderkey", "l_partkey", "few"), ("OS", "lineitem", "l_orderkey", "l_suppkey", "few"), ("PS", "lineitem", "l_partkey", "l_suppkey", "few")):
+        graph.add_relation(pair[0], pair[1], lambda name=name, src=src, dst=dst: _pairs(t(name), src, dst), repeats)
+    for pair, key, repeats in (("GC", "c_custkey", "none"), ("UE", "user_id", "many"), ("KD", "doc_id", "none"), ("DL", "doc_id", "none")):
+        kind = next(x for x in pair if x in codes)
+        ends = ("code", key) if pair[0] == kind else (key, "code")
+        graph.add_relation(pair[0], pair[1], lambda kind=kind, ends=ends: _pairs(_coded(t(codes[kind][0]), graph.node_table(kind), *codes[kind][1:]), *ends), repeats)
     return graph
+
+
+def _coded(df: DataFrame, codes: DataFrame, col: str, name: str) -> DataFrame:
+    """Rows with the number of a column's value as ``code``."""
+    return df.join(codes.select(F.col("id").alias("code"), F.col(name).alias("_value")), F.col(col) == F.col("_value"))
