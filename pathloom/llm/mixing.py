@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from .common import WORD, materialize
 
-#: Bits of the reachable sums that the last step of a source's fit looks at.
+#: Longest document that the last step of a source's fit gives back.
 SUMS = 1 << 16
+#: Documents that it gives back, and leaves aside.
+SOME = 25
 
 
 def targets(sizes: dict[str | None, int], weights: tuple[float, ...], most: float) -> dict[str | None, float]:
@@ -37,51 +39,49 @@ def targets(sizes: dict[str | None, int], weights: tuple[float, ...], most: floa
     return {s: out[s] for s in names}
 
 
-def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, sums: int = SUMS) -> np.ndarray:
-    """How many documents of each length to take so that their sum comes next to ``budget``.
+def draw(counts: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
+    """How many of ``n`` documents, drawn over all lengths alike, fall on each length.
 
-    First each length gives its share of the budget in whole documents, so the
-    choice keeps the source's mix of lengths. Then the longest that still fit
-    are added, and the last few lengths' worth is fitted by bounded-knapsack
-    dynamic programming over sums: all sums that the documents left can reach
-    within ``sums`` words, each length in as many as there are. The largest
-    sum not above the budget, or one nearer above it, is taken.
+    Systematic rounding of cumulated counts from a seeded start: a length with
+    ``c`` of all documents gets its share of ``n`` rounded down or up, one with
+    a single document the document or nothing. Lengths are cumulated in order,
+    neighbours shuffled, so the drawn documents' mean length is near that of all.
     """
-    order = np.argsort(lengths)[::-1]
-    lengths, counts = lengths[order].astype(np.int64), counts[order].astype(np.int64)
-    whole = int((lengths * counts).sum())
-    budget = max(0, min(int(budget), whole))
-    if not whole:
-        return np.zeros(len(order), np.int64)
+    total = int(counts.sum())
+    if not total or not n:
+        return np.zeros(len(counts), np.int64)
+    order = np.argsort(np.arange(len(counts)) + rng.uniform(0, 8, len(counts)))
     # Integers: a float's product would be off at the sizes of a large corpus.
-    take = np.array([c * budget // whole for c in counts.tolist()], np.int64)
-    left = budget - int((lengths * take).sum())
-    for i, (size, n) in enumerate(zip(lengths.tolist(), (counts - take).tolist(), strict=True)):
-        if size and n and left >= size + sums // 2:
-            add = min(n, (left - sums // 2) // size)
-            take[i] += add
-            left -= add * size
-    # What is left is small: give back some short documents to have a choice, or all if all fit.
-    if budget <= sums:
-        take[:] = 0
-        left = budget
-    give = sums // 4
-    for i in range(len(lengths) - 1, -1, -1):
-        size = int(lengths[i])
-        if 0 < size <= give and take[i]:
-            back = min(int(take[i]), 8, give // size)
-            take[i] -= back
-            left += back * size
-            give -= back * size
-    free = counts - take
-    limit = left + min(left, int(lengths.max()))  # none beyond is nearer than 0
+    at = int(rng.random() * total)
+    out, before = np.zeros(len(counts), np.int64), at // total
+    for i in order.tolist():
+        at += int(counts[i]) * n
+        out[i], before = at // total - before, at // total
+    return out
+
+
+def nearest(lengths: np.ndarray, free: np.ndarray, left: int, rng: np.random.Generator) -> np.ndarray:
+    """Documents out of ``free`` whose sum comes next to ``left``.
+
+    Bounded-knapsack dynamic programming over sums, each length in as many as
+    there are. Documents drawn over all lengths come first, enough to hold
+    ``left`` and some choice, then the others until no sum is nearer.
+    """
+    take, limit = np.zeros(len(lengths), np.int64), left + min(left, int(lengths.max()))  # none beyond is nearer than 0
+    total, words = int(free.sum()), int((lengths * free).sum())
+    if not left or not total:
+        return take
+    pool = draw(free, min(total, left * total // words + SOME), rng)
+    tries = [(i, int(n[i]), n is not pool) for n in (pool, free - pool) for i in rng.permutation(len(lengths)).tolist() if n[i]]
+    step = int(np.gcd.reduce(lengths[free > 0]))
+    off = min(left % step, -left % step)  # sums are multiples of the step
     mask = (1 << (limit + 1)) - 1
     reach, steps = 1, []
-    for i in range(len(lengths)):
-        size, n = int(lengths[i]), int(free[i])
-        if not size or size > limit:
-            continue
-        n, chunk = min(n, limit // size), 1
+    for i, n, last in tries:
+        if last and (reach >> (left - off) | reach >> (left + off)) & 1:
+            break
+        size, chunk = int(lengths[i]), 1
+        n = min(n, limit // size)
         while n > 0:
             chunk = min(chunk, n)
             more = (reach | reach << size * chunk) & mask
@@ -90,17 +90,48 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, sums: int = SUMS)
                 reach = more
             n -= chunk
             chunk *= 2
-        if reach >> left & 1:
-            break
     low = (reach & ((1 << (left + 1)) - 1)).bit_length() - 1
     above = reach >> left
     high = left + ((above & -above).bit_length() - 1) if above else None
     at = low if high is None or left - low <= high - left else high
+    ahead = sum(chunk * int(lengths[i]) for i, chunk, _ in steps)
     for i, chunk, before in reversed(steps):
-        if not before >> at & 1:
+        size = chunk * int(lengths[i])
+        # Where the sum is reached with and without, chance decides, so that no lengths are preferred.
+        if not before >> at & 1 or at >= size and before >> (at - size) & 1 and rng.random() * ahead < at:
             take[i] += chunk
-            at -= chunk * int(lengths[i])
-    out = np.empty(len(order), np.int64)
+            at -= size
+        ahead -= size
+    return take
+
+
+def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, sums: int = SUMS, seed: int = 7) -> np.ndarray:
+    """How many documents of each length to take so that their sum comes next to ``budget``.
+
+    First the budget's share of all documents is drawn over all lengths (see
+    :func:`draw`), so the choice keeps the source's mix of lengths however
+    many documents share one. Then ``SOME`` drawn documents of up to ``sums``
+    words each are given back, and what is left is fitted by :func:`nearest`:
+    the largest sum not above it, or one nearer above it.
+    """
+    order = np.argsort(lengths)
+    order = order[lengths[order] > 0]
+    out = np.zeros(len(lengths), np.int64)
+    lengths, counts = lengths[order].astype(np.int64), counts[order].astype(np.int64)
+    whole, total = int((lengths * counts).sum()), int(counts.sum())
+    budget = max(0, min(int(budget), whole))
+    if not whole:
+        return out
+    rng = np.random.default_rng(seed)
+    take = draw(counts, budget * total // whole, rng)
+    n = SOME
+    while True:
+        kept = take - draw(np.where(lengths <= sums, take, 0), min(n, int(take[lengths <= sums].sum())), rng)
+        left = budget - int((lengths * kept).sum())
+        if left >= 0 or n >= total:
+            break
+        n *= 2
+    take = kept + nearest(lengths, counts - kept, left, rng) if left > 0 else kept
     out[order] = take
     return out
 
@@ -111,8 +142,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3,
     A document's size is its number of words between ASCII white space. A
     source's target (see ``targets``) is met by whole documents: all of them
     as often as the target holds the source, and for the rest of the budget
-    some once more (or more often, if only that comes nearer), chosen by
-    length: documents are counted by exact size, :func:`fit` says how many of
+    some once more (or more often, if only that comes nearer), drawn over all
+    lengths: documents are counted by exact size, :func:`fit` says how many of
     each size, and within a size those with the smallest seeded hashes of id
     and text are taken. Documents that share a
     size and a source are ranked by ranges of the hash, as many as the square
@@ -145,9 +176,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3,
 
     def fitted(rows: pd.DataFrame) -> pd.DataFrame:
         size, n, rest = rows["size"].to_numpy(), rows["n"].to_numpy(), int(rows["rest"].iloc[0])
-        more = fit(size, n, rest)
+        more = fit(size, n, rest, seed=seed)
         if (size * more).sum() != rest:  # some documents more than once may come nearer
-            again = fit(size, n * (most - int(rows["whole"].iloc[0])), rest)
+            again = fit(size, n * (most - int(rows["whole"].iloc[0])), rest, seed=seed)
             if abs((size * again).sum() - rest) < abs((size * more).sum() - rest):
                 more = again
         return pd.DataFrame({"source": rows["source"], "size": rows["size"], "n": rows["n"], "more": more})

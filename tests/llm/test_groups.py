@@ -142,6 +142,21 @@ def test_fit_finds_the_nearest_sum():
     assert (lengths * mixing.fit(lengths, counts, budget)).sum() == budget
 
 
+@pytest.mark.parametrize("n", [500, 50_000])
+def test_fit_takes_alike_at_every_length(n):
+    rng = np.random.default_rng(n)
+    lengths, counts = np.unique(np.clip(np.exp(rng.normal(5.2, 1.2, n)), 1, 20_000).astype(np.int64), return_counts=True)
+    budget = int((lengths * counts).sum() * 0.3)
+    long = np.cumsum(counts) > n / 2
+    takes = [mixing.fit(lengths, counts, budget, seed=s) for s in (7, 8, 9)]
+    for take in takes:
+        assert (take <= counts).all() and (lengths * take).sum() == budget
+        assert abs(take[long].sum() / counts[long].sum() - take[~long].sum() / counts[~long].sum()) < 0.06
+        single = counts == 1
+        assert 0.15 < take[single].sum() / single.sum() < 0.45
+    assert (takes[0] != takes[1]).any()
+
+
 def test_mix(spark):
     rng = random.Random(1)
     sources = ["b", "a", None, "é", "big"]
