@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from .common import WORD, materialize
 
-#: Longest document that the last step of a source's fit gives back.
-SUMS = 1 << 16
-#: Documents that it gives back, and leaves aside.
+#: Documents that the last step of a source's fit first gives back, and leaves aside.
 SOME = 25
+#: Bits of reachable sums that it keeps at most, and words of 64 bits that it goes through.
+ROOM = 1 << 30
 
 
 def targets(sizes: dict[str | None, int], weights: tuple[float, ...], most: float) -> dict[str | None, float]:
@@ -60,29 +60,30 @@ def draw(counts: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
     return out
 
 
-def nearest(lengths: np.ndarray, free: np.ndarray, left: int, rng: np.random.Generator) -> np.ndarray:
+def nearest(lengths: np.ndarray, free: np.ndarray, left: int, rng: np.random.Generator) -> tuple[np.ndarray, bool]:
     """Documents out of ``free`` whose sum comes next to ``left``.
 
     Bounded-knapsack dynamic programming over sums, each length in as many as
     there are. Documents drawn over all lengths come first, enough to hold
     ``left`` and some choice, then the others until no sum is nearer.
+    Returns also whether ``ROOM`` was enough for all of them.
     """
     take, limit = np.zeros(len(lengths), np.int64), left + min(left, int(lengths.max()))  # none beyond is nearer than 0
     total, words = int(free.sum()), int((lengths * free).sum())
-    if not left or not total:
-        return take
+    if not left or not total or limit > ROOM // 4:
+        return take, limit <= ROOM // 4
     pool = draw(free, min(total, left * total // words + SOME), rng)
     tries = [(i, int(n[i]), n is not pool) for n in (pool, free - pool) for i in rng.permutation(len(lengths)).tolist() if n[i]]
     step = int(np.gcd.reduce(lengths[free > 0]))
     off = min(left % step, -left % step)  # sums are multiples of the step
     mask = (1 << (limit + 1)) - 1
-    reach, steps = 1, []
+    reach, steps, tried, room = 1, [], 0, True
     for i, n, last in tries:
         if last and (reach >> (left - off) | reach >> (left + off)) & 1:
             break
         size, chunk = int(lengths[i]), 1
         n = min(n, limit // size)
-        while n > 0:
+        while n > 0 and room:
             chunk = min(chunk, n)
             more = (reach | reach << size * chunk) & mask
             if more != reach:
@@ -90,6 +91,8 @@ def nearest(lengths: np.ndarray, free: np.ndarray, left: int, rng: np.random.Gen
                 reach = more
             n -= chunk
             chunk *= 2
+            tried += 1
+            room = max(len(steps), tried // 64) * limit < ROOM
     low = (reach & ((1 << (left + 1)) - 1)).bit_length() - 1
     above = reach >> left
     high = left + ((above & -above).bit_length() - 1) if above else None
@@ -102,17 +105,19 @@ def nearest(lengths: np.ndarray, free: np.ndarray, left: int, rng: np.random.Gen
             take[i] += chunk
             at -= size
         ahead -= size
-    return take
+    return take, room
 
 
-def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, sums: int = SUMS, seed: int = 7) -> np.ndarray:
+def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int = 7) -> np.ndarray:
     """How many documents of each length to take so that their sum comes next to ``budget``.
 
     First the budget's share of all documents is drawn over all lengths (see
     :func:`draw`), so the choice keeps the source's mix of lengths however
-    many documents share one. Then ``SOME`` drawn documents of up to ``sums``
-    words each are given back, and what is left is fitted by :func:`nearest`:
-    the largest sum not above it, or one nearer above it.
+    many documents share one. If that does not meet the budget, ``SOME`` drawn
+    documents are given back, of whatever length, and what is left is fitted by
+    :func:`nearest`: the largest sum not above it, or one nearer above it. While
+    that misses, four times as many are given back, until all are, when no
+    choice is nearer, or until the sums take more than ``ROOM``.
     """
     order = np.argsort(lengths)
     order = order[lengths[order] > 0]
@@ -124,14 +129,19 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, sums: int = SUMS,
         return out
     rng = np.random.default_rng(seed)
     take = draw(counts, budget * total // whole, rng)
-    n = SOME
-    while True:
-        kept = take - draw(np.where(lengths <= sums, take, 0), min(n, int(take[lengths <= sums].sum())), rng)
+    step = int(np.gcd.reduce(lengths))
+    off = lambda take: abs(int((lengths * take).sum()) - budget)
+    # More documents are given back, at last all, until the sum is met or the room is used up.
+    n, drawn, room = SOME, take, True
+    while room and off(take) > min(budget % step, -budget % step):
+        kept = drawn - draw(drawn, min(n, int(drawn.sum())), rng)
         left = budget - int((lengths * kept).sum())
-        if left >= 0 or n >= total:
+        if left >= 0:
+            more, room = nearest(lengths, counts - kept, left, rng)
+            take = min(take, kept + more, key=off)
+        if not kept.any():
             break
-        n *= 2
-    take = kept + nearest(lengths, counts - kept, left, rng) if left > 0 else kept
+        n *= 4
     out[order] = take
     return out
 

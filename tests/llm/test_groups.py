@@ -157,6 +157,21 @@ def test_fit_takes_alike_at_every_length(n):
     assert (takes[0] != takes[1]).any()
 
 
+def test_fit_of_few_long_documents():
+    assert (np.array([120_000, 100_000, 100_001]) * mixing.fit(np.array([120_000, 100_000, 100_001]), np.ones(3, int), 200_001)).sum() == 200_001
+    rng = np.random.default_rng(6)
+    for _ in range(10):
+        lengths = np.unique(rng.integers(60_000, 300_000, 10))
+        budget, sums = int(lengths.sum() * rng.uniform(0.1, 0.9)), np.zeros(1, np.int64)
+        for size in lengths:
+            sums = np.concatenate([sums, sums + size])
+        take = mixing.fit(lengths, np.ones(len(lengths), int), budget)
+        assert take.max() <= 1 and abs((lengths * take).sum() - budget) == abs(sums - budget).min()
+    lengths, counts = np.array([100_000, 100_001]), np.array([40, 40])  # more than are first given back
+    for over in range(25, 40):
+        assert (lengths * mixing.fit(lengths, counts, 40 * 100_000 + over)).sum() == 40 * 100_000 + over
+
+
 def test_mix(spark):
     rng = random.Random(1)
     sources = ["b", "a", None, "é", "big"]
