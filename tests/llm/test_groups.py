@@ -305,6 +305,17 @@ def test_nearest_of_few(spark):
     assert rows == [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 20, -1.0), (20, 1, 0, -1.0), (20, 2, 1, -1.0), (20, 3, 2, -1.0)]
 
 
+def test_nearest_meets_its_recall(spark):
+    x = np.random.default_rng(1).normal(size=(2000, 16))
+    found = Counter((r.query_id, r.vec_id) for r in ann.search(vectors(spark, [(i, v.tolist()) for i, v in enumerate(x.astype(np.float32))]), F.col("vec_id") % 20 == 0).collect())
+    hits = 0
+    for q in range(0, 2000, 20):  # all of them are among those that visits are calibrated on
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits += sum((q, i) in found for i in np.argsort(-score)[:20].tolist())
+    assert hits >= 0.97 * 20 * 100
+
+
 def prose(rng, n):
     return " ".join("".join(rng.choice(("the", "an", "er", "in", "on", "st", "re")) for _ in range(rng.randint(1, 3))) for _ in range(n)) + "."
 
