@@ -276,7 +276,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col:
     cluster links are confirmed on full sets read from the texts, in blocks of
     bounded size, until no two members in different components are left
     unchecked. Pairs are never listed: a task returns only links that join two
-    components. No link between different sets that share a band is lost.
+    components. A link between different sets that share a band is lost only
+    where the estimate is more than ``MARGIN`` too low: by the binomial tail of
+    128 registers about 9e-6 of links of similarity 0.8 at 80 percent, 3e-6 of
+    0.85 at 85, unless others join the two.
 
     Returns ``id_col``, ``n_shingles``, ``component_id`` (the smallest id
     reachable) and ``kept`` (it is the row's own). Null and empty texts are
