@@ -48,7 +48,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of 4096 tokens, as pieces with their ids."""
-    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"), 4096, END_ID)
+    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"), 4096, END_ID, special=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

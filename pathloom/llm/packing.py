@@ -15,7 +15,7 @@ from .common import array, blocks, kept, materialize, small_batches
 from .tokens import TextEncoder
 
 
-def tokenized(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tokenized(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", special: bool = False) -> DataFrame:
     """First pass: each document's ids and its place among its partition's ids.
 
     ``ids`` holds little-endian unsigned 32-bit integers, ``n`` their number,
@@ -24,7 +24,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_i
     kind = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("part", T.IntegerType()), T.StructField("before", T.LongType()), T.StructField("n", T.LongType()), T.StructField("ids", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, before = kept(tokenizer, lambda: TextEncoder(tokenizer)), TaskContext.get().partitionId(), 0
+        encoder, part, before = kept(f"{tokenizer} {special}", lambda: TextEncoder(tokenizer, special=special)), TaskContext.get().partitionId(), 0
         for batch in blocks(batches, "text"):
             ids, n = encoder.encode(array(batch, "text"), end_id)
             ends = np.cumsum(n)
@@ -45,7 +45,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_i
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, kind)
 
 
-def pack(docs: DataFrame, tokenizer: str, length: int = 4096, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, length: int = 4096, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", special: bool = False) -> DataFrame:
     """Documents laid end to end and cut each ``length`` ids.
 
     The first pass tokenizes and writes each document's ids with the number of
@@ -64,7 +64,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 4096, end_id: int = 2, i
     """
     spark = docs.sparkSession
     small_batches(spark)
-    done = materialize(tokenized(docs, tokenizer, end_id, id_col, text_col), "packing")
+    done = materialize(tokenized(docs, tokenizer, end_id, id_col, text_col, special), "packing")
     totals = dict(done.groupBy("part").agg(F.sum("n").alias("n")).collect())
     base, at = [], 0
     for part in sorted(totals):

@@ -72,7 +72,7 @@ def _binary(parts: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(parts).view(np.uint8).tobytes())])
 
 
-def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+def encoded(docs: DataFrame, tokenizer: str, end_id: int, special: bool = False) -> DataFrame:
     """``id``, ``n`` and ``ids`` of each document; a task's last row has ``counts`` of all its ids.
 
     ``ids`` are 16-bit numbers if the vocabulary allows, else 32-bit;
@@ -80,7 +80,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = kept(tokenizer, lambda: TextEncoder(tokenizer))
+        encoder = kept(f"{tokenizer} {special}", lambda: TextEncoder(tokenizer, special=special))
         kind = np.dtype(_kind(encoder.n_ids))
         total = np.zeros(encoder.n_ids, np.int64)
         names = ["id", "n", "ids", "counts"]
@@ -137,7 +137,7 @@ def _file(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path)
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", file_tokens: int = 2_000_000) -> tuple[DataFrame, np.ndarray]:
+def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", file_tokens: int = 2_000_000, special: bool = False) -> tuple[DataFrame, np.ndarray]:
     """Writes all documents' ids, in ascending order of ``id_col``, into ``folder``.
 
     ``folder`` is a URI that all executors reach; by default it is new in the
@@ -157,7 +157,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, folder:
     spark = docs.sparkSession
     small_batches(spark)
     folder = folder or scratch(spark, "tokens")
-    coded = encoded(docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")), tokenizer, end_id)
+    coded = encoded(docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")), tokenizer, end_id, special)
     coded = materialize(coded, "token-ids")
     order = frequency_order(coded)
     shared = spark.sparkContext.broadcast(order)  # no longer than the vocabulary

@@ -34,16 +34,24 @@ class TextEncoder:
     with word BPE each pre-token's last token is marked, and parts of common
     letters, digits, signs and line ends have pre-tokens that can be told
     beforehand. Other parts are encoded one by one. Beyond ``max_words`` parts or ``max_bytes`` of them
-    those met once are forgotten. Special tokens' strings are ordinary text.
+    those met once are forgotten. Added tokens' strings are ordinary text; with
+    ``special`` they are what the library makes of them by default, and texts
+    that hold one are encoded whole by the library as it comes.
     """
 
-    def __init__(self, path: str, max_words: int = 2_000_000, max_bytes: int = 40_000_000):
+    def __init__(self, path: str, max_words: int = 2_000_000, max_bytes: int = 40_000_000, special: bool = False):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.tokenizer.encode_special_tokens = True
+        self.whole, self.added = None, ""
+        if special:
+            self.whole = Tokenizer.from_file(path)
+            self.whole.no_padding()
+            self.whole.no_truncation()
+            self.added = "|".join(re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values())
         vocab = self.tokenizer.get_vocab()
         self.n_ids = max(vocab.values()) + 1
         self.starts, self.ends = np.zeros(self.n_ids, bool), np.zeros(self.n_ids, bool)
@@ -172,6 +180,12 @@ class TextEncoder:
         if len(self.words) > self.max_words or self.words.nbytes > self.max_bytes:
             self._forget()
         texts = pc.fill_null(texts.cast(pa.string()), "")
+        marked = np.zeros(len(texts), bool)
+        if self.added and len(texts):
+            marked = pc.match_substring_regex(texts, self.added, ignore_case=True).to_numpy(zero_copy_only=False)
+        held = texts.filter(pa.array(marked)).to_pylist() if marked.any() else []
+        if held:  # one empty part each, which gets the whole text's ids below
+            texts = pc.if_else(pa.array(marked), "", texts)
         lists = self._cut(texts)
         bounds = lists.offsets.to_numpy().astype(np.int64)
         bounds -= bounds[0]
@@ -185,6 +199,9 @@ class TextEncoder:
             ids, n = self._each(heads.dictionary.to_pylist())
             at = self._put(ids) + np.cumsum(n) - n
             start[bounds[:-1]], length[bounds[:-1]] = at[heads.indices.to_numpy()], n[heads.indices.to_numpy()]
+        for i, text in zip(bounds[:-1][marked].tolist(), held, strict=True):
+            ids = np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
+            start[i], length[i] = self._put(ids), len(ids)
         sizes = np.diff(bounds)
         if end_id is not None:
             at = self._put(np.array([end_id], np.uint32))

@@ -41,6 +41,30 @@ def test_encoder_equals_the_library(name):
         assert encoder.count(pa.array(texts, pa.string()), 2).tolist() == np.bincount(ids, minlength=encoder.n_ids).tolist()
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_equals_the_untouched_library(name):
+    from tokenizers import Tokenizer
+
+    encoder, library = TextEncoder(queries.tokenizer_path(name), special=True), Tokenizer.from_file(queries.tokenizer_path(name))
+    texts = [*TEXTS, "a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|startoftext|>y  z", "a <|ENDOFTEXT|> b", None]
+    expected = [library.encode(x or "", add_special_tokens=False).ids + [2] for x in texts]
+    for _ in range(2):
+        ids, n = encoder.encode(pa.array(texts, pa.string()), 2)
+        assert n.tolist() == [len(x) for x in expected] and ids.tolist() == [y for x in expected for y in x]
+    assert encoder.count(pa.array(texts, pa.string()), 2).tolist() == np.bincount(ids, minlength=encoder.n_ids).tolist()
+    assert library.token_to_id("<|endoftext|>") in ids
+
+
+@pytest.mark.parametrize("query", ["op3_token_files", "op10_packing"])
+def test_queries_keep_added_tokens(spark, tmp_path, query):
+    from tokenizers import Tokenizer
+
+    documents(spark).select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
+    library = Tokenizer.from_file(queries.tokenizer_path("byte_bpe_50k.json" if query == "op3_token_files" else "word_bpe_49k.json"))
+    got = {r[0]: r[1] for r in queries.queries()[query](spark, str(tmp_path)).select("doc_id", "n_tokens" if query == "op3_token_files" else "doc_tokens").collect()}
+    assert got == {i: len(library.encode(t or "", add_special_tokens=False).ids) + 1 for i, t in enumerate(TEXTS)}
+
+
 def test_variable_length_coding():
     rng = np.random.default_rng(1)
     for n in (0, 4, 8, 1000):
