@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import ctypes
+import math
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,51 +20,117 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 
 #: What this driver has written below the shared folder.
 written: list[str] = []
+#: A key is frequent if it has more than one in so many rows; so there are fewer frequent keys than this.
+FREQUENT = 1000
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.delete(at, True)
+    store.cancelDeleteOnExit(at)
 
 
 def discard(spark: SparkSession) -> None:
     """Deletes all scratch tables and files, once nothing that reads them is needed any more."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
     while written:
-        path = hadoop.Path(written.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, written.pop())
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes scratch tables of :func:`materialize` that no later step reads."""
+    for df in tables:
+        path = getattr(df, "scratch_path", None)
+        if path in written:
+            written.remove(path)
+            _delete(df.sparkSession, path)
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the folder the cluster shares (``spark.checkpoint.dir``).
+    """A new folder below the one that the cluster shares (``spark.checkpoint.dir``).
 
-    Only where that setting is absent, as in tests on one machine, a local
-    temporary folder is taken instead.
+    It goes with the driver, if :func:`release` or :func:`discard` have not
+    deleted it before. Where the setting is absent, a local temporary folder
+    does on one machine; elsewhere that is an error, as executors would not
+    see each other's files.
     """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="checkpoint-")
-        spark.sparkContext.setCheckpointDir(base)
-    written.append(f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}")
-    return written[-1]
+        context.setCheckpointDir(base)
+    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(at)
+    store.deleteOnExit(at)
+    written.append(path)
+    return path
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, batch: int | None = None) -> DataFrame:
     """``df`` written as a table in the shared folder and read again.
 
     This cuts the lineage, so a lost executor costs a read and not the work
     before, and later passes see exactly these rows in any order of tasks.
+    ``batch`` is the number of rows that Python workers are given at a time
+    meanwhile, for long texts; the session's own setting comes back.
+    """
+    spark, setting = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    path, before = scratch(spark, label), spark.conf.get(setting)
+    if batch:
+        spark.conf.set(setting, str(batch))
+    try:
+        df.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(f"{path}/rows")
+    finally:
+        if batch:
+            spark.conf.set(setting, before)
+    out = spark.read.schema(df.schema).parquet(f"{path}/rows")
+    out.scratch_path = path
+    return out
+
+
+def join_spread(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", held: str = "held") -> DataFrame:
+    """``left`` joined with ``right``, which has one row for each key, with no frequent key in one task.
+
+    ``right``'s column ``held`` is the number of ``left``'s rows with the key
+    (or more). Keys that hold more than one in ``FREQUENT`` of the sum are
+    broadcast: by that there are fewer than ``FREQUENT`` of them, however
+    large the tables, and their rows stay where they are. All others are
+    joined as usual. ``how`` is ``inner`` or ``left``; rows with null keys
+    match nothing. The columns are ``left``'s and ``right``'s other ones.
     """
-    path = scratch(df.sparkSession, label)
-    df.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    total = right.agg(F.coalesce(F.sum(held), F.lit(0))).first()[0]
+    often = F.col(held) * FREQUENT > F.lit(total)
+    few, rest = F.broadcast(right.where(often).drop(held)), right.where(~often).drop(held)
+    known = left.dropna(subset=keys)
+    out = known.join(few, keys).unionByName(known.join(few.select(*keys), keys, "left_anti").join(rest, keys, how))
+    if how == "left":
+        none = [F.lit(None).cast(f.dataType).alias(f.name) for f in rest.schema if f.name not in keys]
+        out = out.unionByName(left.where(" or ".join(f"{k} is null" for k in keys)).select("*", *none))
+    return out
 
 
 def parts_of(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def _tree(value: Column, bounds: list, low: int) -> Column:
-    """Number of ``bounds`` that are not above ``value``, plus ``low``, by bisection."""
+def _place(value: Column, bounds: list) -> Column:
+    """Number of ``bounds`` that are not above ``value``.
+
+    The bounds are literals in chunks: one comparison with each chunk's first
+    and each of one chunk, so twice the root of their number by row.
+    """
     if not bounds:
-        return F.lit(low)
-    mid = len(bounds) // 2
-    return F.when(value < F.lit(bounds[mid]), _tree(value, bounds[:mid], low)).otherwise(_tree(value, bounds[mid + 1 :], low + mid + 1))
+        return F.lit(0)
+    step = math.isqrt(len(bounds) - 1) + 1
+    chunks = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    count = lambda values: F.size(F.filter(values, lambda b: b <= value))
+    some = lambda values: F.array(*map(F.lit, values))
+    chunk = count(some([c[0] for c in chunks]))
+    return F.when(chunk == 0, 0).otherwise((chunk - 1) * step + count(F.element_at(F.array(*map(some, chunks)), F.greatest(chunk, F.lit(1)))))
 
 
 def id_ranges(df: DataFrame, id_col: str, parts: int) -> tuple[list, object]:
@@ -89,10 +157,10 @@ def in_id_order(df: DataFrame, id_col: str, tie_col: str, look_ahead: bool = Fal
     spark = df.sparkSession
     bounds, low = bounds or id_ranges(df, id_col, parts_of(spark))
     n = len(bounds) + 1
-    part = F.when(F.col(id_col).isNull(), F.lit(n - 1)).otherwise(_tree(F.col(id_col), bounds, 0))
+    part = F.when(F.col(id_col).isNull(), F.lit(n - 1)).otherwise(_place(F.col(id_col), bounds))
     spot = lambda p, extra: F.struct(p.cast("int").alias("_part"), F.lit(extra).alias("_extra"))
     if look_ahead and n > 1:
-        first = F.col(id_col).isin(bounds)
+        first = F.coalesce(F.get(F.array(*map(F.lit, bounds)), part - 1) == F.col(id_col), F.lit(False))
         ways = F.array(spot(part, 0), F.when(first, spot(part - 1, 1)), F.when(F.col(id_col) == F.lit(low), spot(F.lit(n - 1), 2)))
         df = df.select("*", F.explode(F.filter(ways, lambda x: x.isNotNull())).alias("_spot")).select("*", "_spot.*").drop("_spot")
     else:
@@ -112,11 +180,6 @@ def kept(name: str, make):
     return store[name]
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Lets Python workers take few rows at a time: texts may be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: each bit of the result depends on each of ``x``."""
     x = x ^ (x >> np.uint64(32))

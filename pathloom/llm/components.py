@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import join_spread, materialize, release
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -19,8 +19,9 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     (Kiveris et al., Connected Components in MapReduce and Beyond): each hangs
     neighbours on smaller ones until every node hangs on its component's
     smallest. A step is a minimum by node, which is combined before it is
-    shuffled, and an equi-join. Links of a node with itself or with null do not
-    count; repeated ones count once.
+    shuffled, and an equi-join that leaves the links of nodes with very many
+    neighbours where they are (:func:`join_spread`). Links of a node with
+    itself or with null do not count; repeated ones count once.
     """
     edges = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges = materialize(edges, "links")
@@ -29,14 +30,15 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         if not state[0]:
             break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("low", "u").alias("low"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
+        low = materialize(both.groupBy("u").agg(F.least(F.min("v"), "u").alias("low"), F.count("*").alias("held")), "large-lows")
+        large = join_spread(both.where("v > u"), low, ["u"]).select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
         # large hangs u on v < u: the neighbours that small-star looks at.
         large = materialize(large, "large-star")
-        low = large.groupBy("u").agg(F.min("v").alias("low"))
-        near = large.join(low, "u").where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
-        edges = materialize(near.unionByName(low.select("u", F.col("low").alias("v"))).distinct(), "small-star")
-        before, state = state, _state(edges)
+        lows = materialize(large.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("held")), "small-lows")
+        near = join_spread(large, lows, ["u"]).where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
+        after = materialize(near.unionByName(lows.select("u", F.col("low").alias("v"))).distinct(), "small-star")
+        release(edges, low, large, lows)
+        edges, before, state = after, state, _state(after)
         if state == before:
             break
     else:
