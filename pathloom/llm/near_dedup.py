@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import array, blocks, column, materialize, parts_of, small_batches
+from .common import array, blocks, column, join_spread, materialize, parts_of, release
 from .components import components
 from .shingles import shingle_sets
 
@@ -63,18 +63,22 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.n
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """``id``, ``n`` (size of the shingle set), ``key`` (the set's hash; null if empty), ``sketch``."""
-    kind = T.StructType([T.StructField("id", docs.schema["id"].dataType), T.StructField("n", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("sketch", T.BinaryType())])
+    """``id``, ``row`` and ``text_hash`` as given, ``n`` (size of the shingle set), ``key`` (the set's hash; null if empty), ``sketch``."""
+    given = ["id", "row", "text_hash"]
+    kind = T.StructType([*(docs.schema[c] for c in given), T.StructField("n", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("sketch", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text"):
             sets = shingle_sets(array(batch, "text"), width)
-            keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([array(batch, "id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array([registers(s).tobytes() if len(s) else None for s in sets], pa.binary())], names=kind.names)
+            yield pa.RecordBatch.from_arrays([*(array(batch, c) for c in given), pa.array([len(s) for s in sets], pa.int64()), pa.array([_key(s) for s in sets], pa.binary()), pa.array([registers(s).tobytes() if len(s) else None for s in sets], pa.binary())], names=kind.names)
 
     return docs.mapInArrow(run, kind)
 
 
+def _key(shingles: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None
+
+
 def _matrix(batch: pa.RecordBatch, name: str) -> np.ndarray:
     values = column(batch, name)
     return np.frombuffer(b"".join(values), np.uint16).reshape(len(values), REGISTERS)
@@ -139,31 +143,55 @@ def linked(sets: list[np.ndarray], labels: list, asks: np.ndarray, percent: int)
                 yield i, j
 
 
-def in_blocks(rows: DataFrame, keys: list[str], width: int, percent: int) -> DataFrame:
-    """Links within groups of rows with equal ``keys``, by full sets of their texts.
+def cluster_sets(nodes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """``node`` and ``shingles``: the full sets of clustered classes, as sorted hashes in bytes.
+
+    ``nodes`` names for each class the id and text hash of one document that
+    has the set; the documents' texts are read once, and each set is made once.
+    """
+    found = join_spread(docs, nodes, ["id", "text_hash"]).select("text", F.explode("own").alias("own")).select("text", "own.*")
 
-    ``rows`` has ``id``, ``text``, ``component`` and ``asks`` (see
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
+        for batch in blocks(batches, "text"):
+            node = column(batch, "node")
+            batch = batch.filter(pa.array([x not in done for x in node], pa.bool_()))  # repeated rows share a task
+            sets = shingle_sets(array(batch, "text"), width)
+            right = pa.array([_key(s) == k for s, k in zip(sets, column(batch, "key"), strict=True)], pa.bool_())
+            batch = pa.RecordBatch.from_arrays([array(batch, "node"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "shingles"]).filter(right)
+            done.update(column(batch, "node"))
+            yield batch
+
+    # Repeated rows of a frequent document may lie in several tasks.
+    return found.mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
+
+
+def in_blocks(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
+    """Links within groups of rows with equal ``keys``, by full sets.
+
+    ``rows`` has ``node``, ``shingles``, ``component`` and ``asks`` (see
     :func:`linked`); a group has a bounded number of rows.
     """
     spark = rows.sparkSession
-    dealt = rows.repartition(parts_of(spark), *keys).sortWithinPartitions(*keys, "id")
+    dealt = rows.repartition(parts_of(spark), *keys).sortWithinPartitions(*keys, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, keys):
             if group.num_rows > 1:
-                sets = shingle_sets(array(group, "text"), width)
+                sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in array(group, "shingles")]
                 pairs = list(linked(sets, column(group, "component"), array(group, "asks").to_numpy(zero_copy_only=False).astype(bool), percent))
                 if pairs:
-                    left, right = (array(group, "id").take(pa.array(x)) for x in zip(*pairs, strict=True))
+                    left, right = (array(group, "node").take(pa.array(x)) for x in zip(*pairs, strict=True))
                     yield pa.RecordBatch.from_arrays([left, right], names=["u", "v"])
 
-    kind = T.StructType([T.StructField("u", rows.schema["id"].dataType), T.StructField("v", rows.schema["id"].dataType)])
-    return dealt.mapInArrow(run, kind)
+    return dealt.mapInArrow(run, "u long, v long")
 
 
 def _with_sketches(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    side = lambda x: classes.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
-    return pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "n_u", "n_v", "s_u", "s_v")
+    """Pairs with both sides' sizes and sketches; a class may be ``u`` of any number of pairs."""
+    side = lambda x: classes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
+    first = side("u").join(pairs.groupBy("u").agg(F.count("*").alias("held")), "u")
+    return join_spread(pairs, first, ["u"]).join(side("v"), "v").select("u", "v", "n_u", "n_v", "s_u", "s_v")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
@@ -189,21 +217,21 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.R
 def across(members: DataFrame, percent: int) -> DataFrame:
     """Pairs that join components within a bucket, as far as sizes and estimates allow.
 
-    ``members`` has ``bucket``, ``held`` (the bucket's members), ``rep``,
+    ``members`` has ``bucket``, ``held`` (the bucket's members), ``node``,
     ``component``, ``n`` and ``sketch``. A bucket is cut into blocks of about
     ``BLOCK`` members, and each two blocks are compared in one go; of the
     pairs that could be links a task returns those that join components.
     """
     spark = members.sparkSession
-    block = members.withColumn("blocks", F.ceil(F.col("held") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    dealt = block.select("bucket", "rep", "component", "n", "sketch", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    block = members.withColumn("blocks", F.ceil(F.col("held") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = block.select("bucket", "node", "component", "n", "sketch", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("other")
     keys = ["bucket", "low", "high"]
     dealt = dealt.repartition(parts_of(spark), *keys).sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, keys):
-            sketch, n, rep = _matrix(group, "sketch"), array(group, "n").to_numpy(), array(group, "rep")
+            sketch, n, node = _matrix(group, "sketch"), array(group, "n").to_numpy(), array(group, "node")
             union = _Union(column(group, "component"))
             pairs = []
             for i in range(len(n)):
@@ -212,91 +240,126 @@ def across(members: DataFrame, percent: int) -> DataFrame:
                     j = j[estimate(sketch[i], sketch[j], np.full(len(j), n[i]), n[j]) >= percent / 100 - MARGIN]
                     pairs += [(i, x) for x in j.tolist() if union.join(i, x)]
             if pairs:
-                yield pa.RecordBatch.from_arrays([rep.take(pa.array(x)) for x in zip(*pairs, strict=True)], names=["u", "v"])
+                yield pa.RecordBatch.from_arrays([node.take(pa.array(x)) for x in zip(*pairs, strict=True)], names=["u", "v"])
 
-    kind = T.StructType([T.StructField("u", members.schema["rep"].dataType), T.StructField("v", members.schema["rep"].dataType)])
-    return dealt.mapInArrow(run, kind)
+    return dealt.mapInArrow(run, "u long, v long")
 
 
 def clusters_of(classes: DataFrame, percent: int) -> DataFrame:
     """``node`` and ``component``: classes that estimates may join, directly or through others.
 
     Each member of a bucket is compared with the bucket's smallest; where
-    several components are left in a bucket, all of its members are.
+    several components are left in a bucket, all of its members are. Buckets
+    that very many classes share are joined where their rows are
+    (:func:`join_spread`).
     """
     part = F.col("sketch").substr(F.col("band") * (2 * ROWS) + 1, F.lit(2 * ROWS))
-    bands = classes.select("rep", "sketch", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")).withColumn("part", part)
-    bands = bands.where(F.col("part") != F.lit(bytes(2 * ROWS))).select("rep", F.xxhash64("band", "part").alias("bucket"))
-    buckets = bands.groupBy("bucket").agg(F.min("rep").alias("lead"), F.count("*").alias("held")).where("held > 1")
-    members = materialize(bands.join(buckets, "bucket"), "members")
-    pairs = members.where("rep > lead").select(F.col("lead").alias("u"), F.col("rep").alias("v")).distinct()
+    bands = classes.select("node", "sketch", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")).withColumn("part", part)
+    bands = bands.where(F.col("part") != F.lit(bytes(2 * ROWS))).select("node", F.xxhash64("band", "part").alias("bucket"))
+    buckets = materialize(bands.groupBy("bucket").agg(F.min("node").alias("lead"), F.count("*").alias("held")).where("held > 1"), "buckets")
+    members = materialize(join_spread(bands, buckets.withColumn("size", F.col("held")), ["bucket"]), "members")
+    pairs = materialize(members.where("node > lead").select(F.col("lead").alias("u"), F.col("node").alias("v")).distinct(), "lead-pairs")
     found = materialize(components(promising(_with_sketches(pairs, classes), percent)), "near-smallest")
     # The smallest member has met all others; of the rest some may be in different components.
-    rest = members.where("rep > lead and held > 2").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    rest = materialize(rest.select("bucket", "rep", F.coalesce("component", "rep").alias("component")), "unsettled")
-    unsettled = rest.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("held")).where("a <> b").select("bucket", "held")
-    more = across(rest.join(unsettled, "bucket").join(classes.drop("key"), "rep"), percent)
+    rest = members.where("node > lead and size > 2").select("bucket", "node").join(found, "node", "left")
+    rest = materialize(rest.select("bucket", "node", F.coalesce("component", "node").alias("component")), "unsettled")
+    unsettled = rest.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("held")).where("a <> b")
+    unsettled = materialize(unsettled.select("bucket", "held"), "unsettled-buckets")
+    release(buckets, members, pairs)
+    more = across(join_spread(rest, unsettled.withColumn("size", F.col("held")), ["bucket"]).withColumnRenamed("size", "held").join(classes.select("node", "n", "sketch"), "node"), percent)
     return components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
 
 
-def links_in(clusters: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def links_in(clusters: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Links that join all linked classes of each cluster, from full sets.
 
     Clusters are cut into blocks of about ``BLOCK``; each block is compared
     with itself and the cluster's smallest. Members of a larger cluster which
     that leaves apart from the smallest are then compared with all blocks.
     """
-    held = clusters.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = clusters.join(held, "component").select(F.col("node").alias("id"), F.col("component").alias("cluster"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    held = clusters.groupBy("component").agg(F.count("*").alias("held"))
+    placed = join_spread(clusters, held.withColumn("blocks", F.ceil(F.col("held") / BLOCK).cast("int")), ["component"])
+    placed = placed.select("node", F.col("component").alias("cluster"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
     placed = materialize(placed, "clusters")
-    texts = docs.join(placed, "id")
-    everywhere = F.when(F.col("id") == F.col("cluster"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
-    first = texts.select("id", "text", "cluster", F.explode(everywhere).alias("block"), F.col("id").alias("component"), F.lit(True).alias("asks"))
-    links = materialize(in_blocks(first, ["cluster", "block"], width, percent), "links-in-blocks")
+    nodes = classes.join(placed.select("node"), "node", "left_semi").select("node", "key", "id", "text_hash", "held")
+    # Of classes that share an id and a text hash (another text, then) the sets' own hash tells the right one.
+    nodes = nodes.groupBy("id", "text_hash").agg(F.max("held").alias("held"), F.collect_set(F.struct("node", "key")).alias("own"))
+    docs = docs.select("id", "text_hash", "text")
+    sets = materialize(cluster_sets(nodes, docs, width), "cluster-sets")
+    rows = sets.join(placed, "node")
+    everywhere = F.when(F.col("node") == F.col("cluster"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
+    first = rows.select("node", "shingles", "cluster", F.explode(everywhere).alias("block"), F.col("node").alias("component"), F.lit(True).alias("asks"))
+    links = materialize(in_blocks(first, ["cluster", "block"], percent), "links-in-blocks")
     found = components(links)
-    large = placed.where("blocks > 1").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    large = placed.where("blocks > 1").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     large = materialize(large, "large-clusters")
-    apart = large.where("component <> cluster").groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("ask_blocks"))
-    large = large.join(apart, "cluster")
-    answer = large.select("id", "cluster", "component", F.explode(F.sequence(F.lit(0), F.col("ask_blocks") - 1)).alias("ask"), "block", F.lit(False).alias("asks"))
-    ask = large.where("component <> cluster").select("id", "cluster", "component", F.pmod(F.xxhash64("id"), F.col("ask_blocks")).cast("int").alias("ask"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asks"))
-    rows = docs.join(answer.unionByName(ask), "id")
-    return links.union(in_blocks(rows, ["cluster", "ask", "block"], width, percent))
-
-
-def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    apart = large.groupBy("cluster").agg(F.count("*").alias("held"), F.ceil(F.sum((F.col("component") != F.col("cluster")).cast("long")) / BLOCK).cast("int").alias("ask_blocks")).where("ask_blocks > 0")
+    large = join_spread(large, apart, ["cluster"])
+    answer = large.select("node", "cluster", "component", F.explode(F.sequence(F.lit(0), F.col("ask_blocks") - 1)).alias("ask"), "block", F.lit(False).alias("asks"))
+    ask = large.where("component <> cluster").select("node", "cluster", "component", F.pmod(F.xxhash64("node"), F.col("ask_blocks")).cast("int").alias("ask"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asks"))
+    return links.union(in_blocks(sets.join(answer.unionByName(ask), "node"), ["cluster", "ask", "block"], percent))
+
+
+def shared_ids(base: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """Links between classes that one id has documents in; None if no id has several."""
+    known = base.where("key is not null and id is not null")
+    mark = F.xxhash64("key")
+    ids = materialize(known.groupBy("id").agg(F.min(mark).alias("a"), F.max(mark).alias("b"), F.count("*").alias("held")).where("a <> b").select("id", "held"), "shared-ids")
+    if ids.isEmpty():
+        return None
+    both = join_spread(known.select("id", "key"), ids, ["id"]).distinct()
+    both = materialize(join_spread(both, classes.select("key", "node", "held"), ["key"]).select("id", "node"), "shared-classes")
+    lead = both.groupBy("id").agg(F.min("node").alias("u"), F.count("*").alias("held"))
+    return join_spread(both, lead, ["id"]).where("node > u").select("u", F.col("node").alias("v"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """Each document's group of near-duplicates.
 
     A document's set holds the distinct shingles of ``width`` words, A-Z
     lower-cased; two are linked if 100 times the shared shingles are at least
-    ``percent`` times all of both. Documents with equal sets form a class,
-    which goes on as its smallest id. Classes whose compressed registers agree
-    in a band share a bucket. Sizes and estimates corrected for collisions say
-    which of them could be linked; components of those are clusters. Within a
-    cluster links are confirmed on full sets read from the texts, in blocks of
-    bounded size, until no two members in different components are left
-    unchecked. Pairs are never listed: a task returns only links that join two
-    components. A link between different sets that share a band is lost only
-    where the estimate is more than ``MARGIN`` too low: by the binomial tail of
-    128 registers about 9e-6 of links of similarity 0.8 at 80 percent, 3e-6 of
-    0.85 at 85, unless others join the two.
+    ``percent`` times all of both. Documents with equal sets form a class.
+    Classes whose compressed registers agree in a band share a bucket. Sizes
+    and estimates corrected for collisions say which of them could be linked;
+    components of those are clusters. Within a cluster links are confirmed on
+    full sets, each made once from its text, in blocks of bounded size, until
+    no two members in different components are left unchecked. Pairs are never
+    listed: a task returns only links that join two components. A link between
+    different sets that share a band is lost only where the estimate is more
+    than ``MARGIN`` too low: by the binomial tail of 128 registers about 9e-6
+    of links of similarity 0.8 at 80 percent, 3e-6 of 0.85 at 85, unless
+    others join the two.
 
     Returns ``id_col``, ``n_shingles``, ``component_id`` (the smallest id
-    reachable) and ``kept`` (it is the row's own). Null and empty texts are
-    linked with nothing. Rows that share an id count as one document. A row
-    with a null id is linked with nothing and kept, with a null component.
-    No rows give no rows; other columns are not read.
+    reachable) and ``kept`` (it is the row's own). Texts of any length are
+    read whole. Null and empty texts are linked with nothing. Rows that share
+    an id are linked by it, whatever their texts, unless these are empty. A
+    row with a null id is linked with nothing and kept, with a null component.
+    With ``row_col``, which numbers the rows, that column is returned too, and
+    of the rows that would be kept for one component only the one with the
+    smallest number is; rows of empty texts or null ids stay all. No rows give
+    no rows; other columns are not read.
     """
-    spark = docs.sparkSession
-    small_batches(spark, 200)
-    docs = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    base = materialize(sketches(docs, width), "sketches")
-    classes = base.where("key is not null and id is not null").groupBy("key").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    classes = materialize(classes, "classes")
-    clusters = clusters_of(classes, percent)
-    found = components(links_in(clusters, docs, width, percent))
-    named = classes.select("key", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))
-    named = materialize(named, "named")
-    out = base.select("id", "n", F.when(F.col("id").isNotNull(), F.col("key")).alias("key")).join(named, "key", "left")
-    component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    text = F.col(f"`{text_col}`").cast("string")
+    row = F.col(f"`{row_col}`").cast("long") if row_col else F.lit(0).cast("long")
+    docs = docs.select(F.col(f"`{id_col}`").alias("id"), row.alias("row"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    base = materialize(sketches(docs, width), "sketches", batch=200)
+    first = F.min(F.struct("id", "text_hash"))
+    classes = base.where("key is not null and id is not null").groupBy("key").agg(first.alias("one"), F.count("*").alias("held"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = materialize(classes.select(F.monotonically_increasing_id().alias("node"), "key", "one.id", "one.text_hash", "held", "n", "sketch"), "classes")
+    clusters = materialize(clusters_of(classes, percent), "near-classes")
+    links = links_in(clusters, classes, docs, width, percent)
+    shared = shared_ids(base, classes)
+    found = components(links if shared is None else links.union(shared))
+    named = classes.select("node", "key", "id", "held").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = materialize(named, "components")
+    low = named.groupBy("component").agg(F.min("id").alias("component_id"), F.count("*").alias("members"))
+    named = materialize(join_spread(named, low, ["component"], held="members").select("key", "component_id", "held"), "named")
+    own = base.select("id", "row", "n", F.when(F.col("id").isNotNull(), F.col("key")).alias("key"))
+    out = join_spread(own, named, ["key"], how="left").withColumn("component_id", F.coalesce("component_id", "id"))
+    kept = F.coalesce(F.col("component_id") == F.col("id"), F.lit(True))
+    if row_col:
+        out = materialize(out, "near-rows")
+        least = out.where("key is not null and component_id = id").groupBy("id").agg(F.min("row").alias("row")).select("row", F.lit(True).alias("least"))
+        out, kept = out.join(least, "row", "left"), kept & (F.col("key").isNull() | F.coalesce("least", F.lit(False)))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component_id"), kept.alias("kept"), *([F.col("row").alias(row_col)] if row_col else []))
