@@ -12,20 +12,25 @@ from .common import mix64
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in a row, A-Z lower-cased, and each text's bounds in it.
+def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct words, A-Z lower-cased; the number of each word of all texts in a row; each text's bounds in that.
 
     Words lie between ASCII white space; null texts have none.
     """
     lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
     bounds = lists.offsets.to_numpy().astype(np.int64)
     coded = lists.flatten().dictionary_encode()
-    names = coded.dictionary.to_pylist()
-    own = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in names), np.uint64, len(names))
     index = coded.indices.to_numpy()
-    real = np.fromiter((w != "" for w in names), bool, len(names))[index] if len(index) else np.zeros(0, bool)
+    real = pc.greater(pc.binary_length(coded.dictionary), 0).to_numpy(zero_copy_only=False)[index] if len(index) else np.zeros(0, bool)
     before = np.concatenate([[0], np.cumsum(real)])
-    return own[index[real]] if len(index) else np.zeros(0, np.uint64), before[bounds - bounds[0]]
+    return coded.dictionary, index[real], before[bounds - bounds[0]]
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in a row (see :func:`words`), and each text's bounds in it."""
+    names, index, bounds = words(texts)
+    own = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in names.to_pylist()), np.uint64, len(names))
+    return own[index], bounds
 
 
 def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
