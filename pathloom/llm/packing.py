@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import array, blocks, kept, materialize, small_batches
+from .common import array, blocks, kept, materialize
 from .tokens import TextEncoder
 
 
@@ -63,8 +63,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 4096, end_id: int = 2, i
     other than the two named are not read.
     """
     spark = docs.sparkSession
-    small_batches(spark)
-    done = materialize(tokenized(docs, tokenizer, end_id, id_col, text_col, special), "packing")
+    done = materialize(tokenized(docs, tokenizer, end_id, id_col, text_col, special), "packing", batch=500)
     totals = dict(done.groupBy("part").agg(F.sum("n").alias("n")).collect())
     base, at = [], 0
     for part in sorted(totals):
@@ -72,7 +71,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 4096, end_id: int = 2, i
         at += totals[part]
     # One row for each partition of the first pass, so bounded by the number of tasks.
     bases = spark.createDataFrame(base, "part int, base long")
-    place = done.join(F.broadcast(bases), "part").withColumn("at", F.col("base") + F.col("before"))
+    place = done.join(bases, "part").withColumn("at", F.col("base") + F.col("before"))
     first, last = F.expr(f"at div {length}"), F.expr(f"(at + n - 1) div {length}")
     pieces = place.select("*", F.explode(F.sequence(first, last)).alias("sequence_id"))
     start = F.greatest(F.lit(0).cast("long"), F.col("sequence_id") * length - F.col("at"))

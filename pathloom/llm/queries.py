@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, fingerprints, mixing, near_dedup, packing, quality, sharding, token_counts, token_files, url_filter
-from .common import small_batches
 
 END_ID = 2
 
@@ -29,8 +28,8 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest, order = token_files.write_token_files(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), END_ID, special=True)
-    back = token_files.read_token_files(spark, manifest, order)
+    folder = token_files.write_token_files(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), END_ID, special=True)
+    back = token_files.read_token_files(spark, folder)
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
@@ -45,7 +44,6 @@ SHARDS, SLOTS = [f"shard-{i:02d}" for i in range(32)], 4093
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     near = fingerprints.edited_neighbours(table(spark, sf_dir, "documents"))
     return near.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
@@ -55,7 +53,6 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     return token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("piece_bpe_32k.model")).select("doc_id", "n_tokens")
 
 

@@ -1,8 +1,12 @@
 """Files of token ids: frequency ranks in byte-aligned variable-length coding.
 
-A file holds, after a head (``HEAD``), its documents' ids (8 bytes each),
-flags (1 byte each, 1 where the id is null), numbers of tokens (8 bytes each),
-then the control bytes of all documents and the data bytes of all documents. A
+A folder holds ``ranks`` (a table of the ids in order of their ranks) and
+``tokens`` (the files), so it can be read with nothing else at hand. A file
+holds a head (``HEAD``), its documents' ids (8 bytes each), flags (1 byte each,
+1 where the id is null), numbers of tokens (8 bytes each), the control bytes of
+all documents, their data bytes, and at last a line end, which does not count.
+Both are written and read by Spark, so on any store that it knows, and a task
+that runs again leaves no second file. A
 control byte has two bits for each of four tokens, lowest first: the number of
 the token's data bytes less one. Data bytes are the token's rank by frequency,
 lowest byte first, so the 256 most frequent ids take one byte and two bits. A
@@ -12,22 +16,22 @@ document starts on a control byte; up to three zero ranks fill its last one.
 from __future__ import annotations
 
 import struct
-import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import array, blocks, column, id_ranges, in_id_order, kept, materialize, parts_of, scratch, small_batches
+from .common import array, blocks, column, id_ranges, in_id_order, kept, materialize, parts_of, release, scratch
 from .tokens import TextEncoder
 
-MAGIC = b"TKRANK1\0"
-HEAD = "<8sQQQ"  # magic, documents, control bytes, data bytes
+MAGIC = b"TKRANK2\0"
+#: After the magic, 8 bytes each, highest first. ``before``: tokens of the part's earlier files; ``order``: CRC-32 of the ids by rank, 4 bytes each.
+FIELDS = ("part", "number", "before", "docs", "tokens", "controls", "size", "order")
+HEAD = f">8s{len(FIELDS)}Q"
 #: By control byte: the lengths of its four tokens.
 LENGTHS = np.array([[(c >> (2 * i) & 3) + 1 for i in range(4)] for c in range(256)], np.uint8)
 #: By control byte: where its tokens' bytes start, and how many there are.
@@ -133,55 +137,45 @@ def ranked(coded: DataFrame, order: Broadcast, n_ids: int) -> DataFrame:
     return coded.where("counts is null").select("id", "n", "ids").mapInArrow(run, "id long, n long, control binary, data binary")
 
 
-def _file(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path)
+def _checksum(order: np.ndarray) -> int:
+    return zlib.crc32(order.astype("<u4").tobytes())
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", file_tokens: int = 2_000_000, special: bool = False) -> tuple[DataFrame, np.ndarray]:
-    """Writes all documents' ids, in ascending order of ``id_col``, into ``folder``.
+def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", file_tokens: int = 1_000_000, special: bool = False) -> str:
+    """Writes all documents' ids, in ascending order of ``id_col``, into ``folder`` and returns that.
 
-    ``folder`` is a URI that all executors reach; by default it is new in the
-    shared checkpoint folder. The texts are encoded once, into a table of ids,
-    and the ids counted on the way. Coded by rank, documents are dealt into
-    ranges of ``id_col`` by one shuffle, sorted and written, a range's files
-    being closed at ``file_tokens`` tokens (a document stays whole). A file is
-    written under a name of its own and moved into place, so a task that runs
-    again leaves the same file.
+    ``folder`` is a new one that all executors reach, by default in the shared
+    checkpoint folder, from where it goes with the driver. The texts are
+    encoded once, into a table of ids, and the ids counted on the way. Coded
+    by rank, documents are dealt into ranges of ``id_col`` by one shuffle,
+    sorted and written, a range's files being closed at ``file_tokens`` tokens
+    (a document stays whole, however long).
 
-    Returns the manifest (``part``, ``file``, ``path``, ``docs``, ``tokens``;
-    files in order of part and file) and the ids in the order of their ranks,
-    which reading needs. A null text is an empty one; null ids of documents
-    come last; documents with equal ids are ordered by their bytes; no rows
-    give no files; other columns are not read.
+    Ids of documents are whole numbers (others are an error). A null text is
+    an empty one; null ids come last; documents with equal ids are ordered by
+    their bytes; no rows give no files; other columns are not read.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     folder = folder or scratch(spark, "tokens")
     coded = encoded(docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")), tokenizer, end_id, special)
-    coded = materialize(coded, "token-ids")
+    coded = materialize(coded, "token-ids", batch=500)
     order = frequency_order(coded)
+    crc = _checksum(order)
     shared = spark.sparkContext.broadcast(order)  # no longer than the vocabulary
     sorted_docs, _ = in_id_order(ranked(coded, shared, TextEncoder(tokenizer).n_ids), "id", "data", bounds=id_ranges(coded.where("counts is null"), "id", parts_of(spark)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, files, held = 0, 0, 0
+        part, number, before, held = 0, 0, 0, 0
         rows: list[tuple] = []
 
         def close() -> pa.RecordBatch:
-            nonlocal rows, held, files
+            nonlocal rows, held, number, before
             ids, n, control, data = zip(*rows, strict=True)
-            path = f"{folder}/part-{part:06d}-{files:06d}.tkr"
-            store, place = _file(path)
-            store.create_dir(place.rpartition("/")[0], recursive=True)
-            with store.open_output_stream(own := f"{place}.{uuid.uuid4().hex}") as out:
-                out.write(struct.pack(HEAD, MAGIC, len(rows), sum(map(len, control)), sum(map(len, data))))
-                out.write(np.array([x if x is not None else 0 for x in ids], "<i8").tobytes() + bytes(x is None for x in ids) + np.array(n, "<i8").tobytes())
-                out.write(b"".join(control))
-                out.write(b"".join(data))
-            store.move(own, place)
-            row = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([files], pa.int32()), pa.array([path]), pa.array([len(rows)], pa.int64()), pa.array([held], pa.int64())], names=["part", "file", "path", "docs", "tokens"])
-            rows, held, files = [], 0, files + 1
-            return row
+            head = struct.pack(HEAD, MAGIC, part, number, before, len(rows), held, sum(map(len, control)), sum(map(len, data)), crc)
+            lists = np.array([x if x is not None else 0 for x in ids], "<i8").tobytes() + bytes(x is None for x in ids) + np.array(n, "<i8").tobytes()
+            file = pa.array([b"".join((head, lists, *control, *data))], pa.binary())
+            rows, number, before, held = [], number + 1, before + held, 0
+            return pa.RecordBatch.from_arrays([file], names=["file"])
 
         for batch in batches:
             for part, *row in zip(*(column(batch, c) for c in ("_part", "id", "n", "control", "data")), strict=True):
@@ -192,36 +186,50 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, folder:
         if rows:
             yield close()
 
-    manifest = sorted_docs.mapInArrow(run, "part int, file int, path string, docs long, tokens long")
-    return materialize(manifest, "token-manifest"), order
+    # The text writer puts bytes as they are, a row to a file here, and a line end after it.
+    files = sorted_docs.mapInArrow(run, "file binary").select(F.col("file").cast("string").alias("value"))
+    files.write.option("maxRecordsPerFile", 1).option("compression", "none").text(f"{folder}/tokens")
+    ranks = pa.table({"rank": pa.array(np.arange(len(order))), "token": pa.array(order.astype(np.int64))})
+    spark.createDataFrame(ranks).coalesce(1).write.parquet(f"{folder}/ranks")
+    release(coded)
+    return folder
 
 
-def read_token_files(spark: SparkSession, manifest: DataFrame, order: np.ndarray) -> DataFrame:
-    """Documents as the files hold them.
+def token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The files of a folder: what their heads say (``FIELDS``), and their ``content``."""
+    files = spark.read.format("binaryFile").load(f"{folder}/tokens").where(F.col("length") > struct.calcsize(HEAD)).select("path", "content")
+    number = lambda i: F.conv(F.hex(F.substring("content", 9 + 8 * i, 8)), 16, 10).cast("long")
+    return files.select("path", *(number(i).alias(f) for i, f in enumerate(FIELDS)), "content")
+
+
+def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as the files of :func:`write_token_files` hold them.
 
     ``doc_id``, ``start`` (ids of all documents before it, over all files),
-    ``n_tokens``, ``ids`` (binary, little-endian unsigned 32-bit).
+    ``n_tokens``, ``ids`` (binary, little-endian unsigned 32-bit). Files that
+    were written with other ranks than the folder's, or are none, are an error.
     """
+    ranks = spark.read.parquet(f"{folder}/ranks").toArrow().sort_by("rank")  # no longer than the vocabulary
+    order = ranks["token"].to_numpy().astype(np.uint32)
+    crc = _checksum(order)
+    files = token_files(spark, folder)
     # A row for each range of the writer, so bounded by its number of tasks.
     base, at = [], 0
-    for part, n in sorted(manifest.groupBy("part").agg(F.sum("tokens")).collect()):
+    for part, n in sorted(files.groupBy("part").agg(F.sum("tokens")).collect()):
         base.append((part, at))
         at += n
-    starts = spark.createDataFrame(base, "part int, base long")
-    earlier = Window.partitionBy("part").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    files = manifest.withColumn("inside", F.sum("tokens").over(earlier)).join(F.broadcast(starts), "part")
-    files = files.select("path", (F.col("base") + F.coalesce("inside", F.lit(0))).alias("base")).repartition(max(1, min(manifest.count(), 100_000)), "path")
+    starts = spark.createDataFrame(base, "part long, base long")
+    files = files.join(starts, "part").select("path", "content", (F.col("base") + F.col("before")).alias("base"))
     shared = spark.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, first in zip(column(batch, "path"), column(batch, "base"), strict=True):
-                store, place = _file(path)
-                with store.open_input_stream(place) as f:
-                    raw = f.read()
-                magic, docs, controls, size = struct.unpack_from(HEAD, raw)
-                if magic != MAGIC:
-                    raise ValueError(f"{path} is not a file of token ids")
+            for path, content, first in zip(column(batch, "path"), array(batch, "content"), column(batch, "base"), strict=True):
+                raw = content.as_buffer()
+                magic, *head = struct.unpack_from(HEAD, raw)
+                _, _, _, docs, _, controls, size, own = head
+                if magic != MAGIC or own != crc:
+                    raise ValueError(f"{path} is not a file of token ids with these ranks")
                 at = struct.calcsize(HEAD)
                 ids = np.frombuffer(raw, "<i8", docs, at)
                 null = np.frombuffer(raw, np.uint8, docs, at := at + 8 * docs).astype(bool)
@@ -236,10 +244,9 @@ def read_token_files(spark: SparkSession, manifest: DataFrame, order: np.ndarray
                 full = -(-n // 4) * 4
                 if (full != n).any():  # take out what fills the control bytes
                     out = out[np.arange(int(n.sum())) + np.repeat(np.cumsum(full - n) - (full - n), n)]
-                tokens = len(out)
                 ends = np.cumsum(n)
                 # Arrow's binary offsets are 32-bit: some rows at a time.
-                step = max(1, int(docs * (4 << 20) / max(1, tokens)))
+                step = max(1, int(docs * (4 << 20) / max(1, len(out))))
                 for i in range(0, docs, step):
                     j = min(docs, i + step)
                     low = int(ends[i] - n[i])
@@ -254,5 +261,4 @@ def read_token_files(spark: SparkSession, manifest: DataFrame, order: np.ndarray
                         names=["doc_id", "start", "n_tokens", "ids"],
                     )
 
-    kind = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
-    return files.mapInArrow(run, kind)
+    return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
