@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import join_spread, materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Characters that the models tell apart: letters, one for digits, these, and one for the rest; two marks for the ends.
-SIGNS = "/.-_?=&#:%"
-SYMBOLS = 26 + 1 + len(SIGNS) + 1 + 2
+#: Marks before the start of a URL and after its end.
+START, END = "\x02", "\x03"
+#: Characters that a model without any knowledge gives equal shares: all code points.
+SYMBOLS = 0x110000
 #: Log-likelihoods are summed as whole millionths, so sums are exact in any order.
 UNIT = 1_000_000
 #: A score's bin is this many millionths wide.
 BIN = 10_000
+#: URLs whose MD5 starts with a hex digit below this teach the models; the others calibrate.
+TEACH = "c"
 
 _HOST = r"^[\s\S]*?://([^/?#]*)([^?#]*)"
 
@@ -44,15 +47,14 @@ def rule_of(host_col: Column, path_col: Column, rules: list[tuple[str, str]]) ->
     return rule, verdict
 
 
-def marked(url: Column) -> Column:
-    """The URL in the models' alphabet, with marks for its start and its end."""
-    plain = F.regexp_replace(F.translate(F.coalesce(url, F.lit("")), UPPER, LOWER), "[0-9]", "0")
-    return F.concat(F.lit("^^"), F.regexp_replace(plain, f"[^a-z0{SIGNS[:2]}\\-{SIGNS[3:]}]", "~"), F.lit("$"))
+def marked(url: Column, order: int) -> Column:
+    """The URL, A-Z lower-cased, with marks for its start and its end."""
+    return F.concat(F.lit(START * order), F.translate(F.coalesce(url, F.lit("")), UPPER, LOWER), F.lit(END))
 
 
-def grams(text: Column) -> Column:
-    """Each character with the two before it."""
-    return F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda i: F.substring(text, i, F.lit(3)))
+def grams(text: Column, order: int) -> Column:
+    """Each character with the ``order`` before it."""
+    return F.transform(F.sequence(F.lit(1), F.length(text) - order), lambda i: F.substring(text, i, F.lit(order + 1)))
 
 
 def _natural(n: Column, kinds: Column, total: Column, lower: Column) -> Column:
@@ -60,66 +62,75 @@ def _natural(n: Column, kinds: Column, total: Column, lower: Column) -> Column:
     return F.when(total > 0, (n + kinds * lower) / (total + kinds)).otherwise(lower)
 
 
-def ratios(counts: DataFrame) -> DataFrame:
-    """Log ratio in millionths, accepted over rejected, of each 3-gram in ``counts``.
+def ratios(counts: DataFrame, order: int) -> DataFrame:
+    """Log ratio in millionths, accepted over rejected, of each character after its context.
 
-    ``counts`` has ``gram``, ``allow`` and ``block``. Each class has a model
-    of orders 0 to 2: a context seen in the class gives its own frequencies
-    mixed with the shorter context's, one not seen leaves it to the shorter.
+    ``counts`` has ``gram`` (``order`` + 1 characters), ``allow`` and
+    ``block``. Each class has a model of orders 0 to ``order``: a context seen
+    in the class gives its own frequencies mixed with the shorter context's,
+    one not seen leaves it to the shorter, so contexts are as long as the
+    corpus supports. Counts of an order are sums of the next one's; all tables
+    are joined by context or by shorter gram, which have no more rows each
+    than there are characters.
     """
-    c, one, two = F.substring("gram", 3, 1), F.substring("gram", 2, 1), F.substring("gram", 1, 2)
-    df = counts.withColumns({"c": c, "one": one, "two": two})
-    over = lambda *keys: Window.partitionBy(*keys)
-    for k in ("allow", "block"):
-        df = df.withColumns({f"n2{k}": F.sum(k).over(over("two")), f"t2{k}": F.sum((F.col(k) > 0).cast("long")).over(over("two")), f"b{k}": F.sum(k).over(over("one", "c")), f"u{k}": F.sum(k).over(over("c"))})
-    # A pair and a character come once for each gram that ends in them; only the first counts.
-    df = df.withColumns({"pair": F.row_number().over(over("one", "c").orderBy("gram")) == 1, "single": F.row_number().over(over("c").orderBy("gram")) == 1})
-    for k in ("allow", "block"):
-        first = lambda flag, x: F.sum(F.when(F.col(flag), x).otherwise(0))
-        df = df.withColumns({f"n1{k}": first("pair", F.col(f"b{k}")).over(over("one")), f"t1{k}": first("pair", (F.col(f"b{k}") > 0).cast("long")).over(over("one")), f"n0{k}": first("single", F.col(f"u{k}")).over(over()), f"t0{k}": first("single", (F.col(f"u{k}") > 0).cast("long")).over(over())})
-    odds = {}
-    for k in ("allow", "block"):
-        col = lambda name, k=k: F.col(name + k).cast("double")
-        p = _natural(col("u"), col("t0"), col("n0"), F.lit(1.0 / SYMBOLS))
-        p = _natural(col("b"), col("t1"), col("n1"), p)
-        odds[k] = F.log(_natural(F.col(k).cast("double"), col("t2"), col("n2"), p))
-    return df.select("gram", F.round((odds["allow"] - odds["block"]) * UNIT).cast("long").alias("ratio"))
-
-
-def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """Each URL's host, path, rule and verdict (``allow`` or ``block``).
-
-    A rule decides where one fits. The URLs that rules decide also teach: the
-    allowed and the blocked ones each give a smoothed variable-order model of
-    characters, all of them counted. A URL's score is the difference of its
-    log-likelihoods by its number of characters; the threshold, a multiple of
-    0.01, is the one with the largest sum of the shares of allowed URLs at or
-    above it and of blocked URLs below it (the smallest such). URLs without a
-    rule are allowed from the threshold on. Without URLs of both classes it is
-    0. A null URL, or one without ``://``, has an empty host and path and is
-    judged as the text it is (null: empty). Repeated rows are judged alike;
-    no rows give no rows; other columns are not read.
+    levels = {order: counts.select("gram", "allow", "block")}
+    for k in range(order - 1, -1, -1):
+        up = levels[k + 1].select(F.expr("substring(gram, 2)").alias("gram"), "allow", "block")
+        levels[k] = materialize(up.groupBy("gram").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")), f"url-order-{k}")
+    classes = ("allow", "block")
+    sums = [x for c in classes for x in (F.coalesce(F.sum(c), F.lit(0)).cast("double").alias(f"n_{c}"), F.coalesce(F.sum((F.col(c) > 0).cast("long")), F.lit(0)).cast("double").alias(f"t_{c}"))]
+    whole = levels[0].agg(*sums).first()
+    lower = {c: F.lit(1.0 / SYMBOLS) for c in classes}
+    model = levels[0].select("gram", *(_natural(F.col(c).cast("double"), F.lit(whole[f"t_{c}"]), F.lit(whole[f"n_{c}"]), lower[c]).alias(f"p_{c}") for c in classes))
+    for k in range(1, order + 1):
+        own = levels[k].withColumns({"context": F.substring("gram", 1, k), "shorter": F.expr("substring(gram, 2)")})
+        contexts = own.groupBy("context").agg(*sums)
+        own = own.join(contexts, "context").join(model.withColumnRenamed("gram", "shorter"), "shorter")
+        model = own.select("gram", *(_natural(F.col(c).cast("double"), F.col(f"t_{c}"), F.col(f"n_{c}"), F.col(f"p_{c}")).alias(f"p_{c}") for c in classes))
+    return model.select("gram", F.round((F.log("p_allow") - F.log("p_block")) * UNIT).cast("long").alias("ratio"))
+
+
+def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", order: int = 4) -> DataFrame:
+    """Each URL's host, path, rule and verdict (``allow`` or ``block``), and its score.
+
+    A rule decides where one fits. Of the URLs that rules decide, three
+    quarters (by MD5) teach: the allowed and the blocked ones each give a
+    smoothed variable-order model of code points, A-Z lower-cased, with up to
+    ``order`` of them as context, all of them counted. A URL's score is the
+    difference of its log-likelihoods by its number of characters, in whole
+    hundredths rounded down. The other quarter calibrates: the threshold is
+    the score with the largest sum of the shares of allowed URLs at or above
+    it and of blocked URLs below it (the smallest such). URLs without a rule
+    are allowed from the threshold on; without calibrating URLs of both
+    classes it is 0. What is counted grows with the URLs and stays
+    distributed; grams that very many URLs share are joined where they are.
+
+    A null URL, or one without ``://``, has an empty host and path and is
+    judged as the text it is (null: empty). URLs of any length are read whole.
+    Repeated rows are judged alike; no rows give no rows; other columns are
+    not read.
     """
-    spark = pages.sparkSession
     rows = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").cast("string").alias("url")).withColumns({"host": host(F.col("url")), "path": path(F.col("url"))})
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    rows = materialize(rows.withColumns({"rule": rule, "told": verdict, "row": F.monotonically_increasing_id(), "text": marked(F.col("url"))}).drop("url"), "urls")
-    each = lambda df, *cols: df.select(*cols, F.explode(grams(F.col("text"))).alias("gram"))
-    counts = each(rows, "told").groupBy("gram").agg(F.sum((F.col("told") == "allow").cast("long")).alias("allow"), F.sum((F.col("told") == "block").cast("long")).alias("block"))
-    counts = counts.select("gram", F.coalesce("allow", F.lit(0)).alias("allow"), F.coalesce("block", F.lit(0)).alias("block"))
-    # At most SYMBOLS ** 3 (64,000) short rows, whatever the number of URLs.
-    model = F.broadcast(materialize(ratios(counts), "url-model"))
-    sums = each(rows, "row").join(model, "gram").groupBy("row").agg(F.sum("ratio").alias("sum"), F.count("*").alias("n"))
+    teaches = F.substring(F.md5(F.coalesce("url", F.lit("")).cast("binary")), 1, 1) < TEACH
+    rows = rows.withColumns({"rule": rule, "told": verdict, "teaches": teaches, "row": F.monotonically_increasing_id(), "text": marked(F.col("url"), order)}).drop("url")
+    rows = materialize(rows, "urls")
+    each = lambda *cols: rows.select(*cols, F.explode(grams(F.col("text"), order)).alias("gram"))
+    taught = lambda c: F.sum(F.coalesce((F.col("told") == c) & F.col("teaches"), F.lit(False)).cast("long")).alias(c)
+    counts = materialize(each("told", "teaches").groupBy("gram").agg(taught("allow"), taught("block"), F.count("*").alias("held")), "url-grams")
+    model = materialize(ratios(counts, order).join(counts.select("gram", "held"), "gram"), "url-model")
+    sums = join_spread(each("row"), model, ["gram"]).groupBy("row").agg(F.sum("ratio").alias("sum"), F.count("*").alias("n"))
     width = F.col("n") * BIN
-    scored = sums.withColumn("bin", ((F.col("sum") - F.pmod("sum", width)) / width).cast("long")).select("row", "bin")
+    scored = sums.withColumn("score", ((F.col("sum") - F.pmod("sum", width)) / width).cast("long")).select("row", "score")
     judged = materialize(rows.drop("text").join(scored, "row"), "url-scores")
-    bins = {r.bin: (r.allow, r.block) for r in judged.where("told is not null").groupBy(F.least(F.greatest("bin", F.lit(-2000)), F.lit(2000)).alias("bin")).agg(F.sum((F.col("told") == "allow").cast("long")).alias("allow"), F.sum((F.col("told") == "block").cast("long")).alias("block")).collect()}
-    limit = threshold(bins)
-    return judged.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("told", F.when(F.col("bin") >= limit, "allow").otherwise("block")).alias("verdict"))
+    # A score is a mean log ratio: its hundredths are few, whatever the number of URLs.
+    held = judged.where("told is not null and not teaches").groupBy("score").agg(F.sum((F.col("told") == "allow").cast("long")).alias("allow"), F.sum((F.col("told") == "block").cast("long")).alias("block"))
+    limit = threshold({r.score: (r.allow, r.block) for r in held.collect()})
+    return judged.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("told", F.when(F.col("score") >= limit, "allow").otherwise("block")).alias("verdict"), "score")
 
 
 def threshold(bins: dict[int, tuple[int, int]]) -> int:
-    """The bin from which to allow, given the numbers of allowed and blocked by bin."""
+    """The score from which to allow, given the numbers of allowed and blocked by score."""
     allowed, blocked = sum(a for a, _ in bins.values()), sum(b for _, b in bins.values())
     if not allowed or not blocked:
         return 0
@@ -131,7 +142,7 @@ def threshold(bins: dict[int, tuple[int, int]]) -> int:
     return limit
 
 
-def judge_sql(table: str, rules: list[tuple[str, str]]) -> str:
+def judge_sql(table: str, rules: list[tuple[str, str]], order: int = 4) -> str:
     """The same in SQL."""
     cases = {"rule": "", "told": ""}
     for what, text in sorted(rules, key=lambda r: -len(r[1])):
@@ -139,34 +150,28 @@ def judge_sql(table: str, rules: list[tuple[str, str]]) -> str:
         fits = f"(host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '{start}')"
         cases["rule"] += f" WHEN {fits} THEN '{text}'"
         cases["told"] += f" WHEN {fits} THEN '{what}'"
-    part = lambda k, keys: f"sum({k}) OVER (PARTITION BY {keys})"
-    model = []
-    for k in ("allow", "block"):
-        p = f"CASE WHEN n0{k} > 0 THEN (u{k} + t0{k} * (1.0::DOUBLE / {SYMBOLS})) / (n0{k} + t0{k}) ELSE 1.0::DOUBLE / {SYMBOLS} END"
-        p = f"CASE WHEN n1{k} > 0 THEN (b{k} + t1{k} * ({p})) / (n1{k} + t1{k}) ELSE ({p}) END"
-        model.append(f"ln(CASE WHEN n2{k} > 0 THEN ({k} + t2{k} * ({p})) / (n2{k} + t2{k}) ELSE ({p}) END)")
-    one = ", ".join(f"{part(k, 'two')}::DOUBLE AS n2{k}, {part(f'({k} > 0)::INT', 'two')}::DOUBLE AS t2{k}" for k in ("allow", "block"))
-    pairs = ", ".join(f"sum({k}) AS b{k}" for k in ("allow", "block"))
-    pair_sums = ", ".join(f"{part(f'b{k}', 'one')}::DOUBLE AS n1{k}, {part(f'(b{k} > 0)::INT', 'one')}::DOUBLE AS t1{k}, b{k}::DOUBLE AS b{k}" for k in ("allow", "block"))
-    singles = ", ".join(f"sum({k}) AS u{k}" for k in ("allow", "block"))
-    single_sums = ", ".join(f"(sum(u{k}) OVER ())::DOUBLE AS n0{k}, (sum((u{k} > 0)::INT) OVER ())::DOUBLE AS t0{k}, u{k}::DOUBLE AS u{k}" for k in ("allow", "block"))
-    plain = f"regexp_replace(translate(coalesce(url, ''), '{UPPER}', '{LOWER}'), '[0-9]', '0', 'g')"
+    sums = "sum(a)::DOUBLE AS na, sum((a > 0)::INT)::DOUBLE AS ta, sum(b)::DOUBLE AS nb, sum((b > 0)::INT)::DOUBLE AS tb"
+    mixed = lambda x, low: f"CASE WHEN n{x} > 0 THEN ({x}::DOUBLE + t{x} * {low}) / (n{x} + t{x}) ELSE {low} END AS p{x}"
+    base = f"(1.0::DOUBLE / {SYMBOLS})"
+    levels = "".join(f"g{k} AS MATERIALIZED (SELECT substr(gram, 2) AS gram, sum(a) AS a, sum(b) AS b FROM g{k + 1} GROUP BY 1),\n" for k in range(order - 1, -1, -1))
+    models = f"m0 AS (SELECT gram, {mixed('a', base)}, {mixed('b', base)} FROM g0, (SELECT {sums} FROM g0)),\n"
+    for k in range(1, order + 1):
+        models += f"c{k} AS (SELECT substr(gram, 1, {k}) AS context, {sums} FROM g{k} GROUP BY 1),\n"
+        models += f"m{k} AS (SELECT g.gram, {mixed('a', 'm.pa')}, {mixed('b', 'm.pb')} FROM g{k} g JOIN c{k} c ON c.context = substr(g.gram, 1, {k}) JOIN m{k - 1} m ON m.gram = substr(g.gram, 2)),\n"
     return f"""
 WITH split AS (
   SELECT page_id, row_number() OVER () AS row, url, translate(regexp_extract(coalesce(url, ''), '{_HOST}', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(coalesce(url, ''), '{_HOST}', 2) AS path FROM {table}
 ), ruled AS MATERIALIZED (
-  SELECT page_id, row, host, path, CASE{cases["rule"]} END AS rule, CASE{cases["told"]} END AS told, '^^' || regexp_replace({plain}, '[^a-z0{SIGNS[:2]}\\-{SIGNS[3:]}]', '~', 'g') || '$' AS text FROM split
-), each AS MATERIALIZED (SELECT row, told, substr(text, i, 3) AS gram FROM (SELECT row, told, text, unnest(range(1, length(text) - 1)) AS i FROM ruled)),
-counts AS (SELECT gram, substr(gram, 3, 1) AS c, substr(gram, 2, 1) AS one, substr(gram, 1, 2) AS two, count(*) FILTER (told = 'allow') AS allow, count(*) FILTER (told = 'block') AS block FROM each GROUP BY gram),
-third AS (SELECT *, {one} FROM counts),
-pair AS (SELECT one, c, {pair_sums} FROM (SELECT one, c, {pairs} FROM counts GROUP BY one, c)),
-single AS (SELECT c, {single_sums} FROM (SELECT c, {singles} FROM counts GROUP BY c)),
-model AS (SELECT gram, round(({model[0]} - {model[1]}) * {UNIT})::BIGINT AS ratio FROM third JOIN pair USING (one, c) JOIN single USING (c)),
+  SELECT page_id, row, host, path, CASE{cases["rule"]} END AS rule, CASE{cases["told"]} END AS told, substr(md5(coalesce(url, '')), 1, 1) < '{TEACH}' AS teaches,
+    repeat(chr({ord(START)}), {order}) || translate(coalesce(url, ''), '{UPPER}', '{LOWER}') || chr({ord(END)}) AS text FROM split
+), each AS MATERIALIZED (SELECT row, told, teaches, substr(text, i, {order + 1}) AS gram FROM (SELECT row, told, teaches, text, unnest(range(1, length(text) - {order} + 1)) AS i FROM ruled)),
+g{order} AS MATERIALIZED (SELECT gram, count(*) FILTER (told = 'allow' AND teaches) AS a, count(*) FILTER (told = 'block' AND teaches) AS b FROM each GROUP BY gram),
+{levels}{models}model AS (SELECT gram, round((ln(pa) - ln(pb)) * {UNIT})::BIGINT AS ratio FROM m{order}),
 sums AS (SELECT row, sum(ratio)::BIGINT AS s, count(*) * {BIN} AS w FROM each JOIN model USING (gram) GROUP BY row),
-scored AS (SELECT row, ((s - ((s % w) + w) % w)::DOUBLE / w)::BIGINT AS bin FROM sums),
+scored AS (SELECT row, ((s - ((s % w) + w) % w)::DOUBLE / w)::BIGINT AS score FROM sums),
 judged AS (SELECT * FROM ruled JOIN scored USING (row)),
-bins AS (SELECT least(greatest(bin, -2000), 2000) AS bin, count(*) FILTER (told = 'allow') AS a, count(*) FILTER (told = 'block') AS b FROM judged WHERE told IS NOT NULL GROUP BY 1),
-gains AS (SELECT bin, (sum(a) OVER (ORDER BY bin ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) * (sum(b) OVER ()) + coalesce(sum(b) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * (sum(a) OVER ()) AS gain, sum(a) OVER () AS all_a, sum(b) OVER () AS all_b FROM bins),
-chosen AS (SELECT coalesce((SELECT bin FROM gains WHERE all_a > 0 AND all_b > 0 ORDER BY gain DESC, bin LIMIT 1), 0) AS t)
-SELECT page_id, host, path, rule, coalesce(told, CASE WHEN bin >= (SELECT t FROM chosen) THEN 'allow' ELSE 'block' END) AS verdict FROM judged
+bins AS (SELECT score, count(*) FILTER (told = 'allow') AS a, count(*) FILTER (told = 'block') AS b FROM judged WHERE told IS NOT NULL AND NOT teaches GROUP BY 1),
+gains AS (SELECT score, (sum(a) OVER (ORDER BY score ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) * (sum(b) OVER ()) + coalesce(sum(b) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * (sum(a) OVER ()) AS gain, sum(a) OVER () AS all_a, sum(b) OVER () AS all_b FROM bins),
+chosen AS (SELECT coalesce((SELECT score FROM gains WHERE all_a > 0 AND all_b > 0 ORDER BY gain DESC, score LIMIT 1), 0) AS t)
+SELECT page_id, host, path, rule, coalesce(told, CASE WHEN score >= (SELECT t FROM chosen) THEN 'allow' ELSE 'block' END) AS verdict, score FROM judged
 """
