@@ -7,12 +7,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize
+from .common import WORD, join_spread, materialize, release
 
 #: Documents that the last step of a source's fit first gives back, and leaves aside.
 SOME = 25
 #: Bits of reachable sums that it keeps at most, and words of 64 bits that it goes through.
-ROOM = 1 << 30
+ROOM = 1 << 29
 
 
 def targets(sizes: dict[str | None, int], weights: tuple[float, ...], most: float) -> dict[str | None, float]:
@@ -195,14 +195,15 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3,
 
     # A source's rows here are its distinct sizes, no more than its longest document has words.
     joined = by_length.join(plans.select("source", "whole", "rest"), by_length["source"].eqNullSafe(plans["source"])).select(by_length["source"], "size", "n", "whole", "rest")
-    more = materialize(joined.groupBy("source").applyInPandas(fitted, "source string, size long, n long, more long"), "mix-counts")
-    more = more.withColumns({"source_key": F.coalesce("source", F.lit("")), "no_source": F.col("source").isNull()}).drop("source")
-    rows = base.withColumns({"source_key": F.coalesce("source", F.lit("")), "no_source": F.col("source").isNull()}).join(more, ["source_key", "no_source", "size"])
+    more = joined.groupBy("source").applyInPandas(fitted, "source string, size long, n long, more long")
+    more = materialize(more.join(plans.drop("rest").withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of"), "mix-counts")
+    no_null = {"source_key": F.coalesce("source", F.lit("")), "no_source": F.col("source").isNull()}
+    keys = ["source_key", "no_source", "size"]
+    rows = join_spread(base.withColumns(no_null), more.withColumns(no_null).drop("source").withColumn("held", F.col("n")), keys)
     # Ranges of the hash: those below the one where the count is reached are taken whole.
     ranges = F.ceil(F.sqrt("n"))
     unit = F.pmod("draw", F.lit(1 << 40)).cast("double") / float(1 << 40)
     rows = materialize(rows.withColumn("range", F.floor(unit * ranges).cast("long")), "mix-rows")
-    keys = ["source_key", "no_source", "size"]
     held = rows.groupBy(*keys, "range").agg(F.count("*").alias("held"))
     before = F.sum("held").over(Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
     held = held.withColumn("before", F.coalesce(before, F.lit(0))).drop("held")
@@ -210,7 +211,5 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3,
     rest = F.col("more") - F.expr("more div n") * F.col("n")
     rank = F.row_number().over(Window.partitionBy(*keys, "range").orderBy("draw", "id", "row"))
     rows = rows.withColumn("extra", F.expr("more div n") + F.when(F.col("before") + rank <= rest, 1).otherwise(0))
-    plans = plans.withColumns({"source_key": F.coalesce("source", F.lit("")), "no_source": F.col("source").isNull()}).drop("source")
-    out = rows.join(plans, ["source_key", "no_source"])
     copies = F.when(F.col("size") > 0, F.col("whole") + F.col("extra")).otherwise(0).cast("int")
-    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).cast("long").alias("taken"), "row")
+    return rows.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).cast("long").alias("taken"), "row")

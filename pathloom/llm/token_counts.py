@@ -9,13 +9,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, column
+from .common import blocks, column, kept
 
 MARK = "▁"
 #: What an unknown character scores below the worst piece.
 UNKNOWN = 10.0
 
 
+def text_pieces(path: str) -> list[tuple[str, float]]:
+    """The vocabulary without the pieces that are no text: control, unknown, unused and byte pieces."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    odd = lambda i: model.is_control(i) or model.is_unknown(i) or model.is_unused(i) or model.is_byte(i)
+    return [piece for i, piece in enumerate(vocabulary(path)) if not odd(i)]
+
+
 def vocabulary(path: str) -> list[tuple[str, float]]:
     """Pieces with scores of a sentencepiece model file, in order of their ids."""
     import sentencepiece
@@ -119,16 +128,22 @@ def count_tokens(docs: DataFrame, pieces: list[tuple[str, float]] | str, text_co
     """``docs`` with the number of tokens of each whole text in column ``to``.
 
     ``pieces`` is a vocabulary or the path of a sentencepiece model on each
-    machine. One pass without a shuffle. All other columns are kept; null and
-    empty texts count 0; rows neither come nor go.
+    machine, of which the pieces that are text are taken with their scores.
+    Scores are read as log probabilities. A model of another kind may be given
+    too: the scores of a BPE model are minus the ranks of its merges, so the
+    counts are those of the unigram rule over its pieces (the way with the
+    least sum of ranks) and not those of its merges. One pass without a
+    shuffle. All other columns are kept; null and empty texts count 0, and
+    texts of any length are read whole; rows neither come nor go, and no rows
+    give no rows.
     """
-    kept = [c for c in docs.columns if c != to]
-    kind = T.StructType([docs.schema[c] for c in kept] + [T.StructField(to, T.LongType())])
+    others = [c for c in docs.columns if c != to]
+    kind = T.StructType([docs.schema[c] for c in others] + [T.StructField(to, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = UnigramCounter(vocabulary(pieces) if isinstance(pieces, str) else pieces)
+        counter = kept(pieces, lambda: UnigramCounter(text_pieces(pieces))) if isinstance(pieces, str) else UnigramCounter(pieces)
         for batch in blocks(batches, text_col, 2 << 20):
             counts = pa.array([counter.text(x) for x in column(batch, text_col)], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, counts], names=[*kept, to])
+            yield pa.RecordBatch.from_arrays([*batch.columns, counts], names=[*others, to])
 
-    return docs.select(*(F.col(f"`{c}`") for c in kept)).mapInArrow(run, kind)
+    return docs.select(*(F.col(f"`{c}`") for c in others)).mapInArrow(run, kind)
