@@ -1,5 +1,6 @@
 """Near-duplicates, mixing, quality, URL filters, nearest neighbours, the pipeline."""
 
+import hashlib
 import random
 import re
 from collections import Counter
@@ -43,7 +44,8 @@ def grouped(rows, percent):
             if a and sets[j] and rows[i][0] is not None and rows[j][0] is not None and 100 * len(a & sets[j]) >= percent * len(a | sets[j]):
                 low, high = sorted((find(rows[i][0]), find(rows[j][0])))
                 own[high] = low
-    return sorted((d if d is not None else -1, len(s), find(d) if d is not None else -1, d is None or find(d) == d) for (d, _), s in zip(rows, sets, strict=True))
+    name = lambda d, s: find(d) if s else d  # an empty text is linked with nothing
+    return sorted((d if d is not None else -1, len(s), name(d, s) if d is not None else -1, d is None or name(d, s) == d) for (d, _), s in zip(rows, sets, strict=True))
 
 
 def copies(rng, base, n, edits):
@@ -75,6 +77,29 @@ def test_near_duplicates(spark, percent, block, monkeypatch):
     assert found == grouped(rows, percent)
 
 
+@pytest.mark.parametrize("frequent", [1000, 5])
+def test_near_duplicates_with_repeated_ids(spark, frequent, monkeypatch):
+    from pathloom.llm import common
+
+    monkeypatch.setattr(common, "FREQUENT", frequent)
+    rng = random.Random(frequent)
+    text = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
+    a, c, d = text(40), text(50), text(30)
+    rows = [(5, a), (9, a), (9, c), (3, c), (1, None), (1, d), (20, d), (20, ""), (7, a), (7, a), (None, a), (None, None)]
+    texts = [x for n in range(6) for x in copies(rng, text(60), 6, 4)]
+    rows += [(rng.randrange(100, 125), t) for t in texts] + [(200, text(20)) for _ in range(15)]
+    got = near_dedup.near_duplicates(documents(spark, rows))
+    found = sorted((r[0] if r[0] is not None else -1, r[1], r[2] if r[0] is not None else -1, r[3]) for r in got.collect())
+    assert found == grouped(rows, 80)
+    assert {r.component_id for r in got.where("doc_id in (3, 5, 7, 9)").collect()} == {3}
+    # With numbered rows one row stays of each component, and all of empty texts or null ids.
+    numbered = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "n long, doc_id long, text string")
+    kept = [rows[r.n] for r in near_dedup.near_duplicates(numbered, row_col="n").where("kept").collect()]
+    named = [x for x in kept if x[0] is not None and word_set(x[1])]
+    assert sorted(x for x, _ in named) == sorted({c for i, n, c, _ in grouped(rows, 80) if n and i >= 0})
+    assert Counter(x for x in kept if x not in named) == Counter(x for x in rows if x[0] is None or not word_set(x[1]))
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_dedup.near_duplicates(documents(spark, [(1, "a")]).limit(0)).count() == 0
     assert [tuple(r) for r in near_dedup.near_duplicates(documents(spark, [(1, None)])).collect()] == [(1, 0, 1, True)]
@@ -157,6 +182,31 @@ def test_fit_takes_alike_at_every_length(n):
     assert (takes[0] != takes[1]).any()
 
 
+def test_fit_of_many_lengths_in_bounded_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    lengths, counts = rng.permutation(np.arange(1, 60_001)), np.ones(60_000, np.int64)
+    budget = int(lengths.sum() * 0.4)
+    tracemalloc.start()
+    take = mixing.fit(lengths, counts, budget)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert (lengths * take).sum() == budget and peak < 100 << 20
+
+
+def test_mix_takes_alike_at_every_length(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rows = mixing.mix(docs).toPandas()
+    off = (rows.groupby("source").taken.sum() - rows.groupby("source").target.first()).abs()
+    assert off.max() <= 1
+    for _, own in rows[rows["size"] > 0].groupby("source"):
+        rest = own["copies"] - own["copies"].min()  # beyond what all of them are taken
+        quarter = (own["size"].rank(method="first") * 4 / (len(own) + 1)).astype(int)
+        shares = rest.groupby(quarter).mean()
+        assert shares.max() - shares.min() < 0.05 + 3 / len(own) ** 0.5 / 4, own.source.iloc[0]
+
+
 def test_fit_of_few_long_documents():
     assert (np.array([120_000, 100_000, 100_001]) * mixing.fit(np.array([120_000, 100_000, 100_001]), np.ones(3, int), 200_001)).sum() == 200_001
     rng = np.random.default_rng(6)
@@ -227,13 +277,13 @@ def test_url_rules(spark):
     assert {r.verdict for r in url_filter.judge(pages(spark), []).collect()} == {"allow"}
 
 
-def gram_model(texts):
+def gram_model(texts, order):
     """Witten-Bell by plain counting."""
     count = Counter()
     for t in texts:
-        for i in range(len(t) - 2):
-            for k in (1, 2, 3):
-                count[t[i + 3 - k : i + 3]] += 1
+        for i in range(order, len(t)):
+            for k in range(order + 1):
+                count[t[i - k : i + 1]] += 1
 
     def p(gram):
         lower = 1 / url_filter.SYMBOLS if len(gram) == 1 else p(gram[1:])
@@ -243,21 +293,39 @@ def gram_model(texts):
     return p
 
 
-def test_url_scores_by_hand(spark):
-    urls = [u for u in URLS if u and len(u) < 100]
-    judged = {(r.page_id): r for r in url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), RULES).collect()}
-    text = {i: "^^" + re.sub(r"[^a-z0/.\-_?=&#:%]", "~", re.sub("[0-9]", "0", u.translate(FOLD))) + "$" for i, u in enumerate(urls)}
+@pytest.mark.parametrize("order", [2, 4])
+def test_url_scores_by_hand(spark, order):
+    urls = [u for u in URLS if u and len(u) < 100] + [f"http://{h}.example.org/{p}/{i}" for i, (h, p) in enumerate((h, p) for h in ("a", "bad", "", "7") for p in ("es", "en/1", "fr", "É"))]
+    got = url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), RULES, order=order)
+    judged = {r.page_id: r for r in got.collect()}
+    text = {i: "\x02" * order + u.translate(FOLD) + "\x03" for i, u in enumerate(urls)}
     told = {i: dict((t, v) for v, t in RULES).get(r.rule) for i, r in judged.items()}
-    good, bad = (gram_model([text[i] for i in text if told[i] == v]) for v in ("allow", "block"))
-    score = {i: sum(round(float(np.log(good(t[j : j + 3])) - np.log(bad(t[j : j + 3]))) * url_filter.UNIT) for j in range(len(t) - 2)) for i, t in text.items()}
-    bins = {i: s // ((len(text[i]) - 2) * url_filter.BIN) for i, s in score.items()}
-    by_bin = {}
-    for i, b in bins.items():
-        a, c = by_bin.get(b, (0, 0))
-        by_bin[b] = (a + (told[i] == "allow"), c + (told[i] == "block"))
-    limit = url_filter.threshold({b: v for b, v in by_bin.items() if sum(v)})
+    teaches = {i: hashlib.md5(u.encode()).hexdigest()[0] < "c" for i, u in enumerate(urls)}
+    assert len({(told[i], teaches[i]) for i in told if told[i]}) == 4
+    good, bad = (gram_model([text[i] for i in text if told[i] == v and teaches[i]], order) for v in ("allow", "block"))
+    by_score = {}
+    for i, t in text.items():
+        places = range(len(t) - order)
+        total = sum(round(float(np.log(good(t[j : j + order + 1])) - np.log(bad(t[j : j + order + 1]))) * url_filter.UNIT) for j in places)
+        assert judged[i].score == total // (len(places) * url_filter.BIN), urls[i]
+        if told[i] and not teaches[i]:
+            a, c = by_score.get(judged[i].score, (0, 0))
+            by_score[judged[i].score] = (a + (told[i] == "allow"), c + (told[i] == "block"))
+    limit = url_filter.threshold(by_score)
     for i, r in judged.items():
-        assert r.verdict == (told[i] or ("allow" if bins[i] >= limit else "block")), urls[i]
+        assert r.verdict == (told[i] or ("allow" if r.score >= limit else "block")), urls[i]
+
+
+def test_url_models_tell_held_out_urls_apart(spark):
+    rng = random.Random(5)
+    name = lambda parts, n: "".join(rng.choice(parts) for _ in range(n))
+    urls = [f"https://{name(('lib', 'edu', 'news', 'wiki'), 2)}.org/{name(('art', 'icle', 'page'), 3)}/{i}" for i in range(300)]
+    urls += [f"http://{name(('win', 'cash', 'x', '88'), 3)}.com/de/{name(('bonus', 'free', '-'), 3)}{i}" for i in range(150)]
+    got = url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), RULES).collect()
+    held = [(r.verdict, r.score) for r in got if hashlib.md5(urls[r.page_id].encode()).hexdigest()[0] >= "c"]
+    good, bad = ([s for v, s in held if v == x] for x in ("allow", "block"))
+    assert len(good) > 40 and len(bad) > 20
+    assert np.mean([g > b for g in good for b in bad]) > 0.99
 
 
 def test_url_sql_agrees(spark):
@@ -305,6 +373,38 @@ def test_nearest_of_few(spark):
     assert rows == [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 20, -1.0), (20, 1, 0, -1.0), (20, 2, 1, -1.0), (20, 3, 2, -1.0)]
 
 
+@pytest.mark.parametrize("n", [400, 3000])
+def test_nearest_is_complete(spark, n):
+    rng = np.random.default_rng(n)
+    x = (rng.normal(size=(n // 25, 24))[rng.integers(0, n // 25, n)] + 0.2 * rng.normal(size=(n, 24))).astype(np.float32)
+    counts, asks, hits = [], F.col("vec_id") % 20 == 0, 0
+    found = Counter((r.query_id, r.vec_id) for r in ann.search(vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)]), asks, counts=counts).collect())
+    assert Counter(q for q, _ in found) == {q: 20 for q in range(0, n, 20)}
+    for q in range(0, n, 20):
+        score = x.astype(np.float64) @ x[q].astype(np.float64)
+        score[q] = -np.inf
+        hits += sum((q, i) in found for i in np.argsort(-score)[:20].tolist())
+    assert hits >= 0.9 * 20 * len(range(0, n, 20))
+    assert 21 <= counts[0] <= counts[1] == n and (n < 3000 or counts[0] < n / 3)  # clustered vectors: most leaves stay closed
+
+
+def test_nearest_opens_every_leaf_if_asked():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(3000, 8))
+    tree = ann.KMeansTree(x, float(np.sqrt((x * x).sum(1).max())))
+    leaf = tree.leaves(x)
+    held = np.bincount(leaf, minlength=tree.n_leaves)
+    assert held.max() <= 4 * ann.LEAF and tree.n_leaves > 3000 / (3 * ann.LEAF)
+    for q in x[:20]:
+        every = tree.visits(q, held, 3000)
+        assert len(set(every)) == len(every) and held[every].sum() == 3000
+        for need in (1, 50, 700):
+            some = tree.visits(q, held, need)
+            assert some == every[: len(some)] and held[some].sum() >= need > held[some[:-1]].sum()
+    first, count = ann.blocks_of(np.array([0, 10, 3 * ann.BLOCK, 0, ann.BLOCK - 5, 6, 2]))
+    assert first.tolist() == [0, 0, 1, 3, 4, 5, 5] and count.tolist() == [1, 1, 3, 1, 1, 1, 1]
+
+
 def test_nearest_meets_its_recall(spark):
     x = np.random.default_rng(1).normal(size=(2000, 16))
     found = Counter((r.query_id, r.vec_id) for r in ann.search(vectors(spark, [(i, v.tolist()) for i, v in enumerate(x.astype(np.float32))]), F.col("vec_id") % 20 == 0).collect())
@@ -334,6 +434,52 @@ def labelled(spark):
     return documents(spark, rows), spark.createDataFrame([*labels, (None, 0, 0, "x"), (2, None, None, "x")], "doc_id long, quality int, toxic int, text string"), rows
 
 
+def n_grams(text):
+    """The n-grams that the quality models count, as what they consist of."""
+    found, words, text = [], WORD.findall((text or "").translate(FOLD)), text or ""
+    for k in (3, 5):
+        found += [("c", text[i : i + k]) for i in range(len(text) - k + 1)]
+    shapes = [(min(len(w), 12), w.isalpha(), w[-1].isalpha(), i > 0 and words[i - 1] == w) for i, w in enumerate(words)]
+    for k in (1, 2):
+        found += [("s", tuple(shapes[i : i + k])) for i in range(len(words) - k + 1)]
+    return found
+
+
+def n_gram_buckets(texts):
+    """By n-gram its bucket, read off what the features of single texts say, in order."""
+    out = {}
+    for t in texts:
+        buckets = [b for own, _ in quality.features(pa.array([t], pa.string())) for b in own.tolist()]
+        for g, b in zip(n_grams(t), buckets, strict=True):
+            assert out.setdefault(g, b) == b
+    return out
+
+
+def plain_selection(rows, labels, keys, prior=64, temperature=0.04):
+    """The scores and the draw by plain counting; ``keys`` give the noise, which hashes of Spark make."""
+    bucket = n_gram_buckets([t for _, t in rows])
+    grams = [[bucket[g] for g in n_grams(t)] for _, t in rows]
+    half, good, bad = labels
+    raw, target = Counter(b for g in grams for b in g), Counter(b for (d, _), g in zip(rows, grams, strict=True) for b in g if d in good and d in half)
+    n, m = sum(raw.values()) + quality.BUCKETS, sum(target.values()) + quality.BUCKETS
+    ratio = {b: np.log((target[b] + 1) / m) - np.log((raw[b] + 1) / n) for b in raw}
+    score = [sum(ratio[b] for b in g) / (len(g) + prior) for g in grams]
+    lows = {}
+    for (d, _), s in zip(rows, score, strict=True):
+        if d is not None and d not in half and (d in good or d in bad):
+            lows[d] = min(s, lows.get(d, np.inf))
+    limit = quality.cut(np.array([s for d, s in lows.items() if d in good]), np.array([s for d, s in lows.items() if d in bad]))
+    k = sum(s >= limit - 1e-12 for s in score)
+    drawn = [s / temperature + keys[r] for r, s in zip(rows, score, strict=True)]
+    least = sorted(drawn)[-k]
+    return score, [x >= least - 1e-9 for x in drawn], k
+
+
+def halves(spark, labels, seed=11):
+    rows = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")).withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(2)) == 0).collect()
+    return {r.doc_id for r in rows if r.half}, {r.doc_id for r in rows if r.quality == 1 and not r.toxic}, {r.doc_id for r in rows if r.quality == 0}
+
+
 def test_quality(spark):
     docs, labels, rows = labelled(spark)
     got = quality.resample(docs, labels)
@@ -341,27 +487,61 @@ def test_quality(spark):
     assert got.count() == len(rows)
     good = [kept[i] for i in range(300) if i % 6]
     bad = [kept[i] for i in range(300) if i % 6 == 0]
-    assert all(good) and sum(bad) <= 2
+    assert np.mean(good) > 0.99 and sum(bad) <= 3
     assert Counter(map(tuple, quality.resample(docs.repartition(1), labels).collect())) == Counter(map(tuple, got.collect()))
     assert quality.resample(docs.limit(0), labels).count() == 0
     assert all(r.kept for r in quality.resample(docs, labels.limit(0)).collect())
+    carried = quality.resample(docs, labels, carry=["text", "source", "key"])
+    assert carried.columns == ["text", "source", "key", "kept"]
+    by_text = {t: kept[d] for d, t in rows}
+    assert Counter((r.text, r.kept) for r in carried.collect()) == Counter((t, by_text[t]) for _, t in rows)
+
+
+def test_quality_draw_by_brute_force(spark):
+    docs, labels, rows = labelled(spark)
+    rng = random.Random(8)
+    rows = rows + [(500 + i, " ".join(w for w in prose(rng, 40).split() for _ in range(1 + (rng.random() < i / 100)))) for i in range(100)] + [(700, "x " * 20_000)]
+    docs, marks, chosen = documents(spark, rows), halves(spark, labels), []
+    for seed in (11, 12, 13):
+        marks = halves(spark, labels, seed)
+        got = quality.resample(docs, labels, seed=seed).withColumn("noise", F.col("key") - F.col("score") / 0.04)
+        found = {}
+        for r, (d, t) in [(r, x) for r in got.join(docs.select("doc_id", "text").distinct(), "doc_id").collect() for x in [(r.doc_id, r.text)]]:
+            found[d, t] = r
+        some = [x for x in rows if x[0] is not None and x[0] != 0]
+        rest = got.where("doc_id is null or doc_id = 0").collect()
+        keys = {x: found[x].noise for x in some}
+        for x in rows:
+            if x not in keys:
+                keys[x] = next(r.noise for r in rest if r.doc_id == x[0])
+        score, draw, k = plain_selection(rows, marks, keys)
+        assert sum(r.kept for r in got.collect()) == sum(draw) >= k
+        for x, s, d in zip(rows, score, draw, strict=True):
+            if x in found:
+                assert found[x].score == pytest.approx(s) and found[x].kept == d
+        top = sorted(score)[-k]
+        chosen.append(({x for x, d in zip(rows, draw, strict=True) if d}, {x for x, s in zip(rows, score, strict=True) if s >= top}))
+        assert all(abs(s - top) < 0.5 for x, s, d in zip(rows, score, draw, strict=True) if d != (s >= top))
+    assert any(draw != plain for draw, plain in chosen) and len({frozenset(draw) for draw, _ in chosen}) > 1
+
+
+def test_quality_noise_follows_the_weights():
+    """Gumbel top-k takes each of few documents as often as drawing one after the other by weight does."""
+    rng, weight, n = np.random.default_rng(4), np.array([0.5, 0.3, 0.15, 0.05]), 40_000
+    unit = rng.random((n, 4))
+    top = np.argsort(-(np.log(weight) - np.log(-np.log(unit))), 1)[:, :2]
+    second = [weight[i] + sum(weight[j] * weight[i] / (1 - weight[j]) for j in range(4) if j != i) for i in range(4)]
+    assert np.bincount(top.reshape(-1)) / n == pytest.approx(second, abs=0.01)
 
 
 def test_quality_features_and_ratios(spark):
-    texts = ["abc abc the the the", "", None, "ab", "é漢字 x x"]
-    grams, repeats = quality.features(pa.array(texts, pa.string()))
-    assert repeats.tolist() == [3, 0, 0, 0, 1]
-    for k, (bucket, owner) in zip(quality.LENGTHS, grams, strict=True):
-        assert np.bincount(owner, minlength=5).tolist() == [max(0, len(t or "") - k + 1) for t in texts]
-        one = np.concatenate([quality.features(pa.array([t], pa.string()))[0][quality.LENGTHS.index(k)][0] for t in texts])
-        assert sorted(one.tolist()) == sorted(bucket.tolist())
+    texts = ["abc ABC the the the", "", None, "ab", "é漢字 x\x0bx q1 1q a,", "a" * 40]
+    bucket = n_gram_buckets(texts)
+    assert len(set(bucket.values())) > 0.9 * len(bucket)
+    whole = Counter((b, i) for own, owner in quality.features(pa.array(texts, pa.string())) for b, i in zip(own.tolist(), owner.tolist(), strict=True))
+    assert whole == Counter((bucket[g], i) for i, t in enumerate(texts) for g in n_grams(t))
     docs = spark.createDataFrame([(t, i < 2) for i, t in enumerate(texts)], "text string, fit boolean")
-    raw, target = Counter(), Counter()
-    for t, fit in ((t, i < 2) for i, t in enumerate(texts)):
-        (a, _), (b, _) = quality.features(pa.array([t], pa.string()))[0]
-        own = Counter(a.tolist() + b.tolist())
-        own[quality.BUCKETS - 1] += 3 * int(quality.features(pa.array([t], pa.string()))[1][0])
-        raw, target = raw + own, target + own if fit else target
+    raw, target = (Counter(bucket[g] for t in some for g in n_grams(t)) for some in (texts, texts[:2]))
     ratio = quality.log_ratios(quality.bucket_counts(docs))
     for b in [*raw, 0, 5]:
         expected = np.log((target[b] + 1) / (sum(target.values()) + quality.BUCKETS)) - np.log((raw[b] + 1) / (sum(raw.values()) + quality.BUCKETS))
@@ -411,6 +591,41 @@ def test_pipeline(spark, tmp_path):
     assert len(corpus_pipeline.run(spark, str(tmp_path)).collect()) == packed.count()
 
 
+def test_pipeline_works_by_row(spark, tmp_path):
+    """Ids shared by good and bad rows, repeated rows, null ids and sources, long and empty texts."""
+    import corpus_pipeline
+
+    docs, labels, rows = labelled(spark)
+    bad = re.sub(r"(\w+)", r"\1%%%", prose(random.Random(2), 120))
+    odd = [(1, bad), (2, bad), (None, bad), (None, ""), (None, None), (900, "x y z " * 9000), (901, prose(random.Random(4), 90)), (901, prose(random.Random(4), 90)), (902, prose(random.Random(5), 90))]
+    every = docs.drop("source").withColumn("source", F.lit(None).cast("string")).select(docs.columns).union(documents(spark, odd)).withColumn("_row0", F.lit("x"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    now = every
+    count = lambda df: Counter((r.doc_id, r.text, r.source) for r in df.collect())
+    first = corpus_pipeline.select_quality(spark, now, str(tmp_path))
+    kept = count(first)
+    assert first.columns == now.columns and not any(t == bad for _, t, _ in kept)
+    assert {(i, rows[i][1]) for i in (1, 2)} <= {(d, t) for d, t, _ in kept}  # the good rows of shared ids
+    assert kept[901, odd[6][1], "s"] == 2 and (None, rows[302][1], None) in kept
+    second = corpus_pipeline.drop_near_duplicates(spark, first, str(tmp_path))
+    left = count(second)
+    assert second.columns == now.columns and left[901, odd[6][1], "s"] == 1 and left[902, odd[8][1], "s"] == 1
+    assert sum(n for (d, t, _), n in left.items() if d is None or not t) == sum(n for (d, t, _), n in kept.items() if d is None or not t)
+    third = corpus_pipeline.mix_sources(spark, second, str(tmp_path))
+    mixed = count(third)
+    assert third.columns == now.columns and not any(not t for _, t, _ in mixed) and {s for _, _, s in mixed} == {None, "s"}
+    assert sum(r.length for r in corpus_pipeline.pack_sequences(spark, third, str(tmp_path)).collect() if r.start == 0) > 0
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    import corpus_pipeline
+
+    docs, labels, _ = labelled(spark)
+    docs.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    labels.limit(0).write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_shares_are_fractions_of_all():
     assert Fraction(5, 8) * 8 == 5  # weights 5, 2, 1 of three sources
     assert mixing.targets({"a": 80, "b": 80, "c": 80}, (5, 2, 1), 3) == {"a": 150.0, "b": 60.0, "c": 30.0}

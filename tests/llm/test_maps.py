@@ -81,16 +81,59 @@ def test_variable_length_coding():
 
 def test_token_files(spark):
     docs = documents(spark, ids=[None if i == 3 else i * 7 % 11 for i in range(len(TEXTS))])
-    manifest, order = token_files.write_token_files(docs, queries.tokenizer_path("byte_bpe_50k.json"), 2, file_tokens=50)
-    got = sorted(((r.start, r.doc_id, r.n_tokens, bytes(r.ids)) for r in token_files.read_token_files(spark, manifest, order).collect()))
+    folder = token_files.write_token_files(docs, queries.tokenizer_path("byte_bpe_50k.json"), 2, file_tokens=50)
+    # Another session reads the folder with nothing else at hand.
+    got = sorted(((r.start, r.doc_id, r.n_tokens, bytes(r.ids)) for r in token_files.read_token_files(spark.newSession(), folder).collect()))
     library = tokenizer("byte_bpe_50k.json")
     whole = sorted((r.doc_id is None, r.doc_id or 0, np.array(library.encode(r.text or "", add_special_tokens=False).ids + [2], "<u4").tobytes()) for r in docs.collect())
     assert [(d is None, d or 0) for _, d, _, _ in got] == [r[:2] for r in whole]
     assert sorted((d is None, d or 0, ids) for _, d, _, ids in got) == whole
     assert [(s, 4 * n) for s, _, n, _ in got] == [(sum(len(x[3]) for x in got[:i]) // 4, len(r[3])) for i, r in enumerate(got)]
-    assert manifest.count() > 1
-    empty, order = token_files.write_token_files(docs.limit(0), queries.tokenizer_path("byte_bpe_50k.json"))
-    assert token_files.read_token_files(spark, empty, order).count() == 0
+    files = token_files.token_files(spark, folder)
+    assert files.count() > 1 and files.agg(F.sum("tokens")).first()[0] == sum(n for _, _, n, _ in got)
+    empty = token_files.write_token_files(docs.limit(0), queries.tokenizer_path("byte_bpe_50k.json"))
+    assert token_files.read_token_files(spark, empty).count() == 0
+
+
+def test_token_files_know_their_ranks(spark):
+    folders = [token_files.write_token_files(documents(spark, texts), queries.tokenizer_path("byte_bpe_50k.json")) for texts in (["a b"], ["c d e"])]
+    spark.read.parquet(f"{folders[0]}/ranks").write.mode("overwrite").parquet(f"{folders[1]}/ranks")
+    with pytest.raises(Exception, match="with these ranks"):
+        token_files.read_token_files(spark, folders[1]).collect()
+
+
+@pytest.mark.parametrize("query", ["op1_fingerprints", "op3_token_files", "op10_packing"])
+def test_queries_return_what_they_promise(spark, tmp_path, query):
+    """The columns that the queries themselves make, from the texts alone."""
+    from tokenizers import Tokenizer
+
+    documents(spark).select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.queries()[query](spark, str(tmp_path)).collect()
+    if query == "op1_fingerprints":
+        for r in got:
+            text, after = TEXTS[r.doc_id] or "", TEXTS[(r.doc_id + 1) % len(TEXTS)] or ""
+            cut = len(text) // 4
+            assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256((text[: len(text) - cut] + after[:cut]).encode()).hexdigest())
+        assert len(got) == len(TEXTS)
+        return
+    library = Tokenizer.from_file(queries.tokenizer_path("byte_bpe_50k.json" if query == "op3_token_files" else "word_bpe_49k.json"))
+    ids = [np.array(library.encode(t or "", add_special_tokens=False).ids + [2], "<u4") for t in TEXTS]
+    if query == "op3_token_files":
+        starts = np.cumsum([0, *map(len, ids)]).tolist()
+        assert sorted(tuple(r) for r in got) == [(i, starts[i], len(x), zlib.crc32(x.tobytes())) for i, x in enumerate(ids)]
+    else:
+        assert all(r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes()) and r.doc_tokens == len(ids[r.doc_id]) for r in got)
+        assert sum(r.length for r in got) == sum(map(len, ids))
+
+
+def test_packing_of_null_and_repeated_ids(spark):
+    texts = ["one two", None, "three four five", "one two", ""]
+    docs = documents(spark, texts, [None, 3, 3, None, 3])
+    library = tokenizer("word_bpe_49k.json")
+    expected = sorted(len(library.encode(t or "", add_special_tokens=False).ids) + 1 for t in texts)
+    pieces = packing.pack(docs, queries.tokenizer_path("word_bpe_49k.json"), 4096).collect()
+    assert sorted(r.length for r in pieces) == expected and sum(r.doc_id is None for r in pieces) == 2
+    assert sorted((r.offset, r.length) for r in pieces)[-1][0] + sorted((r.offset, r.length) for r in pieces)[-1][1] == sum(expected)
 
 
 def test_packing(spark):
@@ -130,6 +173,16 @@ def test_token_counts_equal_the_library(spark, pieces):
     assert token_counts.count_tokens(docs, pieces or path).columns[: len(docs.columns)] == docs.columns
 
 
+def test_control_pieces_are_no_text(spark):
+    path = queries.tokenizer_path("piece_bpe_32k.model")
+    pieces = dict(token_counts.text_pieces(path))
+    assert not {"<s>", "</s>", "<unk>", "<0x41>"} & set(pieces) and len(pieces) > 31_000
+    counter = token_counts.UnigramCounter(token_counts.text_pieces(path))
+    got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(documents(spark, ["a <s> b", "<0x41>"]), path).collect()}
+    assert got == {0: counter.text("a <s> b"), 1: counter.text("<0x41>")} and got[1] > 2
+    assert token_counts.count_tokens(documents(spark).limit(0), path).count() == 0
+
+
 def test_sharding(spark):
     shards, size = [f"s{i}" for i in range(5)], 101
     docs = documents(spark, ids=[None, *range(len(TEXTS) - 1)])
@@ -215,5 +268,49 @@ def test_scratch_tables_can_go(spark):
     table = common.materialize(spark.range(3), "some")
     path = common.written[-1].removeprefix("file://")
     assert table.count() == 3 and os.path.isdir(path)
+    common.release(common.materialize(spark.range(2), "other"))
+    assert common.written[-1].removeprefix("file://") == path
     common.discard(spark)
     assert not os.path.exists(path) and not common.written
+
+
+def test_scratch_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from pathloom.llm import common
+
+    far = SimpleNamespace(sparkContext=SimpleNamespace(getConf=dict, getCheckpointDir=lambda: None, master="spark://far:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.scratch(far, "x")
+
+
+def test_batches_leave_the_session_as_it_was(spark):
+    from pathloom.llm import common
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    sizes = common.materialize(spark.range(0, 50, 1, 1).mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]) for b in bs), "n long"), "sizes", batch=7)
+    assert max(r.n for r in sizes.collect()) == 7 and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_join_spread(spark, how, monkeypatch):
+    from collections import Counter
+
+    from pathloom.llm import common
+
+    monkeypatch.setattr(common, "FREQUENT", 4)
+    left = [(1, i) for i in range(90)] + [(2, i) for i in range(10)] + [(3, 0), (None, 1), (9, 9)]
+    right = [(k, f"v{k}", n) for k, n in Counter(k for k, _ in left if k not in (None, 9)).items()]
+    got = common.join_spread(spark.createDataFrame(left, "k long, x long"), spark.createDataFrame(right, "k long, v string, held long"), ["k"], how)
+    assert got.columns == ["k", "x", "v"]
+    assert Counter(map(tuple, got.collect())) == Counter((k, x, f"v{k}" if k not in (None, 9) else None) for k, x in left if how == "left" or k not in (None, 9))
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 10, 101])
+def test_place_among_bounds(spark, n):
+    from bisect import bisect_right
+
+    from pathloom.llm import common
+
+    bounds = [3 * i + 1 for i in range(n)]
+    assert all(r.at == bisect_right(bounds, r.id) for r in spark.range(-2, 3 * n + 5).select("id", common._place(F.col("id"), bounds).alias("at")).collect())
