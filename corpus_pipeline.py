@@ -20,34 +20,58 @@ from pathloom.llm.queries import END_ID, table, tokenizer_path
 NEAR = 80
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """Rows whose id is not among ``gone``; rows with a null id stay."""
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+def _numbered(docs: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """The rows with a number each, written so that every pass sees the same ones, and the new column's name."""
+    row = next(f"_row{i}" for i in range(len(docs.columns) + 1) if f"_row{i}" not in docs.columns)
+    return materialize(docs.withColumn(row, F.monotonically_increasing_id()), label), row
 
 
 def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops what importance resampling towards good labelled documents rejects."""
-    chosen = quality.resample(docs, table(spark, sf_dir, "labels"))
-    return _without(docs, chosen.where(~F.col("kept")).select("doc_id"))
+    """Drops what importance resampling towards good labelled documents rejects.
+
+    Each row is judged by its own id and text, so rows that share an id may
+    part and repeated rows share their fate; ties at the limit stay. Null and
+    empty texts score 0, long ones are read whole. Rows with null ids are
+    judged too, and their labels count nowhere. No rows give no rows.
+    """
+    chosen = quality.resample(docs, table(spark, sf_dir, "labels"), carry=docs.columns)
+    return chosen.where("kept").select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group of near-duplicates."""
-    groups = near_dedup.near_duplicates(docs, percent=NEAR)
-    return _without(docs, groups.where(~F.col("kept")).select("doc_id"))
+    """Keeps one row of each group of near-duplicates, of its smallest id.
+
+    Of repeated rows one stays; of rows that share an id, which links them,
+    one stays. Rows with null ids, and those with null or empty texts, belong
+    to no group and stay all; long texts are read whole. No rows give no rows.
+    """
+    numbered, row = _numbered(docs, "dedup-documents")
+    groups = near_dedup.near_duplicates(numbered, percent=NEAR, row_col=row)
+    return numbered.join(groups.where(~F.col("kept")).select(row), row, "left_anti").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Gives each document as often as the sources' target weights take it."""
-    row, copies = (next(f"_{x}{i}" for i in range(len(docs.columns) + 1) if f"_{x}{i}" not in docs.columns) for x in ("row", "copies"))
-    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "mix-documents")
+    """Gives each row as often as the sources' target weights take it.
+
+    Null sources are one source, the last. Null texts and those without words
+    have size 0 and are never taken; long ones count as they are. Repeated
+    rows, rows that share an id and rows with null ids count each; ties go by
+    the row's place. No rows give no rows.
+    """
+    numbered, row = _numbered(docs, "mix-documents")
+    copies = f"{row}_copies"
     taken = mixing.mix(numbered, row_col=row).where("copies > 0").select(F.col("row").alias(row), F.col("copies").alias(copies))
     times = numbered.join(taken, row).select(*numbered.columns, F.explode(F.sequence(F.lit(1), F.col(copies))).alias(copies))
     return times.select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 4096 tokens, as pieces with their ids."""
+    """Sequences of 4096 tokens, as pieces with their ids.
+
+    A null or empty text is its end id alone; long ones are cut over many
+    sequences. Null ids stay null; repeated rows are packed each. No rows give
+    no pieces.
+    """
     return packing.pack(docs, tokenizer_path("word_bpe_49k.json"), 4096, END_ID, special=True)
 
 
