@@ -11,7 +11,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import array, join_spread, materialize, parts_of
+from .common import array, groups, join_spread, materialize, parts_of
 
 #: Vectors that a task holds at a time, about, and queries that it then asks.
 BLOCK, ASK = 2048, 256
@@ -224,7 +224,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, recall: float = 0.9
     rows = rows.where(F.size("vec") == dim).withColumn("vec", plain).withColumns({"k1": F.xxhash64("vec"), "k2": F.xxhash64(F.lit(1), "vec")})
     rows = materialize(rows, "vectors")
     same = rows.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("held"), F.any_value("vec").alias("vec"))
-    same = materialize(same, "same-vectors")
+    same = groups(same, "same-vectors")
     # Each task cuts a group to its smallest ids before they are dealt out, so one very common vector loads none.
     few = join_spread(rows.select("k1", "k2", "id"), same.where("held > 1").select("k1", "k2", "held"), ["k1", "k2"]).distinct()
     few = few.withColumn("nth", F.row_number().over(Window.partitionBy("k1", "k2").orderBy("id"))).where(F.col("nth") <= k + 1)

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space, and a word as what lies between it.
@@ -22,6 +22,8 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 written: list[str] = []
 #: A key is frequent if it has more than one in so many rows; so there are fewer frequent keys than this.
 FREQUENT = 1000
+#: And it has more rows than this: fewer weigh on no task.
+WEIGHTY = 1000
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -70,16 +72,20 @@ def scratch(spark: SparkSession, label: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, label: str, batch: int | None = None) -> DataFrame:
+def materialize(df: DataFrame, label: str, batch: int | None = None, **watch: Column) -> DataFrame:
     """``df`` written as a table in the shared folder and read again.
 
     This cuts the lineage, so a lost executor costs a read and not the work
     before, and later passes see exactly these rows in any order of tasks.
     ``batch`` is the number of rows that Python workers are given at a time
-    meanwhile, for long texts; the session's own setting comes back.
+    meanwhile, for long texts; the session's own setting comes back. What the
+    aggregates ``watch`` come to is noted on the way, in the result's ``seen``.
     """
     spark, setting = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
     path, before = scratch(spark, label), spark.conf.get(setting)
+    notes = Observation(label) if watch else None
+    if notes:
+        df = df.observe(notes, *(x.alias(name) for name, x in watch.items()))
     if batch:
         spark.conf.set(setting, str(batch))
     try:
@@ -88,22 +94,31 @@ def materialize(df: DataFrame, label: str, batch: int | None = None) -> DataFram
         if batch:
             spark.conf.set(setting, before)
     out = spark.read.schema(df.schema).parquet(f"{path}/rows")
-    out.scratch_path = path
+    out.scratch_path, out.seen = path, notes.get if notes else {}
     return out
 
 
+def groups(df: DataFrame, label: str, held: str = "held") -> DataFrame:
+    """:func:`materialize` for the right side of :func:`join_spread`: the sum and the largest of ``held`` are noted."""
+    return materialize(df, label, whole=F.sum(held), top=F.max(held))
+
+
 def join_spread(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", held: str = "held") -> DataFrame:
     """``left`` joined with ``right``, which has one row for each key, with no frequent key in one task.
 
     ``right``'s column ``held`` is the number of ``left``'s rows with the key
-    (or more). Keys that hold more than one in ``FREQUENT`` of the sum are
-    broadcast: by that there are fewer than ``FREQUENT`` of them, however
-    large the tables, and their rows stay where they are. All others are
-    joined as usual. ``how`` is ``inner`` or ``left``; rows with null keys
-    match nothing. The columns are ``left``'s and ``right``'s other ones.
+    (or more). Keys that hold more than one in ``FREQUENT`` of the sum (and
+    ``WEIGHTY`` rows) are broadcast: by that there are fewer than ``FREQUENT``
+    of them, however large the tables, and their rows stay where they are. All
+    others are joined as usual. ``how`` is ``inner`` or ``left``; rows with
+    null keys match nothing. The columns are ``left``'s and ``right``'s other
+    ones.
     """
-    total = right.agg(F.coalesce(F.sum(held), F.lit(0))).first()[0]
-    often = F.col(held) * FREQUENT > F.lit(total)
+    notes = getattr(right, "seen", None) or right.agg(F.sum(held).alias("whole"), F.max(held).alias("top")).first().asDict()
+    limit = max((notes["whole"] or 0) // FREQUENT, WEIGHTY)
+    if (notes["top"] or 0) <= limit:
+        return left.join(right.drop(held), keys, how)
+    often = F.col(held) > F.lit(limit)
     few, rest = F.broadcast(right.where(often).drop(held)), right.where(~often).drop(held)
     known = left.dropna(subset=keys)
     out = known.join(few, keys).unionByName(known.join(few.select(*keys), keys, "left_anti").join(rest, keys, how))

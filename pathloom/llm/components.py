@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_spread, materialize, release
+from .common import WEIGHTY, groups, join_spread, materialize
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first())
+def _edges(df: DataFrame, label: str) -> DataFrame:
+    """Distinct links as a table, with what tells two sets of them apart: their number and a sum of hashes."""
+    return materialize(df.distinct(), label, links=F.count(F.lit(1)), hashes=F.bit_xor(F.xxhash64("u", "v")))
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -23,23 +24,22 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     neighbours where they are (:func:`join_spread`). Links of a node with
     itself or with null do not count; repeated ones count once.
     """
-    edges = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    edges = materialize(edges, "links")
-    state = _state(edges)
+    edges = _edges(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "links")
     for _ in range(most_rounds):
-        if not state[0]:
+        if not edges.seen["links"]:
             break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = materialize(both.groupBy("u").agg(F.least(F.min("v"), "u").alias("low"), F.count("*").alias("held")), "large-lows")
-        large = join_spread(both.where("v > u"), low, ["u"]).select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
+        low = both.groupBy("u").agg(F.least(F.min("v"), "u").alias("low"), F.count("*").alias("held"))
+        many = edges.seen["links"] > WEIGHTY  # else no node has many neighbours
+        join = lambda left, right, label: join_spread(left, groups(right, label), ["u"]) if many else left.join(right.drop("held"), "u")  # noqa: B023, E731
+        large = join(both.where("v > u"), low, "large-lows").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
         # large hangs u on v < u: the neighbours that small-star looks at.
         large = materialize(large, "large-star")
-        lows = materialize(large.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("held")), "small-lows")
-        near = join_spread(large, lows, ["u"]).where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
-        after = materialize(near.unionByName(lows.select("u", F.col("low").alias("v"))).distinct(), "small-star")
-        release(edges, low, large, lows)
-        edges, before, state = after, state, _state(after)
-        if state == before:
+        lows = large.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("held"))
+        near = join(large, lows, "small-lows").where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
+        after = _edges(near.unionByName(lows.select("u", F.col("low").alias("v"))), "small-star")
+        before, edges = edges.seen, after
+        if edges.seen == before:
             break
     else:
         raise RuntimeError("components did not settle")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import array, blocks, column, join_spread, materialize, parts_of, release
+from .common import array, blocks, column, groups, join_spread, materialize, parts_of, release
 from .components import components
 from .shingles import shingle_sets
 
@@ -190,7 +190,7 @@ def in_blocks(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
 def _with_sketches(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs with both sides' sizes and sketches; a class may be ``u`` of any number of pairs."""
     side = lambda x: classes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
-    first = side("u").join(pairs.groupBy("u").agg(F.count("*").alias("held")), "u")
+    first = groups(side("u").join(pairs.groupBy("u").agg(F.count("*").alias("held")), "u"), "leads")
     return join_spread(pairs, first, ["u"]).join(side("v"), "v").select("u", "v", "n_u", "n_v", "s_u", "s_v")
 
 
@@ -256,17 +256,19 @@ def clusters_of(classes: DataFrame, percent: int) -> DataFrame:
     part = F.col("sketch").substr(F.col("band") * (2 * ROWS) + 1, F.lit(2 * ROWS))
     bands = classes.select("node", "sketch", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")).withColumn("part", part)
     bands = bands.where(F.col("part") != F.lit(bytes(2 * ROWS))).select("node", F.xxhash64("band", "part").alias("bucket"))
-    buckets = materialize(bands.groupBy("bucket").agg(F.min("node").alias("lead"), F.count("*").alias("held")).where("held > 1"), "buckets")
-    members = materialize(join_spread(bands, buckets.withColumn("size", F.col("held")), ["bucket"]), "members")
+    buckets = groups(bands.groupBy("bucket").agg(F.min("node").alias("lead"), F.count("*").alias("held"), F.count("*").alias("size")).where("held > 1"), "buckets")
+    members = materialize(join_spread(bands, buckets, ["bucket"]), "members")
     pairs = materialize(members.where("node > lead").select(F.col("lead").alias("u"), F.col("node").alias("v")).distinct(), "lead-pairs")
     found = materialize(components(promising(_with_sketches(pairs, classes), percent)), "near-smallest")
     # The smallest member has met all others; of the rest some may be in different components.
     rest = members.where("node > lead and size > 2").select("bucket", "node").join(found, "node", "left")
     rest = materialize(rest.select("bucket", "node", F.coalesce("component", "node").alias("component")), "unsettled")
     unsettled = rest.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("held")).where("a <> b")
-    unsettled = materialize(unsettled.select("bucket", "held"), "unsettled-buckets")
+    unsettled = groups(unsettled.select("bucket", "held", F.col("held").alias("size")), "unsettled-buckets")
     release(buckets, members, pairs)
-    more = across(join_spread(rest, unsettled.withColumn("size", F.col("held")), ["bucket"]).withColumnRenamed("size", "held").join(classes.select("node", "n", "sketch"), "node"), percent)
+    if not unsettled.seen["whole"]:
+        return found
+    more = across(join_spread(rest, unsettled, ["bucket"]).withColumnRenamed("size", "held").join(classes.select("node", "n", "sketch"), "node"), percent)
     return components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
 
 
@@ -277,19 +279,21 @@ def links_in(clusters: DataFrame, classes: DataFrame, docs: DataFrame, width: in
     with itself and the cluster's smallest. Members of a larger cluster which
     that leaves apart from the smallest are then compared with all blocks.
     """
-    held = clusters.groupBy("component").agg(F.count("*").alias("held"))
-    placed = join_spread(clusters, held.withColumn("blocks", F.ceil(F.col("held") / BLOCK).cast("int")), ["component"])
+    held = clusters.groupBy("component").agg(F.count("*").alias("held")).withColumn("blocks", F.ceil(F.col("held") / BLOCK).cast("int"))
+    placed = join_spread(clusters, groups(held, "cluster-sizes"), ["component"])
     placed = placed.select("node", F.col("component").alias("cluster"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    placed = materialize(placed, "clusters")
+    placed = materialize(placed, "clusters", large=F.max("blocks"))
     nodes = classes.join(placed.select("node"), "node", "left_semi").select("node", "key", "id", "text_hash", "held")
     # Of classes that share an id and a text hash (another text, then) the sets' own hash tells the right one.
     nodes = nodes.groupBy("id", "text_hash").agg(F.max("held").alias("held"), F.collect_set(F.struct("node", "key")).alias("own"))
-    docs = docs.select("id", "text_hash", "text")
+    nodes, docs = groups(nodes, "cluster-texts"), docs.select("id", "text_hash", "text")
     sets = materialize(cluster_sets(nodes, docs, width), "cluster-sets")
     rows = sets.join(placed, "node")
     everywhere = F.when(F.col("node") == F.col("cluster"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
     first = rows.select("node", "shingles", "cluster", F.explode(everywhere).alias("block"), F.col("node").alias("component"), F.lit(True).alias("asks"))
     links = materialize(in_blocks(first, ["cluster", "block"], percent), "links-in-blocks")
+    if (placed.seen["large"] or 0) < 2:
+        return links
     found = components(links)
     large = placed.where("blocks > 1").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     large = materialize(large, "large-clusters")
@@ -300,15 +304,22 @@ def links_in(clusters: DataFrame, classes: DataFrame, docs: DataFrame, width: in
     return links.union(in_blocks(sets.join(answer.unionByName(ask), "node"), ["cluster", "ask", "block"], percent))
 
 
+def _of(classes: DataFrame, rows: DataFrame, *cols: str) -> DataFrame:
+    """Rows with the ``cols`` of the class that they name by ``key``."""
+    right = classes.select(*dict.fromkeys(("key", *cols)), "held")
+    right.seen = classes.seen
+    return join_spread(rows, right, ["key"])
+
+
 def shared_ids(base: DataFrame, classes: DataFrame) -> DataFrame | None:
     """Links between classes that one id has documents in; None if no id has several."""
     known = base.where("key is not null and id is not null")
     mark = F.xxhash64("key")
-    ids = materialize(known.groupBy("id").agg(F.min(mark).alias("a"), F.max(mark).alias("b"), F.count("*").alias("held")).where("a <> b").select("id", "held"), "shared-ids")
-    if ids.isEmpty():
+    ids = groups(known.groupBy("id").agg(F.min(mark).alias("a"), F.max(mark).alias("b"), F.count("*").alias("held")).where("a <> b").select("id", "held"), "shared-ids")
+    if not ids.seen["whole"]:
         return None
     both = join_spread(known.select("id", "key"), ids, ["id"]).distinct()
-    both = materialize(join_spread(both, classes.select("key", "node", "held"), ["key"]).select("id", "node"), "shared-classes")
+    both = materialize(_of(classes, both, "key", "node").select("id", "node"), "shared-classes")
     lead = both.groupBy("id").agg(F.min("node").alias("u"), F.count("*").alias("held"))
     return join_spread(both, lead, ["id"]).where("node > u").select("u", F.col("node").alias("v"))
 
@@ -346,15 +357,15 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col:
     base = materialize(sketches(docs, width), "sketches", batch=200)
     first = F.min(F.struct("id", "text_hash"))
     classes = base.where("key is not null and id is not null").groupBy("key").agg(first.alias("one"), F.count("*").alias("held"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    classes = materialize(classes.select(F.monotonically_increasing_id().alias("node"), "key", "one.id", "one.text_hash", "held", "n", "sketch"), "classes")
-    clusters = materialize(clusters_of(classes, percent), "near-classes")
+    classes = groups(classes.select(F.monotonically_increasing_id().alias("node"), "key", "one.id", "one.text_hash", "held", "n", "sketch"), "classes")
+    clusters = clusters_of(classes, percent)
     links = links_in(clusters, classes, docs, width, percent)
     shared = shared_ids(base, classes)
     found = components(links if shared is None else links.union(shared))
     named = classes.select("node", "key", "id", "held").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = materialize(named, "components")
     low = named.groupBy("component").agg(F.min("id").alias("component_id"), F.count("*").alias("members"))
-    named = materialize(join_spread(named, low, ["component"], held="members").select("key", "component_id", "held"), "named")
+    named = groups(join_spread(named, groups(low, "component-ids", "members"), ["component"], held="members").select("key", "component_id", "held"), "named")
     own = base.select("id", "row", "n", F.when(F.col("id").isNotNull(), F.col("key")).alias("key"))
     out = join_spread(own, named, ["key"], how="left").withColumn("component_id", F.coalesce("component_id", "id"))
     kept = F.coalesce(F.col("component_id") == F.col("id"), F.lit(True))

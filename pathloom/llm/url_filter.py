@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_spread, materialize
+from .common import groups, join_spread, materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Marks before the start of a URL and after its end.
@@ -118,7 +118,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id
     each = lambda *cols: rows.select(*cols, F.explode(grams(F.col("text"), order)).alias("gram"))
     taught = lambda c: F.sum(F.coalesce((F.col("told") == c) & F.col("teaches"), F.lit(False)).cast("long")).alias(c)
     counts = materialize(each("told", "teaches").groupBy("gram").agg(taught("allow"), taught("block"), F.count("*").alias("held")), "url-grams")
-    model = materialize(ratios(counts, order).join(counts.select("gram", "held"), "gram"), "url-model")
+    model = groups(ratios(counts, order).join(counts.select("gram", "held"), "gram"), "url-model")
     sums = join_spread(each("row"), model, ["gram"]).groupBy("row").agg(F.sum("ratio").alias("sum"), F.count("*").alias("n"))
     width = F.col("n") * BIN
     scored = sums.withColumn("score", ((F.col("sum") - F.pmod("sum", width)) / width).cast("long")).select("row", "score")
