@@ -70,7 +70,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 4096, end_id: int = 2, i
         base.append((part, at))
         at += totals[part]
     # One row for each partition of the first pass, so bounded by the number of tasks.
-    bases = spark.createDataFrame(base, "part int, base long")
+    bases = spark.createDataFrame(pa.table({"part": pa.array([p for p, _ in base], pa.int32()), "base": pa.array([b for _, b in base], pa.int64())}))
     place = done.join(bases, "part").withColumn("at", F.col("base") + F.col("before"))
     first, last = F.expr(f"at div {length}"), F.expr(f"(at + n - 1) div {length}")
     pieces = place.select("*", F.explode(F.sequence(first, last)).alias("sequence_id"))

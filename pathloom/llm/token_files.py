@@ -218,7 +218,7 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     for part, n in sorted(files.groupBy("part").agg(F.sum("tokens")).collect()):
         base.append((part, at))
         at += n
-    starts = spark.createDataFrame(base, "part long, base long")
+    starts = spark.createDataFrame(pa.table({"part": pa.array([p for p, _ in base], pa.int64()), "base": pa.array([b for _, b in base], pa.int64())}))
     files = files.join(starts, "part").select("path", "content", (F.col("base") + F.col("before")).alias("base"))
     shared = spark.sparkContext.broadcast(order)
 
