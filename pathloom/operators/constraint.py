@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.query import Constraint, MetapathQuery
+from ..functions.query import Constraint, MetapathQuery, Predicate
 from ..sources.schema import Graph
 
 #: Up to so many picked ids are written into the filter; beyond, they are joined.
@@ -33,29 +33,31 @@ class Picked:
         return rel.join(self.table.withColumnRenamed("id", end), end, "left_semi").select("src", "dst", "n")
 
 
-def matches(graph: Graph, constraint: Constraint | None, kind: str | None = None, where: Column | None = None) -> DataFrame:
-    """Ids of the nodes that meet a constraint, or any predicate ``where``; null values meet none."""
-    nodes = graph.node_table(kind or constraint.type)
-    if where is None:
-        if constraint.attribute not in nodes.columns:
-            raise ValueError(f"nodes of type {constraint.type} have no attribute {constraint.attribute}")
-        where = F.col(constraint.attribute).cast("string") == F.lit(constraint.value)
+def matches(graph: Graph, constraint: Constraint | Predicate) -> DataFrame:
+    """Ids of the nodes that meet all equalities of a constraint, or a predicate; null values meet none."""
+    nodes = graph.node_table(constraint.type)
+    if isinstance(constraint, Predicate):
+        where = constraint.where
+    else:
+        where = F.lit(True)
+        for attribute, value in constraint.equalities:
+            if attribute not in nodes.columns:
+                raise ValueError(f"nodes of type {constraint.type} have no attribute {attribute}")
+            where &= F.col(attribute).cast("string") == F.lit(value)
     return nodes.where(where).select(F.col("id").cast("long").alias("id")).where("id is not null").distinct()
 
 
-def resolve(graph: Graph, query: MetapathQuery, first_match_only: bool = True, where: Column | None = None) -> Picked | None:
+def resolve(graph: Graph, query: MetapathQuery, first_match_only: bool = True) -> Picked | None:
     """What the query's constraint picks: its smallest id alone, or all.
 
     None if there is no constraint or its type is not on the path.
     """
     if not query.positions:
         return None
-    if where is None:  # the graph does not change, so what a constraint picks does not
-        key = (query.constraint, first_match_only)
-        if key not in graph.picked:
-            graph.picked[key] = _resolve(matches(graph, query.constraint), first_match_only)
-        return graph.picked[key]
-    return _resolve(matches(graph, query.constraint, where=where), first_match_only)
+    key = (query.constraint, first_match_only)
+    if key not in graph.picked:  # the graph does not change, so what a constraint picks does not
+        graph.picked[key] = _resolve(matches(graph, query.constraint), first_match_only)
+    return graph.picked[key]
 
 
 def _resolve(ids: DataFrame, first_match_only: bool) -> Picked:

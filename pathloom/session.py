@@ -9,16 +9,15 @@ from dataclasses import dataclass, field
 from pathlib import Path
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .cache.policies import POLICIES, Item, SpanKey
-from .functions.query import MetapathQuery, parse_query, read_workload
+from .functions.query import MetapathQuery, Predicate, parse_query, read_workload
 from .operators.algebra import evaluate, product
 from .operators.constraint import bind, resolve
 from .plans import planner as P
-from .plans.cost import Sketch
-from .sources.schema import Graph, degree
+from .sources.schema import Graph
 
 ENGINES = ("seq", "dynp", "result", "intermediate", "subpath")
 EXPANSIONS = ("seq", "dynp", "exp", "expsparse")
@@ -31,6 +30,7 @@ class EngineConfig:
 
     engine: str = "dynp"
     expansion: str = "dynp"  # how caching engines finish a chain
+    expand_from: int = 0  # where "exp" begins without a cached stretch
     cost_model: str = "sparse"
     policy: str = "PGDSU"  # for the subpath engine; the other two keep by LRU
     cache_mb: float = 512.0
@@ -88,7 +88,7 @@ class Session:
 
     def bind(self, query: MetapathQuery) -> Bound:
         picked = resolve(self.graph, query, self.config.first_match_only)
-        factors, sizes = bind(self.graph, query, picked), []
+        factors, sizes, parts = bind(self.graph, query, picked), [], []
         # Two relations have one order; only what is kept needs their sizes then.
         plans = self.config.engine != "seq" and (self.config.engine != "dynp" or len(factors) > 2)
         known = self.graph.sizes(query.relations) if plans else [None] * len(factors)
@@ -98,48 +98,46 @@ class Session:
             for on, size in zip(ends, (stats.rows, stats.cols) if stats else (), strict=False):
                 if on and size:
                     nnz *= picked.count / size
-            factor = P.Factor(stats.rows if stats else 0, stats.cols if stats else 0, nnz)
-            if plans and self.config.cost_model == "mnc":
-                factor.sketch = self._sketch(factors[at], src, dst, any(ends))
-            sizes.append(factor)
+            sizes.append(P.Factor(stats.rows if stats else 0, stats.cols if stats else 0, nnz))
+            parts.append((src, dst, factors[at] if any(ends) else None))
+        if plans and self.config.cost_model == "mnc":
+            for factor, sketch in zip(sizes, self.graph.sketches(parts), strict=True):
+                factor.sketch = sketch
         by = (query.constraint, self.config.first_match_only) if query.positions else None
         return Bound(query, factors, sizes, by)
 
-    def _sketch(self, df: DataFrame, src: str, dst: str, narrowed: bool) -> Sketch | None:
-        whole = self.graph.degrees(src, dst)
-        if whole is None or not narrowed:
-            return Sketch(*whole) if whole else None
-        out = []
-        for end, like in zip(("src", "dst"), whole, strict=True):
-            v = like * 0
-            for i, n in degree(df, end).collect():
-                if 0 <= i < len(v):
-                    v[i] = n
-            out.append(v)
-        return Sketch(*out)
-
     def plan(self, sizes: list[P.Factor]) -> tuple[P.Plan, float]:
         if len(sizes) == 1:
             return 0, 0.0
         return {"dense": P.dense, "sparse": P.sparse, "mnc": P.mnc}[self.config.cost_model](sizes)
 
-    def _finish(self, factors: list[DataFrame], sizes: list[P.Factor], at: int = 0) -> DataFrame:
-        """The chain in the order that the expansion setting says."""
+    def _finish(self, factors: list[DataFrame], sizes: list[P.Factor], at: int | None = None) -> DataFrame:
+        """The chain in the order that the expansion setting says; ``at`` is the place of a cached stretch."""
         n = len(factors)
+        at = min(self.config.expand_from, n - 1) if at is None else at
         plan = {"seq": lambda: P.sequential(n), "dynp": lambda: self.plan(sizes)[0], "exp": lambda: P.expand(n, at), "expsparse": lambda: P.expand_sparse([f.density for f in sizes])}[self.config.expansion]()
         return evaluate(plan, factors)
 
     # -- engines
 
-    def run(self, query: MetapathQuery | str) -> DataFrame:
-        """``src``, ``dst`` and ``n``: ends of paths and their number."""
+    def run(self, query: MetapathQuery | str, where: tuple[str, Column] | None = None) -> DataFrame:
+        """``src``, ``dst`` and ``n``: ends of paths and their number.
+
+        ``where`` is a type and a condition on its nodes, in place of the
+        query's constraint.
+        """
         query = parse_query(query) if isinstance(query, str) else query
+        if where is not None:
+            if query.constraint is not None:
+                raise ValueError("a query has a constraint or a condition, not both")
+            query = MetapathQuery(query.path, Predicate(*where))
         if self.config.engine == "result" and (item := self._held(query)):
             self.hits += 1
             self.policy.refer(item)
             return item.value
         bound = self.bind(query)
-        return getattr(self, f"_run_{self.config.engine}")(bound).select("src", "dst", "n")
+        out = getattr(self, f"_run_{self.config.engine}")(bound)
+        return out if out.columns == ["src", "dst", "n"] else out.select("src", "dst", "n")
 
     def _run_seq(self, b: Bound) -> DataFrame:
         return evaluate(P.sequential(len(b.factors)), b.factors)
@@ -267,8 +265,9 @@ class Session:
     def run_workload(self, source: str | Path | Iterable[str | MetapathQuery]) -> tuple[list[DataFrame], DataFrame]:
         """Results of a log's queries in order, each computed, and a table of what they took.
 
-        The table has a row for each query: ``number``, ``query``, ``rows``,
-        ``seconds``, and the hits, misses and writes of the cache so far.
+        Results are computed once and held, on disk where memory is short,
+        until the session is closed. The table has a row for each query: ``number``, ``query``, ``rows``,
+        ``seconds``, the hits, misses and writes of the cache so far, and what it ``held`` then.
         """
         if isinstance(source, (str, Path)):
             queries: list = read_workload(source)
@@ -278,12 +277,20 @@ class Session:
         for number, query in enumerate(queries):
             began = time.perf_counter()
             df = self.run(query)
+            if not df.is_cached:  # what is counted here is read again by the caller
+                df = df.persist(StorageLevel.MEMORY_AND_DISK)
+                self.loose.append(df)
             n = df.count()
-            rows.append((number, str(query), n, time.perf_counter() - began, self.hits, self.misses, self.writes))
+            rows.append((number, str(query), n, time.perf_counter() - began, self.hits, self.misses, self.writes, self.held()))
             results.append(df)
-        table = self.graph.spark.createDataFrame(rows, "number int, query string, rows long, seconds double, hits int, misses int, writes int")
+        table = self.graph.spark.createDataFrame(rows, "number int, query string, rows long, seconds double, hits int, misses int, writes int, held string")
         return results, table
 
+    def held(self) -> str:
+        """What the cache holds, the next to go first."""
+        name = lambda k: "".join(k.letters) + "".join(f"@{p}" for p in sorted(k.bound)) + (f"[{k.by[0]}]" if k.by else "") if isinstance(k, SpanKey) else str(k)
+        return ", ".join(name(item.key) for item in self.policy.held)
+
     def close(self) -> None:
         """Frees what is kept."""
         for item in self.items.values():

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,6 +44,22 @@ def read_graph(spark: SparkSession, nodes: str, relations: str, types: list[str]
     return graph
 
 
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new path below ``spark.checkpoint.dir``, which goes with the driver; a temporary one on one machine without that."""
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="results-")
+    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(at)
+    store.deleteOnExit(at)
+    return path
+
+
 def write_result(df: DataFrame, path: str) -> None:
     """``src``, ``dst``, ``n`` without a header, sorted by both ids over all files."""
     df.select("src", "dst", "n").orderBy("src", "dst").write.mode("overwrite").csv(path, sep="\t")

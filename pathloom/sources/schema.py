@@ -10,7 +10,11 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.cost import Sketch
+
 COUNTED = "src long, dst long, n long"
+#: Stretches of ids that a degree sketch tells apart at most.
+STRETCHES = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -61,7 +65,7 @@ class Graph:
         self._dims: dict[str, int] = {}
         self._nnz: dict[tuple[str, str], int] = {}
         self._lines: dict[tuple[str, str], int] = {}
-        self._degrees: dict[tuple[str, str], tuple[np.ndarray, np.ndarray]] = {}
+        self._degrees: dict[tuple[str, str, str], np.ndarray] = {}
 
     def add_nodes(self, kind: str, df: DataFrame | Callable[[], DataFrame]) -> Graph:
         """A node table; its column ``id`` is a number, the others are compared as strings.
@@ -172,25 +176,41 @@ class Graph:
         pick = lambda k: self._nnz.get(k, self._lines.get(k))
         return [Stats(pick(self._key(*p)), self._dims[p[0]], self._dims[p[1]]) for p in pairs]
 
-    def degrees(self, src: str, dst: str, most: int = 1 << 22) -> tuple[np.ndarray, np.ndarray] | None:
-        """Numbers of pairs by source and by target id, for planning.
+    def sketches(self, factors: list[tuple[str, str, DataFrame | None]]) -> list[Sketch]:
+        """Degree sketches of relations for planning, all found by one job.
 
-        They are gathered on the driver, so types of more than ``most`` ids
-        have none (None); planning then goes by densities.
+        A factor names its relation and is that (None) or part of it. Spark
+        counts pairs by source and by target, in stretches of ids of which a
+        type has ``STRETCHES`` at most, so what reaches the driver is bounded
+        for types of any size.
         """
-        if max(self.dimension(src), self.dimension(dst)) > most:
-            return None
-        if (src, dst) not in self._degrees:
-            rel = self.relation(src, dst)
-            out = []
+        width = lambda kind: max(1, -(-self.dimension(kind) // STRETCHES))
+        jobs, places = [], []
+        for at, (src, dst, df) in enumerate(factors):
             for end, kind in (("src", src), ("dst", dst)):
-                v = np.zeros(self.dimension(kind), np.int64)
-                for i, n in degree(rel, end).collect():
-                    if 0 <= i < len(v):
-                        v[i] = n
-                out.append(v)
-            self._degrees[src, dst] = out[0], out[1]
-        return self._degrees[src, dst]
+                if df is None and ((src, dst, end) in self._degrees or any(x[:4] == (src, dst, end, True) for x in places)):
+                    continue
+                rel = self.rows(src, dst) if df is None else df
+                spot = F.expr(f"{end} div {width(kind)}")
+                jobs.append(rel.where(F.col(end).between(0, self.dimension(kind) - 1)).groupBy(spot.alias("spot")).agg(F.count("*").alias("n")).select(F.lit(len(jobs)).alias("job"), "spot", "n"))
+                places.append((src, dst, end, df is None, at))
+        found = {}
+        if jobs:
+            every = jobs[0]
+            for job in jobs[1:]:
+                every = every.unionByName(job)
+            rows = every.toArrow()
+            job, spot, n = (rows[c].to_numpy() for c in ("job", "spot", "n"))
+            for i, (src, dst, end, whole, at) in enumerate(places):
+                kind = src if end == "src" else dst
+                v = np.zeros(-(-self.dimension(kind) // width(kind)), np.int64)
+                v[spot[job == i]] = n[job == i]
+                if whole:
+                    self._degrees[src, dst, end] = v
+                else:
+                    found[at, end] = v
+        ends = lambda at, src, dst, end: self._degrees[src, dst, end] if factors[at][2] is None else found[at, end]
+        return [Sketch(ends(at, src, dst, "src"), ends(at, src, dst, "dst"), width(dst)) for at, (src, dst, _) in enumerate(factors)]
 
     def close(self) -> None:
         for df in self._relations.values():

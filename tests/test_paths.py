@@ -5,10 +5,12 @@ from collections import Counter
 from itertools import product as pairs
 
 import pytest
+from pyspark.sql import functions as F
 
 from pathloom.cache.policies import POLICIES
 from pathloom.functions.query import parse_query, read_workload
 from pathloom.operators.constraint import matches
+from pathloom.plans.cost import sketch_cost
 from pathloom.session import EngineConfig, Session
 from pathloom.sources.files import read_graph, read_result, write_result
 from pathloom.sources.schema import Graph
@@ -128,6 +130,54 @@ def test_missing_parts(spark, tiny):
         Session(tiny).run('APV\tP.colour="red"')
 
 
+def test_conditions(spark):
+    graph = Graph(spark)
+    graph.add_nodes("A", spark.createDataFrame([(0, "x", 1), (1, "x", 2), (2, "y", 2)], "id long, name string, age int")).add_nodes("P", spark.range(4))
+    graph.add_relation("A", "P", spark.createDataFrame(AP, "src long, dst long"))
+    every = EngineConfig(first_match_only=False)
+    both = parse_query('AP\tA.name="x" AND A.age="2"')
+    assert both.constraint.equalities == (("name", "x"), ("age", "2")) and parse_query(str(both)) == both
+    assert rows_of(Session(graph, every).run(both)) == {(1, 1, 1), (1, 2, 1)}
+    assert rows_of(Session(graph, every).run("AP", where=("A", F.col("age") > 1))) == {(1, 1, 1), (1, 2, 1), (2, 3, 1)}
+    assert rows_of(Session(graph).run("AP", where=("A", F.col("age") > 1))) == {(1, 1, 1), (1, 2, 1)}
+    for line, where in (('AP\tA.id="1"', ("A", F.lit(True))), ('AP\tA.id="1" AND P.id="2"', None)):
+        with pytest.raises(ValueError):
+            Session(graph).run(line, where)
+    session = Session(graph, EngineConfig(engine="result", first_match_only=False))
+    for low, hits in ((0, 0), (1, 0), (0, 1)):
+        session.run("APA", where=("A", F.col("age") > low)).collect()
+        assert session.hits == hits
+
+
+def test_sketches_in_stretches(spark, monkeypatch):
+    from pathloom.sources import schema
+
+    rng = random.Random(1)
+    pairs_of = {"AB": [(rng.randrange(90), rng.randrange(70)) for _ in range(300)], "BC": [(rng.randrange(70), rng.randrange(50)) for _ in range(200)]}
+    exact = sum(n * m for (a, b), n in Counter(pairs_of["AB"]).items() for (x, c), m in Counter(pairs_of["BC"]).items() if b == x)
+    for most, slack in ((1 << 16, 1e-9), (20, 0.2)):
+        monkeypatch.setattr(schema, "STRETCHES", most)
+        graph = Graph(spark)
+        for kind, n in (("A", 90), ("B", 70), ("C", 50)):
+            graph.add_nodes(kind, spark.range(n))
+        for pair, rows in pairs_of.items():
+            graph.add_relation(*pair, spark.createDataFrame(rows, "src long, dst long"), "few")
+        first, second = graph.sketches([("A", "B", None), ("B", "C", None)])
+        assert len(first.rows) <= most and first.rows.sum() == 300 and second.cols.sum() == 200 and len(first.cols) == len(second.rows)
+        assert sketch_cost(first, second) == pytest.approx(exact, rel=slack)
+        part = graph.sketches([("A", "B", graph.rows("A", "B").where("src = 5")), ("B", "A", None)])
+        assert part[0].rows.sum() == sum(a == 5 for a, _ in pairs_of["AB"]) and part[1].rows.sum() == 300
+
+
+@pytest.mark.parametrize("policy", list(POLICIES))
+def test_policy_log(spark, policy):
+    from pathloom import catalogue
+
+    rows = catalogue.queries()[f"wl_metrics_{policy.lower()}"](spark, "").orderBy("number").collect()
+    assert "; ".join(f"{r.hits} {r.misses} {r.writes} {r.held.replace(',', '')}".strip() for r in rows) == catalogue.EXPECTED[policy]
+    assert len(set(catalogue.EXPECTED.values())) == len(POLICIES)
+
+
 def test_null_attributes_never_match(tiny):
     assert matches(tiny, parse_query('APV\tP.year="None"').constraint).count() == 0
 
