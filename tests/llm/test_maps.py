@@ -299,6 +299,7 @@ def test_join_spread(spark, how, monkeypatch):
     from pathloom.llm import common
 
     monkeypatch.setattr(common, "FREQUENT", 4)
+    monkeypatch.setattr(common, "WEIGHTY", 0)
     left = [(1, i) for i in range(90)] + [(2, i) for i in range(10)] + [(3, 0), (None, 1), (9, 9)]
     right = [(k, f"v{k}", n) for k, n in Counter(k for k, _ in left if k not in (None, 9)).items()]
     got = common.join_spread(spark.createDataFrame(left, "k long, x long"), spark.createDataFrame(right, "k long, v string, held long"), ["k"], how)
