@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("pathloom.llm")
 from pathloom.llm import ann, mixing, near_dedup, quality, shingles, url_filter  # noqa: E402
+from pathloom.llm import components as linking  # noqa: E402
 from pathloom.llm.components import components  # noqa: E402
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -77,6 +78,16 @@ def test_near_duplicates(spark, percent, block, monkeypatch):
     assert found == grouped(rows, percent)
 
 
+def test_components_of_a_million_links():
+    rng = np.random.default_rng(2)
+    order = rng.permutation(400_000) * 7
+    chain = np.stack([order[:-1], order[1:]])[:, rng.permutation(399_999)]
+    spokes = np.stack([np.full(600_000, 4 << 30), (4 << 30) + 1 + np.arange(600_000)])
+    nodes, found = linking.smallest(*np.concatenate([chain, spokes], 1))
+    assert len(nodes) == 1_000_001
+    assert np.array_equal(found, np.where(nodes < 4 << 30, 0, 4 << 30))
+
+
 @pytest.mark.parametrize("frequent", [1000, 5])
 def test_near_duplicates_with_repeated_ids(spark, frequent, monkeypatch):
     from pathloom.llm import common, components
@@ -85,6 +96,7 @@ def test_near_duplicates_with_repeated_ids(spark, frequent, monkeypatch):
     if frequent == 5:  # some keys count as frequent in tables as small as these
         monkeypatch.setattr(common, "WEIGHTY", 0)
         monkeypatch.setattr(components, "WEIGHTY", 0)
+        monkeypatch.setattr(components, "FEW", -1)
     rng = random.Random(frequent)
     text = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
     a, c, d = text(40), text(50), text(30)
@@ -129,7 +141,9 @@ def test_sketches_estimate_similarity():
         assert near_dedup.registers(small)[bucket] == ((zeros + 1) << 10 | tail)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [linking.FEW, 60, -1])
+def test_components(spark, few, monkeypatch):
+    monkeypatch.setattr(linking, "FEW", few)
     rng = random.Random(4)
     for n, m in ((30, 25), (200, 180), (50, 0)):
         links = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)] + [(i, i + 1) for i in range(n, n + 40)] * (m > 0)
