@@ -24,6 +24,8 @@ written: list[str] = []
 FREQUENT = 1000
 #: And it has more rows than this: fewer weigh on no task.
 WEIGHTY = 1000
+#: Bytes of bitmaps that :func:`with_marks` may broadcast.
+BITMAPS = 64 << 20
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -128,6 +130,33 @@ def join_spread(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     return out
 
 
+def with_marks(rows: DataFrame, marks: DataFrame, row: str, mark: str, bits: int = 1) -> DataFrame:
+    """``rows`` with the number ``mark`` that ``marks`` has for their number ``row``, or 0.
+
+    ``rows`` are long (texts), so they should stay where they are: the marks,
+    whole numbers of ``bits`` bits, become bitmaps of 32,768 rows each, which
+    are broadcast if they take up ``BITMAPS`` bytes at most (a bit a row, more
+    where numbers have gaps); otherwise rows and marks are joined as usual.
+    ``row`` counts from 0, is in ``marks`` once and starts no other column's
+    name. Marks of 0 may be left out.
+    """
+    at, block = F.col(row) + 1, f"{row}_block"  # bitmaps count from 1
+    marks = materialize(marks.where(F.col(mark) > 0).select(row, F.col(mark).cast("int").alias(mark)), "marks")
+    some = marks.withColumn(block, F.bitmap_bucket_number(at)).repartition(parts_of(rows.sparkSession), block)
+    names = [f"{row}_bits{i}" for i in range(bits)]
+    # A row number of null is in no bitmap.
+    maps = some.groupBy(block).agg(*(F.bitmap_construct_agg(F.when(F.shiftright(mark, i).bitwiseAND(1) == 1, F.bitmap_bit_position(at))).alias(x) for i, x in enumerate(names)))
+    maps = materialize(maps, "bitmaps", held=F.sum(sum((F.length(x) for x in names), F.lit(0))))
+    if (maps.seen["held"] or 0) > BITMAPS:
+        found = rows.join(marks, row, "left").withColumn(mark, F.coalesce(mark, F.lit(0)))
+    else:
+        spot = f"{row}_spot"
+        bit = lambda x: F.expr(f"shiftright(cast(conv(hex(substr({x}, {spot} div 8 + 1, 1)), 16, 10) as int), cast({spot} % 8 as int)) & 1")
+        found = rows.withColumns({block: F.bitmap_bucket_number(at), spot: F.bitmap_bit_position(at)}).join(F.broadcast(maps), block, "left")
+        found = found.withColumn(mark, sum((F.coalesce(bit(x), F.lit(0)) * (1 << i) for i, x in enumerate(names)), F.lit(0)))
+    return found.select(*(F.col(f"`{c}`") for c in rows.columns), mark)
+
+
 def parts_of(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -78,6 +78,22 @@ def test_near_duplicates(spark, percent, block, monkeypatch):
     assert found == grouped(rows, percent)
 
 
+@pytest.mark.parametrize("most", [1 << 20, 1])
+def test_marks_of_rows(spark, most, monkeypatch):
+    from pathloom.llm import common
+
+    monkeypatch.setattr(common, "BITMAPS", most)
+    rows = spark.range(0, 100_000, 1, 3).select(F.monotonically_increasing_id().alias("r"), F.lit("t").alias("block"), F.col("id").alias("spot"))
+    value = F.when(F.col("spot") % 7 == 0, 3).when(F.col("spot") >= 99_990, 2).otherwise((F.col("spot") % 32_768 == 5).cast("int"))
+    marks = rows.select("r", value.alias("m"))
+    got = common.with_marks(rows, marks, "r", "m", 2)
+    assert got.columns == ["r", "block", "spot", "m"]
+    assert got.count() == 100_000 and got.where(F.col("m") != value).count() == 0
+    assert got.where("m > 0").count() > 14_000
+    assert common.with_marks(rows, marks.limit(0), "r", "m").agg(F.max("m"), F.count("*")).first() == (0, 100_000)
+    assert common.with_marks(rows.limit(0), marks, "r", "m", 2).count() == 0
+
+
 def test_components_of_a_million_links():
     rng = np.random.default_rng(2)
     order = rng.permutation(400_000) * 7
