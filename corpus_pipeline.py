@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathloom.llm import mixing, near_dedup, packing, quality
-from pathloom.llm.common import materialize
+from pathloom.llm.common import materialize, with_marks
 from pathloom.llm.queries import END_ID, table, tokenizer_path
 
 #: Similarity in percent from which documents are near-duplicates.
@@ -22,7 +22,7 @@ NEAR = 80
 
 def _numbered(docs: DataFrame, label: str) -> tuple[DataFrame, str]:
     """The rows with a number each, written so that every pass sees the same ones, and the new column's name."""
-    row = next(f"_row{i}" for i in range(len(docs.columns) + 1) if f"_row{i}" not in docs.columns)
+    row = next(x for x in (f"_row{i}" for i in range(10 * len(docs.columns) + 1)) if not any(c.lower().startswith(x) for c in docs.columns))
     return materialize(docs.withColumn(row, F.monotonically_increasing_id()), label), row
 
 
@@ -47,7 +47,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     numbered, row = _numbered(docs, "dedup-documents")
     groups = near_dedup.near_duplicates(numbered, percent=NEAR, row_col=row)
-    return numbered.join(groups.where(~F.col("kept")).select(row), row, "left_anti").select(docs.columns)
+    gone = f"{row}_gone"
+    return with_marks(numbered, groups.where(~F.col("kept")).select(row, F.lit(1).alias(gone)), row, gone).where(F.col(gone) == 0).select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,9 +61,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     numbered, row = _numbered(docs, "mix-documents")
     copies = f"{row}_copies"
-    taken = mixing.mix(numbered, row_col=row).where("copies > 0").select(F.col("row").alias(row), F.col("copies").alias(copies))
-    times = numbered.join(taken, row).select(*numbered.columns, F.explode(F.sequence(F.lit(1), F.col(copies))).alias(copies))
-    return times.select(docs.columns)
+    taken = mixing.mix(numbered, row_col=row).select(F.col("row").alias(row), F.col("copies").alias(copies))
+    taken = with_marks(numbered, taken, row, copies, bits=2).where(F.col(copies) > 0)  # 0 to 3 copies
+    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(copies))).alias(f"{row}_copy")).select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
