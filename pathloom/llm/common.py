@@ -26,6 +26,8 @@ FREQUENT = 1000
 WEIGHTY = 1000
 #: Bytes of bitmaps that :func:`with_marks` may broadcast.
 BITMAPS = 64 << 20
+#: Bits that :func:`likely` has for a key, or up to twice as many, while they fit into ``BITMAPS``.
+SPARSE = 32
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -157,6 +159,23 @@ def with_marks(rows: DataFrame, marks: DataFrame, row: str, mark: str, bits: int
     return found.select(*(F.col(f"`{c}`") for c in rows.columns), mark)
 
 
+def likely(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """The ``rows`` whose ``keys`` are in ``wanted``, and a few others.
+
+    For a join of a large table of long rows with keys of few of them: what
+    the join would drop is mostly dropped where it lies, by one bit for each
+    hash of ``keys`` (:func:`with_marks`). Of the others one in ``SPARSE`` or
+    less stays, more if there are so many keys that the bitmaps would outgrow
+    ``BITMAPS``; no wanted row goes. ``wanted`` is a small table that can be
+    read twice; rows with null keys may go.
+    """
+    spot, mark = "_likely", "_likely_wanted"
+    bits = min(1 << max(15, (SPARSE * wanted.count()).bit_length()), 1 << max(15, (8 * BITMAPS).bit_length() - 1))
+    place = F.pmod(F.xxhash64(*keys), F.lit(bits))
+    marks = wanted.select(place.alias(spot)).distinct().withColumn(mark, F.lit(1))
+    return with_marks(rows.withColumn(spot, place), marks, spot, mark).where(F.col(mark) == 1).select(rows.columns)
+
+
 def parts_of(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import array, blocks, column, groups, join_spread, materialize, parts_of, release
+from .common import array, blocks, column, groups, join_spread, likely, materialize, parts_of, release
 from .components import components
 from .shingles import shingle_sets
 
@@ -147,9 +147,10 @@ def cluster_sets(nodes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """``node`` and ``shingles``: the full sets of clustered classes, as sorted hashes in bytes.
 
     ``nodes`` names for each class the id and text hash of one document that
-    has the set; the documents' texts are read once, and each set is made once.
+    has the set; the documents' texts are read once, those of other documents
+    are dropped where they lie (:func:`likely`), and each set is made once.
     """
-    found = join_spread(docs, nodes, ["id", "text_hash"]).select("text", F.explode("own").alias("own")).select("text", "own.*")
+    found = join_spread(likely(docs, nodes, ["id", "text_hash"]), nodes, ["id", "text_hash"]).select("text", F.explode("own").alias("own")).select("text", "own.*")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()

@@ -94,6 +94,42 @@ def test_marks_of_rows(spark, most, monkeypatch):
     assert common.with_marks(rows.limit(0), marks, "r", "m", 2).count() == 0
 
 
+@pytest.mark.parametrize("most", [64 << 20, 4096, 1])
+def test_likely_rows(spark, most, monkeypatch):
+    from pathloom.llm import common
+
+    monkeypatch.setattr(common, "BITMAPS", most)
+    rows = spark.range(0, 40_000, 1, 3).select((F.col("id") % 20_000).alias("a"), F.when(F.col("id") % 100 > 0, F.col("id") % 7).alias("b"), F.col("id").alias("n"))
+    wanted = rows.where("n % 50 = 1").select("a", "b").distinct()
+    got = common.likely(rows, wanted, ["a", "b"])
+    assert got.columns == ["a", "b", "n"]
+    right = rows.join(wanted, ["a", "b"], "left_semi")
+    assert right.exceptAll(got).count() == 0 and got.exceptAll(rows).count() == 0
+    # One in 32 of the others at most stays, if there are bits enough; here 50 in 32,768 keys for 800 of them.
+    assert right.count() <= got.count() < right.count() + 40_000 / (30 if most > 1 else 20)
+    assert common.likely(rows, wanted.limit(0), ["a", "b"]).count() == 0
+    assert common.likely(rows.limit(0), wanted, ["a", "b"]).count() == 0
+
+
+def test_near_duplicates_move_texts_of_clusters_only(spark, monkeypatch):
+    rng = random.Random(8)
+    text = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
+    texts = [text(40) for _ in range(600)] + [x for n in (40, 60) for x in copies(rng, text(n), 8, 2)]
+    texts += texts[600:608] * 3 + texts[:1] * 50
+    rows = list(enumerate(rng.sample(texts, len(texts))))
+    moved, join = [], near_dedup.join_spread
+
+    def counted(left, right, *more, **named):
+        if "text" in left.columns:
+            moved.append(left.count())
+        return join(left, right, *more, **named)
+
+    monkeypatch.setattr(near_dedup, "join_spread", counted)
+    got = near_dedup.near_duplicates(documents(spark, rows))
+    assert sorted(tuple(r) for r in got.collect()) == grouped(rows, 80)
+    assert len(moved) == 1 and moved[0] < 60  # 16 texts are clustered at most, of 690
+
+
 def test_components_of_a_million_links():
     rng = np.random.default_rng(2)
     order = rng.permutation(400_000) * 7
