@@ -171,10 +171,13 @@ def in_blocks(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
     """Links within groups of rows with equal ``keys``, by full sets.
 
     ``rows`` has ``node``, ``shingles``, ``component`` and ``asks`` (see
-    :func:`linked`); a group has a bounded number of rows.
+    :func:`linked`); a group has a bounded number of rows. Groups that differ
+    in the last key only, which numbers them, go to one partition after the
+    other, so that those of a large cluster do not meet in a few.
     """
-    spark = rows.sparkSession
-    dealt = rows.repartition(parts_of(spark), *keys).sortWithinPartitions(*keys, "node")
+    parts = parts_of(rows.sparkSession)
+    place = F.pmod(F.pmod(F.xxhash64(*keys[:-1]), F.lit(parts)) + F.col(keys[-1]), F.lit(parts)).cast("int")
+    dealt = rows.withColumn("place", place).repartitionById(parts, F.col("place")).drop("place").sortWithinPartitions(*keys, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, keys):

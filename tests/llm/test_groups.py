@@ -130,6 +130,21 @@ def test_near_duplicates_move_texts_of_clusters_only(spark, monkeypatch):
     assert len(moved) == 1 and moved[0] < 60  # 16 texts are clustered at most, of 690
 
 
+def test_blocks_of_a_cluster_are_dealt_evenly(spark):
+    shingle = lambda n: np.array([n], np.uint64).tobytes()
+    rows = [(i, bytearray(shingle(i // 2)), 1 << 60, i // 2, i, True) for i in range(32)]
+    setting = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "16")
+    try:
+        dealt = spark.createDataFrame(rows, "node long, shingles binary, cluster long, block int, component long, asks boolean")
+        found = near_dedup.in_blocks(dealt, ["cluster", "block"], 80).select("u", "v", F.spark_partition_id().alias("part")).collect()
+    finally:
+        spark.conf.set(setting, before)
+    assert sorted((r.u, r.v) for r in found) == [(i, i + 1) for i in range(0, 32, 2)]
+    assert len({r.part for r in found}) == 16
+
+
 def test_components_of_a_million_links():
     rng = np.random.default_rng(2)
     order = rng.permutation(400_000) * 7
